@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .packing import PackParams, best_fit_pack
+from .quality import quality_scores
+from .secrets import BASE_RULES, MORE_RULES, digest, secret_scan
 from .simhash import simhash_dedup
 
 
@@ -12,6 +15,25 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def word_tokenizer() -> str:
+    """The tokenizer file of the packing query; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(_read(spark, sf_dir, "documents"), PackParams(word_tokenizer()))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secret_scan(_read(spark, sf_dir, "documents")))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -20,12 +42,36 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents"))
 
 
+def _secret_sql() -> str:
+    """Every rule's matches with the text before each, as positions from running sums."""
+    rules = BASE_RULES + MORE_RULES
+    tied = lambda r, g: f"unnest(regexp_extract_all(body, '(?s)(.*?)({r.pattern.replace(chr(39), chr(39) * 2)})', {g}))"
+    hits = " UNION ALL ".join(
+        f"SELECT uid, {i} AS kind, '{r.kind}' AS name, {r.least} AS least, {tied(r, 1)} AS gap, {tied(r, 2)} AS hit, {tied(r, 2 + r.group)} AS counts, "
+        f"unnest(range(len(regexp_extract_all(body, '(?s)(.*?)({r.pattern.replace(chr(39), chr(39) * 2)})', 1)))) AS n FROM t"
+        for i, r in enumerate(rules)
+    )
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS body FROM documents),
+        h AS ({hits}),
+        p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY uid, kind ORDER BY n) AS stop FROM h),
+        s AS (SELECT uid, kind, stop - length(hit) AS start, name || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span FROM p WHERE length(counts) >= least)
+        SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+            sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {len(BASE_RULES)}), '')) AS base_sha256,
+            coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+        FROM t LEFT JOIN s USING (uid) GROUP BY uid, doc_id"""
+
+
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_secret_scan": _secret_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)

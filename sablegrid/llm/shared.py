@@ -30,6 +30,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids (8 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in dropped (doc_id). Rows without an id stay."""
+    ids = materialize(dropped.distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows to table (one row a key; `size` counts the rows of that key) without a hot task.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, components, materialize
+from .shared import attach, components, materialize, without
 
 #: Groups up to this size are compared by shifts over the whole batch, larger ones by a search from one member to the next.
 SMALL = 8
@@ -168,3 +168,37 @@ def simhash_dedup(docs: DataFrame, params: SimHashParams = SimHashParams()) -> D
     placed = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
     found = attach(fps, materialize(placed, "placed"), ["fp"], "n", total)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, params: SimHashParams, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of doc_id whose sets of shingles have a Jaccard similarity of so much at least."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words(t), params.shingle, params.seed)).view(np.int64) for t in b["text"]]
+            yield pd.DataFrame({"id": b["doc_id"], "held": sets})
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInPandas(run, "id long, held array<long>")
+    held = materialize(held.dropDuplicates(["id"]), "shingles")
+    met = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.where((both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)) | ((F.size("x") == 0) & (F.size("y") == 0))).select("a", "b")
+
+
+def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5, distance=7, segments=4), similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: one document, that of the smallest id, of each group stays, with all its columns.
+
+    Fingerprints within the distance are candidates; a candidate pair links if its sets of word shingles have the
+    similarity. Tried are the links that join each candidate group, each member with the smallest id of its
+    group, and each document with the smallest id of its own fingerprint, so the pairs grow with the documents.
+    Rows without an id stay; rows that repeat an id stay or go together.
+    """
+    fps = materialize(fingerprints(docs, params), "fingerprints").where("doc_id is not null")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    near = materialize(links(reps, params).distinct(), "near")
+    roots = components(near).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    copies = fps.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    pairs = near.unionByName(roots).unionByName(copies).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    groups = components(similar(docs, materialize(pairs, "pairs"), params, similarity))
+    return without(docs, groups.where("node <> component").select(F.col("node").alias("doc_id")))
