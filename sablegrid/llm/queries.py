@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .context_tree import lm_scores
 from .exact_dedup import exact_dedup
 from .packing import PackParams, best_fit_pack
 from .quality import quality_scores
@@ -15,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     """The tokenizer file of the packing query; a parameter of the operator."""
     import public_tokenizers
@@ -63,6 +68,7 @@ def _secret_sql() -> str:
 
 
 QUERIES = {
+    "op1_context_tree_weighting": op1_context_tree_weighting,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
