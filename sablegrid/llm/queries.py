@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .context_tree import lm_scores
 from .exact_dedup import exact_dedup
+from .nearest import nearest
 from .packing import PackParams, best_fit_pack
 from .quality import quality_scores
 from .secrets import BASE_RULES, MORE_RULES, digest, secret_scan
@@ -39,6 +40,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_kmeans_tree_neighbours": op7_kmeans_tree_neighbours,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
