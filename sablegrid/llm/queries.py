@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .context_tree import lm_scores
 from .exact_dedup import exact_dedup
@@ -11,6 +12,9 @@ from .packing import PackParams, best_fit_pack
 from .quality import quality_scores
 from .secrets import BASE_RULES, MORE_RULES, digest, secret_scan
 from .simhash import simhash_dedup
+from .skip_chain import digest as entity_digest
+from .skip_chain import find_entities
+from .wrappers import main_text
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +25,15 @@ def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_read(spark, sf_dir, "documents"))
 
 
+def op2_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_digest(find_entities(_read(spark, sf_dir, "documents")))
+
+
 def word_tokenizer() -> str:
     """The tokenizer file of the packing query; a parameter of the operator."""
     import public_tokenizers
@@ -74,6 +87,8 @@ def _secret_sql() -> str:
 
 QUERIES = {
     "op1_context_tree_weighting": op1_context_tree_weighting,
+    "op2_wrapper_main_text": op2_wrapper_main_text,
+    "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
