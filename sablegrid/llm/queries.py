@@ -9,6 +9,7 @@ from .context_tree import lm_scores
 from .exact_dedup import exact_dedup
 from .nearest import nearest
 from .packing import PackParams, best_fit_pack
+from .pieces import SampleParams, sampled
 from .quality import quality_scores
 from .secrets import BASE_RULES, MORE_RULES, digest, secret_scan
 from .simhash import simhash_dedup
@@ -57,6 +58,12 @@ def op7_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sampled(_read(spark, sf_dir, "documents"), SampleParams(public_tokenizers.path("piece_bpe_32k.model")), with_ids=False)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -93,6 +100,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_kmeans_tree_neighbours": op7_kmeans_tree_neighbours,
+    "op8_gumbel_segmentations": op8_gumbel_segmentations,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
