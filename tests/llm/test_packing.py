@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from sablegrid.llm.packing import BoundedBestFit, PackParams, best_fit_pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello, World's 42 tests", None, "", "\t\n", "naïve Ångström Å Éé ß ΣΑΣ", "a\x1cb\x85c\xa0d e", "word " * 9000, "<|endoftext|>x <|EndOfText|>", "it's we'll 1234 !!! --", "Hello, World's 42 tests"]
+TEXTS = ["Hello, World's 42 tests", None, "", "\t\n", "naïve Ångström Å Éé ß ΣΑΣ", "a\x1cb\x85c\xa0d e", "word " * 9000, "<|endoftext|>x <|EndOfText|>", "it's we'll 1234 !!! --", "End. end, END.,. e., É., 5., !., 's. a\u0301. K. İ. ..,", "Hello, World's 42 tests"]
 
 
 def rows(spark, texts):
