@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import event_queries, flow_queries, market_queries, rule_queries  # noqa: F401  they register
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
