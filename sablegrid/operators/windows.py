@@ -29,18 +29,26 @@ def select_until(rows: DataFrame, keys: list[str], amount: str, target: Column,
     return rows.withColumn("running", F.sum(amount).over(w)).where(F.col("running") - F.col(amount) < target)
 
 
-def as_of(rows: DataFrame, samples: DataFrame, keys: list[str], at: str, sample_at: str, values: list[str]) -> DataFrame:
+def as_of(rows: DataFrame, samples: DataFrame, keys: list[str], at: str, sample_at: str, values: list[str], span: int = 86_400) -> DataFrame:
     """rows with the values of the last sample of the same key at or before each row's time (nulls if there is none).
 
-    One shuffle by key and one pass in time order: samples and rows are laid into one stream, and each row takes
-    the last sample before it.
+    Samples and rows are laid into one stream and each row takes the last sample before it. The stream is cut into
+    spans of time, so a key that holds most rows is many tasks; what a span inherits from those before it comes
+    from a table of each span's last sample.
     """
     carried = F.struct(F.col(sample_at).alias("at"), *values)
-    left = rows.withColumn("_row", F.lit(1)).withColumn("_sample", F.lit(None).cast(samples.select(carried.alias("s")).schema["s"].dataType)).withColumn("_t", F.col(at))
-    right = samples.select(*keys, carried.alias("_sample"), F.col(sample_at).alias("_t")).withColumn("_row", F.lit(0))
-    w = W.partitionBy(*keys).orderBy("_t", "_row").rowsBetween(W.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_last", F.last("_sample", ignorenulls=True).over(w)).where("_row = 1")
-    return both.select(*rows.columns, F.col("_last.at").alias("sample_at"), *[F.col(f"_last.{v}").alias(v) for v in values])
+    bucket = F.floor(F.col("_t") / span)
+    kind = samples.select(carried.alias("s")).schema["s"].dataType
+    left = rows.withColumn("_row", F.lit(1)).withColumn("_sample", F.lit(None).cast(kind)).withColumn("_t", F.col(at))
+    right = samples.select(*keys, carried.alias("_sample"), F.col(sample_at).alias("_t"), F.lit(0).alias("_row"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_span", bucket)
+    ends = both.groupBy(*keys, "_span").agg(F.max_by("_sample", F.when(F.col("_row") == 0, F.col("_t"))).alias("_end"))
+    past = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(past)).drop("_end")
+    own = W.partitionBy(*keys, "_span").orderBy("_t", "_row").rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("_own", F.last("_sample", ignorenulls=True).over(own)).where("_row = 1").join(before, [*keys, "_span"], "left")
+    last = met.withColumn("_last", F.coalesce("_own", "_before"))
+    return last.select(*rows.columns, F.col("_last.at").alias("sample_at"), *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def nearest_checkpoint(events: DataFrame, targets: DataFrame, width: int = 3600) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import flows, search, windows
+from ..operators import flows, rules, search, windows
 from ..sources.ledger import SINKS, Ledger, ctes
 from .event_queries import labels
 from .registry import query
@@ -77,19 +77,8 @@ TRACE = """op AS (SELECT digest, ord, action, skip, row_number() OVER (PARTITION
         FROM tx LEFT JOIN g USING (digest) LEFT JOIN sw USING (digest) LEFT JOIN rc ON rc.digest = tx.digest AND rc.r = 1)"""
 
 
-def operations(l: Ledger) -> DataFrame:
-    """digest, ord, package, module, function, action, skip: the first pattern that fits each command, if any.
-
-    Patterns are joined by module; among a module's prefixes the least priority wins.
-    """
-    c, p = l.commands(), l.patterns()
-    hit = c.join(p, "module", "left").withColumn("fits", F.startswith("function", "prefix"))
-    best = F.min(F.when(F.col("fits"), F.struct("priority", "action", "skip"))).alias("b")
-    return hit.groupBy("digest", "ord", "package", "module", "function").agg(best).select("digest", "ord", "package", "module", "function", F.col("b.action").alias("action"), F.col("b.skip").alias("skip"))
-
-
 def _edges(l: Ledger) -> DataFrame:
-    swaps = operations(l).where("action = 'swap' and not skip").select("digest").distinct()
+    swaps = rules.match_operations(l.commands(), l.patterns()).where("action = 'swap' and not skip").select("digest").distinct()
     return flows.trace_edges(l.transactions(), l.changes(), swaps, labels(l).where(F.col("category").isin("protocol", "defi")))
 
 
