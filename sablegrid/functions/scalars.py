@@ -50,8 +50,12 @@ def format_amount(raw: Column, decimals: int | None) -> Column:
     """Signed exact decimal text without trailing zeros; raw where the decimals are unknown."""
     if decimals is None:
         return raw.cast("string")
-    scaled = (raw.cast("decimal(38,0)") / F.lit(10**decimals).cast("decimal(19,0)")).cast(f"decimal(38,{min(decimals, 18)})").cast("string")
-    return F.when(scaled.contains("."), F.regexp_replace(F.regexp_replace(scaled, "0+$", ""), r"\.$", "")).otherwise(scaled)
+    if decimals == 0:
+        return raw.cast("string")
+    digits = F.regexp_replace(raw.cast("string"), "^-", "")
+    wide = F.lpad(digits, F.greatest(F.length(digits), F.lit(decimals + 1)), "0")
+    text = F.concat(F.substr(wide, F.lit(1), F.length(wide) - decimals), F.lit("."), F.substr(wide, F.length(wide) - decimals + 1))
+    return F.concat(F.when(raw < 0, F.lit("-")).otherwise(F.lit("")), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ""))
 
 
 def format_duration(seconds: Column) -> Column:
