@@ -53,7 +53,7 @@ def test_amounts_and_names(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     lit = F.lit
     assert one(sc.normalize_address(lit(" 0X2 "))) == "0x" + "2".zfill(64)
-    assert one(sc.coin_symbol(lit("0x2::sui::SUI"))) == "SUI" and one(sc.coin_symbol(lit("a::b"))) == "a::b"
+    assert one(sc.coin_symbol(lit("0x2::abc::ABC"))) == "ABC" and one(sc.coin_symbol(lit("a::b"))) == "a::b"
     assert one(sc.coin_decimals(lit("x::y::USDC"))) == 6 and one(sc.coin_decimals(lit("z"))) == 9
     assert one(sc.usd_value(lit(-5_000_000), lit(6), lit(2.0))) == 10.0 and one(sc.usd_value(lit(5), lit(6), lit(float("nan")))) == 0.0
     assert [one(sc.format_usd(lit(x))) for x in (0.0, 0.001, 1.5, 4200.0, 3.1e6, 1.2e9)] == ["$0", "<$0.01", "$1.50", "$4.2K", "$3.1M", "$1.2B"]
