@@ -18,8 +18,8 @@ class IndexParams:
     """capacity: keys a bucket may hold before it splits. max_bits: the deepest directory has 2 ** max_bits slots,
     which bounds all that reaches the driver. hash_bits: bits of the key hash (fewer ones force collisions in tests)."""
 
-    capacity: int = 20_000
-    max_bits: int = 12
+    capacity: int = 2_000
+    max_bits: int = 16
     hash_bits: int = 64
 
 

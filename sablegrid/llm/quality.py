@@ -212,9 +212,11 @@ def accepted(docs: DataFrame, labels: DataFrame, p: GamParams = GamParams()) ->
     """The rows of docs, with all their columns, whose score reaches the threshold."""
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([features(t) for t in b["text"]], float).reshape(len(b), len(FEATURES))
-            yield b[shipped.value.score(x) >= p.threshold]
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:  # Arrow keeps every column as it is
+            x = np.array([features(t) for t in b.column("text").to_pylist()], float).reshape(b.num_rows, len(FEATURES))
+            yield b.filter(pa.array(shipped.value.score(x) >= p.threshold, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -15,6 +15,8 @@ from .shared import attach, components, materialize, without
 
 #: Groups up to this size are compared by shifts over the whole batch, larger ones by a search from one member to the next.
 SMALL = 8
+#: A table entry with so many members at most is compared with all its visitors; one with more gives a spanning forest.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,12 @@ def verify(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, exact: np.ndarray,
         i = i[np.bitwise_count(fps[i] ^ fps[i + s]) <= distance]
         out.append((ids[i], ids[i + s]))
     for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        if exact[a : a + n].any():
+        held = np.flatnonzero(exact[a : a + n]) + a
+        if 0 < len(held) <= FEW:
+            i, j = np.nonzero(np.bitwise_count(fps[held][:, None] ^ fps[a : a + n]) <= distance)
+            other = held[i] != j + a
+            out.append((ids[held[i[other]]], ids[j[other] + a]))
+        elif len(held):
             out += spanning(fps[a : a + n], ids[a : a + n], distance)
     return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
 
@@ -186,7 +193,7 @@ def similar(docs: DataFrame, pairs: DataFrame, params: SimHashParams, similarity
     return met.where((both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)) | ((F.size("x") == 0) & (F.size("y") == 0))).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5, distance=7, segments=4), similarity: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5, distance=10, segments=4), similarity: float = 0.8) -> DataFrame:
     """docs without near copies: one document, that of the smallest id, of each group stays, with all its columns.
 
     Fingerprints within the distance are candidates; a candidate pair links if its sets of word shingles have the

@@ -52,3 +52,10 @@ def test_score_is_the_sum_of_its_tables():
         z = m.base + sum(t[sum(row[j] >= e for e in es)] for j, (es, t) in enumerate(zip(m.edges, m.tables)))
         z += sum(g[sum(row[i] >= e for e in m.pair_edges[i]), sum(row[j] >= e for e in m.pair_edges[j])] for (i, j), g in zip(m.pairs, m.grids))
         assert abs(s - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_accepted_keeps_odd_columns(spark):
+    rows = [(2**60 + 1, "a b c", None, 5), (None, None, 2**61 + 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kept int")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(map(tuple, q.accepted(docs, labels).collect()), key=str) == sorted(rows, key=str)
