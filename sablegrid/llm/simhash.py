@@ -15,7 +15,7 @@ from .shared import attach, components, materialize, without
 
 #: Groups up to this size are compared by shifts over the whole batch, larger ones by a search from one member to the next.
 SMALL = 8
-#: A table entry with so many members at most is compared with all its visitors; one with more gives a spanning forest.
+#: A table entry with so many visitors at most gives all their links to its members; one with more gives a forest of them.
 FEW = 32
 
 
@@ -104,6 +104,25 @@ def spanning(fps: np.ndarray, ids: np.ndarray, distance: int) -> list[tuple[np.n
     return out
 
 
+def stars(near: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (rows, columns) of the links in near, a matrix of a few members by all visitors of an entry.
+    own: each member's column.
+
+    A row takes the columns that no row before it took, and one column of each further tree that it meets.
+    """
+    tree, out = np.full(near.shape[1], -1), []
+    for i, met in enumerate(near):
+        tree[tree == tree[own[i]] if tree[own[i]] >= 0 else own[i]] = i
+        at = np.flatnonzero(met & (tree != i))
+        old = at[tree[at] >= 0]
+        trees, first = np.unique(tree[old], return_index=True)
+        at = np.concatenate((at[tree[at] < 0], old[first]))
+        tree[np.isin(tree, trees)] = i
+        tree[at] = i
+        out.append((np.full(len(at), i), at))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
 def verify(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, exact: np.ndarray, distance: int) -> pd.DataFrame:
     """Links (a, b) among rows sorted by key; every link's complete distance is checked."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -119,7 +138,8 @@ def verify(key: np.ndarray, fps: np.ndarray, ids: np.ndarray, exact: np.ndarray,
     for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         held = np.flatnonzero(exact[a : a + n]) + a
         if 0 < len(held) <= FEW:
-            i, j = np.nonzero(np.bitwise_count(fps[held][:, None] ^ fps[a : a + n]) <= distance)
+            near = np.bitwise_count(fps[held][:, None] ^ fps[a : a + n]) <= distance
+            i, j = np.nonzero(near) if n <= FEW else stars(near, held - a)
             other = held[i] != j + a
             out.append((ids[held[i[other]]], ids[j[other] + a]))
         elif len(held):
