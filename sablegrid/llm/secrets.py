@@ -37,9 +37,19 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: A private key from BEGIN to the next END. Where another BEGIN, or nothing, comes first, the header fields and the
+#: base64 lines after BEGIN (line breaks may be escaped or quoted) and a last line that may be short or cut off. The
+#: loops are possessive, so each text is read once and Java's engine needs no stack for them.
+_GAP = r"""(?:[ \t\r\n"',+>#*|]|\\[nrt])"""
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+    rf"(?:{_GAP}++[A-Za-z0-9+/]++(?:={{1,2}}|(?<=[0-9+/])|(?=[\r\n\\]|\Z)))?)?)"
+)
 #: Published formats of credentials that the base rules may miss.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("cloud", r"AIza[0-9A-Za-z_-]{35}"),

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from sablegrid.llm import secrets as sec
 
@@ -60,3 +62,29 @@ def test_queries_name_mandatory_trigrams():
     for r, example in ((RULES[0], "Api_Key:'abcdefghijkl"), (RULES[5], "xoxs-0123456789"), (RULES[7], "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF")):
         assert all(any(all(t in example.lower() for t in alt) for alt in clause) for clause in q[r.kind])
     assert sec.trigram_query("a.c|[0-9]+") == [] and sec.trigram_query("(abc|xyz)+d") == [[frozenset({"abc"}), frozenset({"xyz"})]]
+
+
+def test_redaction_takes_the_whole_private_key(spark):
+    random.seed(4)
+    body = ["".join(random.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(25)] + ["Zq8/abcDE0w=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n"
+    lines = "\n".join(body)
+    cases = [
+        (f"see {begin}\n{lines}\n{end} and on", "see [SECRET] and on"),
+        (f"see {begin}\n{fields}{lines}\n{end}\nthe end", "see [SECRET]\nthe end"),
+        (f'{{"key": "{begin}\\n' + "\\n".join(body) + f'\\n{end}\\n", "a": 1}}', '{"key": "[SECRET]\\n", "a": 1}'),
+        (f"{begin} {' '.join(body)} {end} x", "[SECRET] x"),
+        (f"{begin}\n{lines}\n", "[SECRET]\n"),
+        (f"{begin}\n{lines}\nSome words, and more of them", "[SECRET]\nSome words, and more of them"),
+        (f"{begin}\n{fields}{lines[:-30]}", "[SECRET]"),
+        (f"{begin}\n{lines}\nwords between. {begin}\n{lines}\n{end}.", "[SECRET]\nwords between. [SECRET]."),
+        (f"A header {begin} in prose - no key - here", "A header [SECRET] in prose - no key - here"),
+        (f"{begin}\n" + "\n".join(body * 400) + f"\n{end}", "[SECRET]"),
+        (f"{begin}{' -' * 100_000}", f"[SECRET]{' -' * 100_000}"),
+    ]
+    out = {r.doc_id: r.text for r in sec.redact(table(spark, [t for t, _ in cases])).collect()}
+    assert [out[i] for i in range(len(cases))] == [w for _, w in cases]
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in sec.secret_scan(table(spark, [t for t, _ in cases])).collect()}
+    assert spans == {i: brute(t) for i, (t, _) in enumerate(cases)}
+    assert (4, 3, 4 + len(f"{begin}\n{lines}\n{end}")) in spans[0]
