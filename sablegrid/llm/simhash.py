@@ -17,6 +17,10 @@ from .shared import attach, components, materialize, without
 SMALL = 8
 #: A table entry with so many visitors at most gives all their links to its members; one with more gives a forest of them.
 FEW = 32
+#: Texts whose shingle sets a task holds at once.
+SLICE = 1000
+#: Documents whose shingles are counted, and shingles kept from them, to put common ones last.
+SAMPLE, COMMON = 10_000, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -197,35 +201,153 @@ def simhash_dedup(docs: DataFrame, params: SimHashParams = SimHashParams()) -> D
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_sets(texts: list[str | None], params: SimHashParams) -> tuple[list[int], list[bytes], list[np.ndarray]]:
+    """Of each text: the fingerprint, a digest of the set of shingle hashes, and that set in order."""
+    import xxhash
+
+    hashes = [shingle_hashes(words(t), params.shingle, params.seed) for t in texts]
+    sets = [np.unique(h.view(np.int64)) for h in hashes]
+    return [fingerprint(h) for h in hashes], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], sets
+
+
 def similar(docs: DataFrame, pairs: DataFrame, params: SimHashParams, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of doc_id whose sets of shingles have a Jaccard similarity of so much at least."""
+    """Those of the pairs (a, b) of doc_id whose sets of shingles have a Jaccard similarity of so much at least. Where
+    rows of other texts repeat an id, any of them will do."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(words(t), params.shingle, params.seed)).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"id": b["doc_id"], "held": sets})
+            for i in range(0, len(b), SLICE):
+                part = b.iloc[i : i + SLICE]
+                _, codes, sets = shingle_sets(part["text"], params)
+                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "code": codes, "held": sets})
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInPandas(run, "id long, held array<long>")
-    held = materialize(held.dropDuplicates(["id"]), "shingles")
+    held = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInPandas(run, "id long, code binary, held array<long>")
+    held = materialize(held.dropDuplicates(["id", "code"]), "shingles")
     met = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.where((both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)) | ((F.size("x") == 0) & (F.size("y") == 0))).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5, distance=10, segments=4), similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: one document, that of the smallest id, of each group stays, with all its columns.
+def common_shingles(docs: DataFrame, params: SimHashParams, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and places of the shingles that a sample shows in one document in a thousand or more.
 
-    Fingerprints within the distance are candidates; a candidate pair links if its sets of word shingles have the
-    similarity. Tried are the links that join each candidate group, each member with the smallest id of its
-    group, and each document with the smallest id of its own fingerprint, so the pairs grow with the documents.
-    Rows without an id stay; rows that repeat an id stay or go together.
+    They only say which shingles come last in a document's prefix; any sample gives the same links.
     """
-    fps = materialize(fingerprints(docs, params), "fingerprints").where("doc_id is not null")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    near = materialize(links(reps, params).distinct(), "near")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), SLICE):
+                yield pd.DataFrame({"h": np.concatenate(shingle_sets(b["text"].iloc[i : i + SLICE], params)[2])})
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.lit(max(total, 1)) < F.lit(SAMPLE << 20))
+    found = part.select("text").mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE // 1000)
+    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets of the similarity have one of these in common."""
+    n = len(held) - int(np.ceil(similarity * len(held) - 1e-9)) + 1 if len(held) else 0
+    if not len(common[0]):
+        return held[:n]
+    at = np.minimum(np.searchsorted(common[0], held), len(common[0]) - 1)
+    return held[np.lexsort((held, np.where(common[0][at] == held, common[1][at], 0)))[:n]]
+
+
+def untried(key: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> pd.DataFrame:
+    """Pairs (a, b) among rows sorted by key that are in two groups and whose sizes and places in the prefixes allow
+    the similarity."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    large = np.repeat(sizes > SMALL, sizes)
+    rest = size - 1 - place
+
+    def may(i, j):
+        least = similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
+        apart = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        return apart & (1 + np.minimum(rest[i], rest[j]) >= least)
+
+    out = [np.empty((0, 2), np.int64)]
+
+    def add(i, j):
+        out.append(np.stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])), axis=1))
+
+    for s in range(1, min(SMALL, len(key))):
+        i = np.flatnonzero((key[s:] == key[:-s]) & ~large[s:])
+        i = i[may(i, i + s)]
+        add(i, i + s)
+    for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        names, held = np.unique(group[a : a + n], return_counts=True)
+        # pairs within the largest group are linked already: each of the others meets all
+        for i in (np.flatnonzero(group[a : a + n] != names[held.argmax()]) + a).tolist() if len(names) > 1 else ():
+            j = np.arange(a, a + n)
+            j = j[may(i, j)]
+            add(np.full(len(j), i), j)
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def chunks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, all rows of a key together."""
+    kept: list[pd.DataFrame] = []
+    for b in batches:
+        k = b[key].to_numpy()
+        cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+        if cut or (kept and len(k) and kept[-1][key].iloc[-1] != k[0]):
+            yield pd.concat([*kept, b.iloc[:cut]], ignore_index=True)
+            kept = []
+        if len(k):
+            kept.append(b.iloc[cut:])
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5, distance=10, segments=4), similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: one document, that of the smallest id, of each group of linked ones stays, with all
+    its columns. Two documents link if their sets of word shingles have the similarity; every such link is found.
+
+    Equal sets become one. A first round tries fingerprints within the distance: the links that join each candidate
+    group, each member with the smallest id of its group, and each set with the smallest id of its fingerprint. This
+    joins most of each group with few pairs. The second round is exact: two sets of the similarity share a shingle
+    of their prefixes (the rarest of each), so all pairs that do, and that the first round left in two groups, are
+    tried as well. Rows without an id stay; rows that repeat an id stay or go together.
+    """
+    known = docs.where("doc_id is not null")
+    total = known.count()
+    common = common_shingles(known, params, total)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), SLICE):
+                part = b.iloc[i : i + SLICE]
+                fps, codes, sets = shingle_sets(part["text"], params)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fps, "code": codes, "size": [len(s) for s in sets], "prefix": [prefix(s, common, similarity) for s in sets]})
+
+    rows = materialize(known.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, code binary, size long, prefix array<long>"), "prefixes")
+    sets = rows.groupBy("code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets, "sets")
+    copies = attach(rows.select("doc_id", "code"), sets.select("code", "rep", "n"), ["code"], "n", total)
+    copies = materialize(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
+
+    reps = materialize(sets.groupBy("fp").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("k")), "distinct")
+    near = materialize(links(reps.select("fp", F.col("first").alias("rep")), params).distinct(), "near")
     roots = components(near).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    copies = fps.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pairs = near.unionByName(roots).unionByName(copies).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    groups = components(similar(docs, materialize(pairs, "pairs"), params, similarity))
+    alike = attach(sets.select("fp", "rep"), reps, ["fp"], "k", total).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    pairs = near.unionByName(roots).unionByName(alike).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    linked = materialize(similar(docs, materialize(pairs, "pairs"), params, similarity).distinct(), "linked")
+
+    groups = components(linked.unionByName(copies)).withColumnsRenamed({"node": "rep", "component": "grp"})
+    placed = sets.select("rep", "size", "prefix").join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+    postings = placed.select("rep", "grp", "size", F.posexplode("prefix").alias("place", "key"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in chunks(batches, "key"):
+            yield untried(*[b[c].to_numpy() for c in ("key", "rep", "grp", "size", "place")], similarity)
+
+    left = postings.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(work, "a long, b long").where("a <> b").distinct()
+    more = similar(docs, materialize(left, "untried"), params, similarity)
+    groups = components(linked.unionByName(copies).unionByName(more))
     return without(docs, groups.where("node <> component").select(F.col("node").alias("doc_id")))

@@ -64,6 +64,66 @@ def test_near_copies_against_brute_force(spark):
     assert len(dropped) >= 0.95 * copies
 
 
+def roots_of(text):
+    """The smallest id of each id's group, from all pairs."""
+    ids = sorted(text)
+    sets, root = {i: shingles(text[i]) for i in ids}, {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def far_pairs(rng, new, n=25):
+    """Isolated pairs of similar texts whose fingerprints are further apart than the candidates' distance."""
+    params, out = simhash.SimHashParams(shingle=5, distance=10, segments=4), []
+    while len(out) < n:
+        a = [new() for _ in range(60)]
+        b = list(a)
+        b[rng.randrange(60)] = new()
+        x, y = (simhash.shingle_sets([" ".join(w)], params)[0][0] for w in (a, b))
+        if jaccard(" ".join(a), " ".join(b)) >= 0.8 and (x ^ y & (1 << 64) - 1).bit_count() > 10:
+            out.append((" ".join(a), " ".join(b)))
+    return [t for pair in out for t in pair]
+
+
+def test_every_similar_pair_is_linked(spark):
+    rng = random.Random(11)
+    new = lambda: f"w{rng.randrange(10**9)}"
+    texts = far_pairs(rng, new)
+    # one hub, many that are close to it in the fingerprint but below the similarity, in pairs that are above
+    hub = [new() for _ in range(400)]
+    texts.append(" ".join(hub))
+    for _ in range(40):
+        one = list(hub)
+        for at in rng.sample(range(0, 400, 6), 14):
+            one[at] = new()
+        two = list(one)
+        two[3] = new()
+        texts += [" ".join(one), " ".join(two)]
+    # one repeated line makes all fingerprints equal, the sets differ
+    line = [new() for _ in range(7)] * 60
+    for _ in range(20):
+        tail = [new() for _ in range(60)]
+        texts += [" ".join(line + tail), " ".join(line + tail[:-2])]
+    # a common passage in texts that are else unlike
+    passage = [new() for _ in range(40)]
+    texts += [" ".join(passage + [new() for _ in range(40)]) for _ in range(60)]
+    rng.shuffle(texts)
+    text = dict(enumerate(texts))
+    kept = {r.doc_id for r in simhash.near_dedup(table(spark, list(text.items()))).collect()}
+    assert kept == {i for i, r in roots_of(text).items() if i == r}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_stages_return_the_columns_they_get(spark, sf, k):
     docs = table(spark, [*made(), (300, "token=abcdefghijklmnop in it"), (300, "token=abcdefghijklmnop in it")])
