@@ -175,9 +175,10 @@ def _hits(i: int, rule: Rule) -> Column:
     text = F.col("text")
     # \G ties each attempt to the end of the match before: the gap is found once and never tried again from within
     tied = lambda p, g: F.regexp_extract_all(text, F.lit(r"\G((?s:.*?))(" + p + ")"), F.lit(g))
-    rest = tied(rule.pattern, 2 + rule.group)
+    hit = tied(rule.pattern, 2)
+    rest = tied(rule.pattern, 2 + rule.group) if rule.group else hit
     rows = F.transform(
-        F.arrays_zip(tied(rule.pattern, 1).alias("gap"), tied(rule.pattern, 2).alias("hit"), rest.alias("counts")),
+        F.arrays_zip(tied(rule.pattern, 1).alias("gap"), hit.alias("hit"), rest.alias("counts")),
         lambda x, n: F.struct(F.lit(i).alias("kind"), n.alias("n"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), (F.length(x["counts"]) >= rule.least).alias("good")),
     )
     none = F.array().cast("array<struct<kind:int,n:int,gap:int,len:int,good:boolean>>")
@@ -189,8 +190,9 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RUL
     points, kind is the number of the rule.
 
     A text without hits has an empty array, as have null and empty texts. Rows that repeat an id are scanned each
-    for itself (the index admits a rule for both if it does for one). Rows without an id are scanned in full. An
-    empty table gives an empty result; columns other than doc_id and text are not looked at.
+    for itself (the index admits a rule for both if it does for one). Rows without an id are scanned in full. Whole
+    texts are scanned, however long; of hits of one rule that overlap the leftmost, longest run counts. An empty table
+    gives an empty result; columns other than doc_id and text are not looked at.
     """
     rows = docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
     checked = admitted(rows, rules).select("uid", "doc_id", F.explode_outer(F.concat(*[_hits(i, r) for i, r in enumerate(rules)])).alias("h")).select("uid", "doc_id", "h.*")
@@ -213,18 +215,37 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES,
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every hit in text replaced by the mark; the other columns and the other texts stay as they are."""
+    """docs with every span that secret_scan finds replaced by the mark, and no other place of the text.
+
+    Spans that overlap become one mark. The other columns and the other texts stay as they are, null and empty ones
+    too; rows that repeat an id and rows without one are treated each for itself. Whole texts count, however long. An
+    empty table gives an empty result; columns may have any names.
+    """
     taken = {"rules", "doc_id", "text"} & {c for c in docs.columns if c not in ("doc_id", "text")}
     plain = docs.withColumnsRenamed({c: f"{c} (own)" for c in taken})
-    text = F.col("text")
-
-    def good(rule: Rule, i: int) -> Column:
-        tied = lambda g: F.regexp_extract_all(text, F.lit(r"\G((?s:.*?))(" + rule.pattern + ")"), F.lit(g))
-        hits = F.filter(F.arrays_zip(tied(2).alias("hit"), tied(2 + rule.group).alias("counts")), lambda x: F.length(x["counts"]) >= rule.least)
-        own = F.transform(hits, lambda x: x["hit"])
-        return F.when((F.col("rules").bitwiseAND(F.lit(1 << i)) != 0) & text.rlike(rule.pattern), own).otherwise(F.array().cast("array<string>"))
-
-    hits = F.array_sort(F.array_distinct(F.concat(*[good(r, i) for i, r in enumerate(rules)])), lambda a, b: F.length(b) - F.length(a))
-    marked = admitted(plain, rules).withColumn("hits (own)", hits)
-    out = marked.withColumn("text", F.when(F.size("hits (own)") > 0, F.aggregate("hits (own)", text, lambda acc, h: F.replace(acc, h, F.lit(mark)))).otherwise(text))
-    return out.drop("hits (own)", "rules").withColumnsRenamed({f"{c} (own)": c for c in taken}).select(*docs.columns)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+
+    def spans(i: int, rule: Rule) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            stop = acc["stop"] + x["gap"] + x["len"]
+            return F.struct(stop.alias("stop"), F.when(x["good"], F.concat(acc["out"], F.array(span(stop - x["len"], stop)))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(_hits(i, rule), F.struct(F.lit(0).alias("stop"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last["start"], F.greatest(last["end"], x["end"]))))
+        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > x["start"]), longer).otherwise(F.concat(acc, F.array(x)))
+
+    def before(x: Column, i: Column) -> Column:
+        at = F.coalesce(F.get("marks (own)", i - 1)["end"], F.lit(0))
+        return F.substring(F.col("text"), at + 1, x["start"] - at)
+
+    hits = F.array_sort(F.concat(*[spans(i, r) for i, r in enumerate(rules)]))
+    marks = F.aggregate(hits, none, join)
+    rest = F.substring(F.col("text"), F.element_at("marks (own)", -1)["end"] + 1, F.length("text"))
+    marked = admitted(plain, rules).withColumn("marks (own)", marks)
+    text = F.concat(F.array_join(F.transform("marks (own)", before), mark), F.lit(mark), rest)
+    out = marked.withColumn("text", F.when(F.size("marks (own)") > 0, text).otherwise(F.col("text")))
+    return out.drop("marks (own)", "rules").withColumnsRenamed({f"{c} (own)": c for c in taken}).select(*docs.columns)
