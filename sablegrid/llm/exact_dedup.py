@@ -62,8 +62,9 @@ def directory(histogram: dict[int, int], capacity: int, max_bits: int) -> tuple[
 
 def addressed(rows: DataFrame, depth: int, slots: list[tuple[int, int]]) -> DataFrame:
     """rows with the bucket that the directory gives their hash h."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(i, b, m) for i, (b, m) in enumerate(slots)], "slot int, first long, more int")  # 2 ** max_bits rows at most
+    said = F.lit(" ".join(f"{b},{m}" for b, m in slots))  # 2 ** max_bits slots at most
+    entry = lambda i: F.get(F.split("e", ","), F.lit(i))
+    table = rows.sparkSession.range(1).select(F.posexplode(F.split(said, " ")).alias("slot", "e")).select("slot", entry(0).cast("long").alias("first"), entry(1).cast("int").alias("more"))
     slot = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
     further = F.call_function("shiftrightunsigned", F.shiftleft("h", depth), F.lit(64) - F.col("more"))
     bucket = F.col("first") + F.when(F.col("more") > 0, further).otherwise(0)
