@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the chunk cache of one Python worker; the cache is emptied when it holds so many.
-CACHE = 1_000_000
+#: Bytes that the chunks and ids known to one Python worker may take; what was not met lately goes first.
+CACHE = 64_000_000
+#: Bytes of an entry of a dictionary of small byte strings beside the strings' own characters.
+ENTRY = 170
 _STOPS = re.compile(rb"(?<=[a-z])([.,]+)(?=[\x20\x09-\x0D]|$)")
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 @dataclass(frozen=True)
@@ -70,31 +72,43 @@ class BoundedBestFit:
         return bin_id, self.length - free
 
 
-def _encode(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers.
+class Encoder:
+    """Ids of texts as little-endian 32-bit numbers.
 
     White space is dropped and nothing merges across it, so the ids of a text are those of its chunks one after
-    another; chunks recur, and only new ones reach the tokenizer.
+    another; chunks recur, and only new ones reach the tokenizer. Those met lately are kept in two halves: when the
+    young half is full it becomes the old one, which is let go.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _encoders[path]
-    split = [_chunks(t) for t in texts]
-    new = set().union(*split).difference(known)
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = set().union(*split)
-    new = list(new)
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-    return [b"".join([known[w] for w in ws]) for ws in split]
+        self.tokenizer, self.young, self.old, self.size = Tokenizer.from_file(path), {}, {}, 0
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [_chunks(t) for t in texts]
+        own: dict[bytes, bytes] = {}
+        new = []
+        for w in set().union(*split):
+            ids = self.young.get(w) or self.old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                own[w] = ids
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                own[w] = array("I", e.ids).tobytes()
+        for w, ids in own.items():
+            if w not in self.young:
+                self.young[w] = ids
+                self.size += len(w) + len(ids) + ENTRY
+                if self.size > CACHE // 2:
+                    self.young, self.old, self.size = {}, self.young, 0
+        return [b"".join([own[w] for w in ws]) for ws in split]
 
 
 def _chunks(text: str | None) -> list[bytes]:
@@ -110,11 +124,14 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
     width, end = params.length * 4, np.array([params.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if params.tokenizer not in _encoders:
+            _encoders[params.tokenizer] = Encoder(params.tokenizer)
+        encode = _encoders[params.tokenizer]
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.iloc[at : at + 1024]
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
                 rows = []
-                for doc, ids in zip(part["doc_id"].tolist(), _encode(params.tokenizer, part["text"].tolist())):
+                for doc, ids in zip(part["doc_id"].tolist(), encode(part["text"].tolist())):
                     ids += end
                     for k, i in enumerate(range(0, len(ids), width)):
                         own = ids[i : i + width]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,14 @@ HEAVY_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine in
+    local mode (tests) and an error on a cluster, whose executors would not see it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sablegrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sablegrid-"))
     return sc.getCheckpointDir()
 
 
@@ -30,6 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing will read again."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Ids (8 bytes each) that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -57,21 +71,25 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), the smallest node of each.
 
-    Alternates large-star and small-star steps; each round is one aggregation and one join, written to the shared
-    folder. No neighbour list is gathered: a node needs only the minimum of its neighbours.
+    Alternates large-star and small-star steps; each round is one aggregation and one join a step, written to the
+    shared folder, where the round before is deleted. No neighbour list is gathered: a node needs only the minimum of
+    its neighbours, and the rows of a hub (a root has all its component) are spread over the tasks.
     """
     cur = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
     while True:
+        up, down = (cur.select(F.col(x).alias("node"), F.lit(int(x == "a")).alias("up"), F.lit(int(x == "b")).alias("down")) for x in ("a", "b"))
+        ends = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if ends.where("up > 1 or (up > 0 and down > 0)").isEmpty():  # stars alone, each around its smallest node
+            break
+        n = cur.count()
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+        large = attach(both, low, ["a"], "n", 2 * n).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "stars")
         # each a > b now; the smallest b of an a takes the others
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        cur = materialize(small.where("a <> b").distinct(), "edges")
-        now = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+        small = attach(large, least, ["a"], "n", n).select(F.explode(F.array(pair("a", "m"), pair("b", "m"))).alias("e")).select("e.a", "e.b")
+        before, cur = cur, materialize(small.where("a <> b").distinct(), "edges")
+        discard(before, large)
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, components, materialize, without
+from .shared import BROADCAST_IDS, attach, components, discard, materialize, without
 
 #: Groups up to this size are compared by shifts over the whole batch, larger ones by a search from one member to the next.
 SMALL = 8
@@ -19,8 +19,13 @@ SMALL = 8
 FEW = 32
 #: Texts whose shingle sets a task holds at once.
 SLICE = 1000
-#: Documents whose shingles are counted, and shingles kept from them, to put common ones last.
-SAMPLE, COMMON = 10_000, 1 << 17
+#: Bands of a set of shingles and minima of a band; bits of its bitmap.
+BANDS, MINIMA, BITS = 32, 4, 2048
+#: Rows of a band that a task compares at once; pairs of a document with one copy of its set.
+BLOCK, HUB = 1024, 1024
+#: Random factors and terms of the minima's hash functions, and factors of the bands' keys.
+_TIMES, _PLUS, _MIX = np.split(np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, 2 * BANDS * MINIMA + MINIMA, np.uint64), [BANDS * MINIMA, 2 * BANDS * MINIMA])
+_TIMES, _MIX = _TIMES | np.uint64(1), _MIX | np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -201,93 +206,136 @@ def simhash_dedup(docs: DataFrame, params: SimHashParams = SimHashParams()) -> D
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_sets(texts: list[str | None], params: SimHashParams) -> tuple[list[int], list[bytes], list[np.ndarray]]:
-    """Of each text: the fingerprint, a digest of the set of shingle hashes, and that set in order."""
-    import xxhash
-
-    hashes = [shingle_hashes(words(t), params.shingle, params.seed) for t in texts]
-    sets = [np.unique(h.view(np.int64)) for h in hashes]
-    return [fingerprint(h) for h in hashes], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], sets
+def sketch(held: np.ndarray) -> tuple[list[int], bytes]:
+    """Band keys and bitmap of a set of shingle hashes; an empty set has no bands, for it is like empty sets alone."""
+    if not len(held):
+        return [], bytes(BITS // 8)
+    h, low = held.view(np.uint64), np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 4096):
+        low = np.minimum(low, (h[i : i + 4096, None] * _TIMES + _PLUS).min(0))
+    keys = (low.reshape(BANDS, MINIMA) * _MIX).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    marked = np.zeros(BITS, np.uint8)
+    marked[(h % np.uint64(BITS)).astype(np.int64)] = 1
+    return keys.view(np.int64).tolist(), np.packbits(marked).tobytes()
 
 
-def similar(docs: DataFrame, pairs: DataFrame, params: SimHashParams, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of doc_id whose sets of shingles have a Jaccard similarity of so much at least. Where
-    rows of other texts repeat an id, any of them will do."""
+def summaries(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """doc_id, fp, code (digest of the set of shingles), size of the set, its bands and its bitmap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         for b in batches:
             for i in range(0, len(b), SLICE):
-                part = b.iloc[i : i + SLICE]
-                _, codes, sets = shingle_sets(part["text"], params)
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "code": codes, "held": sets})
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").mapInPandas(run, "id long, code binary, held array<long>")
-    held = materialize(held.dropDuplicates(["id", "code"]), "shingles")
-    met = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.where((both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)) | ((F.size("x") == 0) & (F.size("y") == 0))).select("a", "b")
+                part, out = b.iloc[i : i + SLICE], []
+                for t in part["text"]:
+                    hashes = shingle_hashes(words(t), params.shingle, params.seed)
+                    held = np.unique(hashes.view(np.int64))
+                    out.append((fingerprint(hashes), xxhash.xxh3_128_digest(held.tobytes()), len(held), *sketch(held)))
+                found = pd.DataFrame(out, columns=["fp", "code", "size", "bands", "bits"])
+                found.insert(0, "doc_id", part["doc_id"].to_numpy())
+                yield found
 
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, code binary, size long, bands array<long>, bits binary")
 
-def common_shingles(docs: DataFrame, params: SimHashParams, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and places of the shingles that a sample shows in one document in a thousand or more.
 
-    They only say which shingles come last in a document's prefix; any sample gives the same links.
-    """
+def similar(docs: DataFrame, pairs: DataFrame, params: SimHashParams, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of doc_id, a written table, whose sets of shingles have a Jaccard similarity of so much
+    at least. Where rows of other texts repeat an id, any of them will do."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), SLICE):
-                yield pd.DataFrame({"h": np.concatenate(shingle_sets(b["text"].iloc[i : i + SLICE], params)[2])})
-
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.lit(max(total, 1)) < F.lit(SAMPLE << 20))
-    found = part.select("text").mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE // 1000)
-    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+                part = b.iloc[i : i + SLICE]
+                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "held": [np.unique(shingle_hashes(words(t), params.shingle, params.seed).view(np.int64)) for t in part["text"]]})
+
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    held = docs.select("doc_id", "text").join(side, "doc_id", "left_semi").mapInPandas(run, "id long, held array<long>")
+    held = materialize(held.groupBy("id", F.xxhash64("held").alias("h")).agg(F.first("held").alias("held")).drop("h"), "shingles")
+    # a hub is in many pairs: its set goes to several tasks, each of which has about HUB of the pairs
+    n, met, sides = pairs.count(), pairs, []
+    for x in ("a", "b"):
+        ends = materialize(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")), "ends")
+        parts = F.ceil(F.col("n") / HUB).cast("int")
+        met = attach(met, ends, [x], "n", n).withColumn(f"salt_{x}", F.pmod(F.xxhash64("a", "b"), parts).cast("int")).drop("n")
+        salts = F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"salt_{x}")
+        sides.append(held.join(ends.withColumnRenamed(x, "id"), "id").select(F.col("id").alias(x), F.col("held").alias(f"held_{x}"), salts))
+    for x, side in zip(("a", "b"), sides):
+        met = met.join(side, [x, f"salt_{x}"])
+    both = F.size(F.array_intersect("held_a", "held_b"))
+    wide = F.size("held_a") + F.size("held_b")
+    found = materialize(met.where((both >= F.lit(similarity) * (wide - both)) | (wide == 0)).select("a", "b").distinct(), "similar")
+    discard(asked, held)
+    return found
+
+
+class Sketches:
+    """Ids, sizes and bitmaps of sets that share a band."""
+
+    def __init__(self, b: pd.DataFrame, similarity: float) -> None:
+        self.ids, self.size = b["rep"].to_numpy(), b["size"].to_numpy()
+        self.bits = np.frombuffer(b"".join(b["bits"]), np.uint64).reshape(len(b), BITS // 64)
+        self.least, self.apart = similarity, (1 - similarity) / (1 + similarity)
+
+    def admit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sizes and bitmaps allow the similarity. Sets differ in one element at least for each differing bit,
+        and in at most that share of their sizes' sum; so no pair of the similarity is ruled out."""
+        x, y = self.size[i], self.size[j]
+        return (np.minimum(x, y) >= self.least * np.maximum(x, y) - 1e-9) & (np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(-1) <= self.apart * (x + y) + 1e-9)
+
+
+def trees(s: Sketches, start: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Admitted pairs that join all that admitted pairs join among n neighbouring rows: a forest, never all pairs."""
+    out, todo = [], np.arange(start, start + n)
+    while len(todo) > 1:
+        front, todo = [todo[0]], todo[1:]
+        while front and len(todo):
+            at = front.pop(0)
+            near = s.admit(np.array([at]), todo)
+            if near.any():
+                new, todo = todo[near], todo[~near]
+                out.append((np.full(len(new), at), new))
+                front.extend(new.tolist())
+    return out
 
 
-def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a set, rare ones first: two sets of the similarity have one of these in common."""
-    n = len(held) - int(np.ceil(similarity * len(held) - 1e-9)) + 1 if len(held) else 0
-    if not len(common[0]):
-        return held[:n]
-    at = np.minimum(np.searchsorted(common[0], held), len(common[0]) - 1)
-    return held[np.lexsort((held, np.where(common[0][at] == held, common[1][at], 0)))[:n]]
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal keys."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
 
 
-def untried(key: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> pd.DataFrame:
-    """Pairs (a, b) among rows sorted by key that are in two groups and whose sizes and places in the prefixes allow
-    the similarity."""
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.diff(np.append(starts, len(key)))
-    large = np.repeat(sizes > SMALL, sizes)
-    rest = size - 1 - place
+def told(s: Sketches, out: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    i, j = (np.concatenate([np.empty(0, np.int64), *[x[k] for x in out]]) for k in (0, 1))
+    pairs = np.unique(np.stack((np.maximum(s.ids[i], s.ids[j]), np.minimum(s.ids[i], s.ids[j])), axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def may(i, j):
-        least = similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
-        apart = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
-        return apart & (1 + np.minimum(rest[i], rest[j]) >= least)
 
-    out = [np.empty((0, 2), np.int64)]
+def first_pairs(b: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Of rows sorted by part: all admitted pairs of a part with few rows, and a forest of them of a larger one."""
+    s, key, out = Sketches(b, similarity), b["part"].to_numpy(), []
+    starts, sizes = runs(key)
+    large = np.repeat(sizes > SMALL, sizes)
+    for k in range(1, min(SMALL, len(key))):
+        i = np.flatnonzero((key[k:] == key[:-k]) & ~large[k:])
+        i = i[s.admit(i, i + k)]
+        out.append((i, i + k))
+    for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        out += trees(s, a, n)
+    return told(s, out)
 
-    def add(i, j):
-        out.append(np.stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])), axis=1))
 
-    for s in range(1, min(SMALL, len(key))):
-        i = np.flatnonzero((key[s:] == key[:-s]) & ~large[s:])
-        i = i[may(i, i + s)]
-        add(i, i + s)
-    for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        names, held = np.unique(group[a : a + n], return_counts=True)
-        # pairs within the largest group are linked already: each of the others meets all
-        for i in (np.flatnonzero(group[a : a + n] != names[held.argmax()]) + a).tolist() if len(names) > 1 else ():
-            j = np.arange(a, a + n)
-            j = j[may(i, j)]
-            add(np.full(len(j), i), j)
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def last_pairs(b: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Of rows sorted by part: all admitted pairs of two groups, one of which asks."""
+    s, group, asks, out = Sketches(b, similarity), b["grp"].to_numpy(), b["asks"].to_numpy(), []
+    for a, n in zip(*[x.tolist() for x in runs(b["part"].to_numpy())]):
+        held = np.arange(a, a + n)[~asks[a : a + n]]
+        for i in (np.flatnonzero(asks[a : a + n]) + a).tolist():
+            j = held[group[held] != group[i]]
+            j = j[s.admit(np.array([i]), j)]
+            out.append((np.full(len(j), i), j))
+    return told(s, out)
 
 
 def chunks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -305,49 +353,69 @@ def chunks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(kept, ignore_index=True)
 
 
-def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5, distance=10, segments=4), similarity: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5), similarity: float = 0.8) -> DataFrame:
     """docs without near copies: one document, that of the smallest id, of each group of linked ones stays, with all
-    its columns. Two documents link if their sets of word shingles have the similarity; every such link is found.
-
-    Equal sets become one. A first round tries fingerprints within the distance: the links that join each candidate
-    group, each member with the smallest id of its group, and each set with the smallest id of its fingerprint. This
-    joins most of each group with few pairs. The second round is exact: two sets of the similarity share a shingle
-    of their prefixes (the rarest of each), so all pairs that do, and that the first round left in two groups, are
-    tried as well. Rows without an id stay; rows that repeat an id stay or go together.
+    its columns. Two documents link if their sets of word shingles have the similarity.
+
+    Equal sets become one; so do null, empty and blank texts, whose sets are empty. Whole texts count, however long.
+    A pair at exactly the similarity links. Rows without an id stay; rows that repeat an id stay or go together. An
+    empty table gives an empty result; of the columns only doc_id and text are looked at, all are returned.
+
+    Fingerprints within the distance are found by multi-index hashing. A fingerprint of 64 bits can't tell 0.8 from
+    less (there, about ten bits differ), so sets that share a band of four of their minima are candidates as well: at
+    the similarity a pair shares none of the 32 bands once in 20 million. Every candidate is held against its bitmap's
+    bound, which loses nothing, and then exactly. A band that many share gives a forest of its candidates first; after
+    these were verified, all candidates that are still in two groups are tried too, in blocks, so the forest decides
+    the order of the work and not its result.
     """
     known = docs.where("doc_id is not null")
-    total = known.count()
-    common = common_shingles(known, params, total)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), SLICE):
-                part = b.iloc[i : i + SLICE]
-                fps, codes, sets = shingle_sets(part["text"], params)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fps, "code": codes, "size": [len(s) for s in sets], "prefix": [prefix(s, common, similarity) for s in sets]})
-
-    rows = materialize(known.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, code binary, size long, prefix array<long>"), "prefixes")
-    sets = rows.groupBy("code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    rows = materialize(summaries(known, params), "summaries")
+    total = rows.count()
+    sets = rows.groupBy("code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("fp", "size", "bands", "bits")])
     sets = materialize(sets, "sets")
     copies = attach(rows.select("doc_id", "code"), sets.select("code", "rep", "n"), ["code"], "n", total)
     copies = materialize(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
 
     reps = materialize(sets.groupBy("fp").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("k")), "distinct")
-    near = materialize(links(reps.select("fp", F.col("first").alias("rep")), params).distinct(), "near")
-    roots = components(near).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    near = links(reps.select("fp", F.col("first").alias("rep")), params)
     alike = attach(sets.select("fp", "rep"), reps, ["fp"], "k", total).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    pairs = near.unionByName(roots).unionByName(alike).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    linked = materialize(similar(docs, materialize(pairs, "pairs"), params, similarity).distinct(), "linked")
 
-    groups = components(linked.unionByName(copies)).withColumnsRenamed({"node": "rep", "component": "grp"})
-    placed = sets.select("rep", "size", "prefix").join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
-    postings = placed.select("rep", "grp", "size", F.posexplode("prefix").alias("place", "key"))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in chunks(batches, "key"):
-            yield untried(*[b[c].to_numpy() for c in ("key", "rep", "grp", "size", "place")], similarity)
-
-    left = postings.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(work, "a long, b long").where("a <> b").distinct()
-    more = similar(docs, materialize(left, "untried"), params, similarity)
+    bands = sets.select("rep", F.explode("bands").alias("band"))
+    held = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    part = F.xxhash64("band", "block").alias("part")
+    slim = attach(bands, held, ["band"], "n", BANDS * total).withColumn("block", block).select(part, "rep")
+    shared = slim.join(sets.select("rep", "size", "bits"), "rep")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in chunks(batches, "part"):
+            yield first_pairs(b, similarity)
+
+    tried = shared.repartition("part").sortWithinPartitions("part", "rep").mapInPandas(first, "a long, b long")
+    pairs = near.unionByName(alike).unionByName(tried).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    linked = similar(known, pairs, params, similarity)
+
+    groups = components(linked).withColumnsRenamed({"node": "rep", "component": "grp"})
+    placed = materialize(sets.select("rep", "size", "bits", "bands").join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep")), "placed")
+    bands = placed.select("rep", "grp", F.explode("bands").alias("band"))
+    many = attach(bands, held.where(F.col("n") > SMALL), ["band"], "n", BANDS * total)
+    split = many.groupBy("band", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.max_by("grp", F.struct("k", "grp")).alias("most"), F.count(F.lit(1)).alias("groups"))
+    split = materialize(split.where("groups > 1"), "split")
+    # all but a band's largest group ask all its blocks; within a group all is linked already
+    met = attach(bands, split, ["band"], "n", BANDS * total).drop("grp").join(placed.select("rep", "grp", "size", "bits"), "rep")
+    there = met.withColumn("block", block).select(part, "rep", "grp", "size", "bits", F.lit(False).alias("asks"))
+    asking = met.where("grp <> most").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(part, "rep", "grp", "size", "bits", F.lit(True).alias("asks"))
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in chunks(batches, "part"):
+            yield last_pairs(b, similarity)
+
+    left = there.unionByName(asking).repartition("part").sortWithinPartitions("part", "rep").mapInPandas(last, "a long, b long").distinct()
+    left = materialize(left.join(pairs, ["a", "b"], "left_anti"), "untried")
+    more = similar(known, left, params, similarity)
     groups = components(linked.unionByName(copies).unionByName(more))
-    return without(docs, groups.where("node <> component").select(F.col("node").alias("doc_id")))
+    out = without(docs, groups.where("node <> component").select(F.col("node").alias("doc_id")))
+    discard(rows, sets, copies, reps, held, pairs, linked, placed, split, left, more)
+    return out

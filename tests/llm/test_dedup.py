@@ -51,7 +51,31 @@ def test_directory_doubles():
     depth, slots = ed.directory({0: 5, 1: 5, 15: 1}, 6, 4)
     assert depth == 4 and len(slots) == 16 and slots[0] != slots[1] and slots[8] == slots[15]
     assert ed.directory({3: 100}, 6, 4)[0] == 4
-    assert ed.directory({}, 6, 4) == (0, [0])
+    assert ed.directory({}, 6, 4) == (0, [(0, 0)])
+
+
+def test_full_buckets_split_beyond_the_directory(spark):
+    depth, slots = ed.directory({0: 900, 1: 1}, 100, 1)
+    assert depth == 1 and slots == [(0, 4), (16, 0)]
+    rows = [(i, f"text {i // 2}") for i in range(4000)]
+    got = ed.exact_dedup(table(spark, rows), ed.IndexParams(capacity=20, max_bits=3)).collect()
+    assert len({r.bucket for r in got}) > 60 and all(r.keep_id == r.doc_id // 2 * 2 and r.group_size == 2 for r in got)
+
+
+def test_owners_of_buckets_decide(spark, monkeypatch):
+    """Rows that the directory sends to other buckets than their key's are no copies of each other."""
+    rows = table(spark, [(i, f"text {i // 2}") for i in range(4000)])
+    right = ed.addressed
+    monkeypatch.setattr(ed, "addressed", lambda r, *a: right(r, *a).withColumn("bucket", F.col("doc_id") % 2) if "norm" in r.columns else right(r, *a))
+    assert ed.exact_dedup(rows).where("group_size = 1").count() == 4000
+
+
+def test_bucket_files_are_read_by_their_owners(spark):
+    rows = spark.range(100).select((F.col("id") % 7).alias("bucket"), F.col("id").alias("h"), F.lit("s").alias("sha"))
+    read = ed.bucket_files(rows, 5)
+    plan = read.groupBy("bucket", "h").count()
+    assert plan.count() == 100 and "Exchange" not in plan._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def brute_fp(text, k=4):
