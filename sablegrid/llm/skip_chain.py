@@ -19,6 +19,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a run of digits that fails at its start fails all along it
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Characters of the longest span of each kind that is made of several tokens.
+LONGEST = (0, 0, 23, 24)
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\s]+")
 _OUTER = "\"'`.,;:!?<>[]{}|"
@@ -59,7 +61,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class FieldParams:
     """sample: documents with digits or @ that the weights are learnt from, by hash of the id, and tokens: their tokens
     in all (the bounds on what reaches the driver). steps, rate, ridge: of the fit. rounds: of message passing.
-    certain: least marginal of a label that adds a span."""
+    certain: least marginal of a label that adds a span. alike: if so large a part of the tokens with the same features
+    are labelled, those that aren't count as unknown in the fit and not as evidence for no label."""
 
     sample: int = 1_000
     tokens: int = 100_000
@@ -68,6 +71,7 @@ class FieldParams:
     ridge: float = 1e-5
     rounds: int = 12
     certain: float = 0.9
+    alike: float = 0.25
 
 
 @dataclass
@@ -85,7 +89,7 @@ def shape(core: str) -> list[int]:
     digits = sum("0" <= c <= "9" for c in core)
     letters = any(c.isalpha() for c in core)
     size = next(i for i, n in enumerate((0, 2, 3, 4, 7, 9, 13, 19, 10**9)) if digits <= n)
-    flags = ("@" in core, core.count(".") == 3, "." in core, core.startswith("+"), "(" in core or ")" in core, "-" in core, letters, digits == len(core), ":" in core, "=" in core, "@" in core and "." in core.rpartition("@")[2], 14 <= digits <= 19 and luhn("".join(c for c in core if "0" <= c <= "9")), "/" in core)
+    flags = ("@" in core, core.count(".") == 3, "." in core, core.startswith("+"), "(" in core or ")" in core, "-" in core, letters, digits == len(core), ":" in core, "=" in core, "@" in core and "." in core.rpartition("@")[2], "/" in core)
     return [0, 1 + size, *(10 + i for i, on in enumerate(flags) if on)]
 
 
@@ -120,10 +124,12 @@ class Graph:
 
 
 def graph(docs: list[tuple[list, list]]) -> Graph:
-    """docs: tokens and base spans. Like tokens are linked each to the one before it, so edges grow with tokens."""
+    """docs: tokens and base spans. Like tokens are linked each to the one before it and to the first of them, so edges
+    grow with tokens and a label reaches all of them in a few rounds, however long the text."""
     x, y, chain, skip = [], [], [], []
     for toks, base in docs:
         last: dict[str, int] = {}
+        first: dict[str, int] = {}
         at = 0
         for s, e, feats, keys, joined in toks:
             i = len(x)
@@ -135,21 +141,30 @@ def graph(docs: list[tuple[list, list]]) -> Graph:
             y.append(next((k + 1 for a, k, b in base[at : at + 4] if a < e and b > s), 0))
             if joined:
                 chain.append((i - 1, i))
-            for j in {last[k] for k in keys if k in last}:
+            for j in {seen[k] for k in keys if k in last for seen in (last, first)}:
                 if not (joined and j == i - 1):
                     skip.append((j, i))
             last.update(dict.fromkeys(keys, i))
+            for k in keys:
+                first.setdefault(k, i)
     pairs = lambda e: np.array(e, np.int64).reshape(-1, 2)
     return Graph(np.array(x, np.float32).reshape(-1, FEATURES), np.array(y, np.int64), pairs(chain), pairs(skip))
 
 
 def fit(g: Graph, p: FieldParams) -> Weights:
-    """Pseudo-likelihood: each token's label given its neighbours' labels, by gradient ascent."""
+    """Pseudo-likelihood: each token's label given its neighbours' labels, by gradient ascent.
+
+    The patterns label only what passes their checks. A token that they pass over although it has the features of
+    those they label (a card number with a wrong digit) is left out, or the field would learn to repeat the patterns.
+    """
     w = Weights(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
     w.node[0, 0] = 1.0
     if not len(g.y):
         return w
-    hot = np.eye(LABELS)[g.y]
+    _, of = np.unique(g.x, axis=0, return_inverse=True)
+    of = of.ravel()
+    unknown = (g.y == 0) & (np.bincount(of, g.y > 0)[of] >= p.alike * np.bincount(of)[of])
+    hot = np.eye(LABELS)[g.y] * ~unknown[:, None]
 
     def around(edges: np.ndarray, ends: int) -> np.ndarray:
         """Labels of the neighbours at one end of the edges, summed for the other."""
@@ -159,12 +174,12 @@ def fit(g: Graph, p: FieldParams) -> Weights:
 
     before, after = around(g.chain, 1), around(g.chain, 0)
     like = around(g.skip, 0) + around(g.skip, 1)
-    n, squares = len(g.y), [np.zeros_like(part) for part in (w.node, w.chain, w.skip)]
+    n, squares = (~unknown).sum(), [np.zeros_like(part) for part in (w.node, w.chain, w.skip)]
     for _ in range(p.steps):
         z = g.x @ w.node + before @ w.chain + after @ w.chain.T + like @ w.skip
         z -= z.max(1, keepdims=True)
         q = np.exp(z)
-        d = hot - q / q.sum(1, keepdims=True)
+        d = (hot - q / q.sum(1, keepdims=True)) * ~unknown[:, None]
         own = like.T @ d / n
         slopes = (g.x.T @ d / n - p.ridge * w.node, (before.T @ d + d.T @ after) / n - p.ridge * w.chain, (own + own.T) / 2 - p.ridge * w.skip)
         for part, slope, sq in zip((w.node, w.chain, w.skip), slopes, squares):
@@ -219,7 +234,7 @@ def added_spans(docs: list[tuple[list, list]], w: Weights, p: FieldParams) -> li
         for s, e, _, _, joined in toks:
             label = int(q[i].argmax())
             if g.y[i] == 0 and label and q[i, label] >= p.certain:
-                if own and joined and own[-1][1] == label - 1 and own[-1][3] == i - 1:
+                if own and joined and own[-1][1] == label - 1 and own[-1][3] == i - 1 and e - own[-1][0] <= LONGEST[label - 1]:
                     own[-1][2:] = [e, i]
                 else:
                     own.append([s, label - 1, e, i])
@@ -259,9 +274,11 @@ def find_entities(docs: DataFrame, p: FieldParams = FieldParams()) -> DataFrame:
     text without findings has an empty array, as have null and empty texts. Rows that repeat an id are searched
     each for itself. An empty table gives an empty result; columns other than doc_id and text are not looked at.
 
-    Nodes of the field are the tokens with a digit or @. Neighbours share a chain potential and like tokens (equal
-    without case, or in their last seven digits, or in the part before @) a skip potential, learnt together from
-    the patterns' own labels. Base labels are held fast and messages carry them to like tokens.
+    Nodes of the field are the tokens with a digit or @ of every document that has one, whether a pattern matches in
+    it or not; whole texts count, however long. Neighbours share a chain potential and like tokens (equal without
+    case, or in their last seven digits, or in the part before @) a skip potential, learnt together from the patterns'
+    own labels. Base labels are held fast and messages carry them to like tokens; of equal marginals the first kind
+    counts, and none before all.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, p))  # of fixed size
 
@@ -269,7 +286,7 @@ def find_entities(docs: DataFrame, p: FieldParams = FieldParams()) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b["text"]]
             base: list = [base_spans(t) if _HINT.search(t) else [] for t in texts]
-            asked = [i for i, x in enumerate(base) if x]  # without a span there is no label that messages could carry
+            asked = [i for i, t in enumerate(texts) if _HINT.search(t)]
             found = [[(s, k, e, True) for s, k, e in x] for x in base]
             for at in range(0, len(asked), 500):
                 part = asked[at : at + 500]
