@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,19 +16,23 @@ from pyspark.sql import Window as W
 from .shared import materialize
 
 
+#: Lengths of vectors that have a tree of their own at most.
+TREES = 64
+
+
 @dataclass(frozen=True)
 class TreeParams:
     """sample: vectors that the tree is fitted on, by hash of the id (the bound on what reaches the driver).
     branch: children of an inner node. leaf: sampled vectors of a leaf at most; so a tree has at most `sample`
-    leaves. k: neighbours. recall: aim of the calibration, made on `probes` sampled vectors. block: vectors of a
-    leaf that one task searches; larger leaves are split."""
+    leaves. k: neighbours. recall: aim of the calibration, made on `probes` vectors against all rows. block: vectors
+    of a leaf that one task searches; larger leaves are split."""
 
     sample: int = 20_000
     branch: int = 8
-    leaf: int = 64
+    leaf: int = 16
     k: int = 10
-    recall: float = 0.97
-    probes: int = 400
+    recall: float = 0.94
+    probes: int = 200
     block: int = 4096
     seed: int = 7
 
@@ -42,7 +47,6 @@ class Node:
 class Tree:
     root: Node | int
     leaves: int
-    visits: int = 1
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector: the nearest centre at every level."""
@@ -58,22 +62,21 @@ class Tree:
                 todo += [(c, rows[near == i]) for i, c in enumerate(node.children)]
         return out
 
-    def best_bins(self, x: np.ndarray, limit: int) -> list[int]:
-        """The first leaves that a best-bin-first walk reaches: the branch with the nearest centre is followed down,
-        the others wait in a queue by their centres' distance."""
-        out, queue, n = [], [(0.0, 0, self.root)], 0
-        while queue and len(out) < limit:
+    def best_bins(self, x: np.ndarray) -> Iterator[int]:
+        """All leaves as a best-bin-first walk reaches them: the branch with the nearest centre is followed down, the
+        others wait in a queue by their centres' distance."""
+        queue, n = [(0.0, 0, self.root)], 0
+        while queue:
             _, _, node = heapq.heappop(queue)
             while isinstance(node, Node):
-                d = squared(x[None], node.centres)[0]
-                first = int(d.argmin())
+                d = ((node.centres - x) ** 2).sum(1).tolist()
+                first = min(range(len(d)), key=d.__getitem__)
                 for i, child in enumerate(node.children):
                     if i != first:
                         n += 1
-                        heapq.heappush(queue, (float(d[i]), n, child))
+                        heapq.heappush(queue, (d[i], n, child))
                 node = node.children[first]
-            out.append(node)
-        return out
+            yield node
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,8 +97,26 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
+def closest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of q (with the id it may not meet): its number, the rows of x that are nearest, and their distances.
+
+    Products of matrices tell which rows can be among them, with room for rounding; those are measured exactly.
+    """
+    for a in range(0, len(q), 256):
+        part = q[a : a + 256]
+        rough = squared(part, x)
+        slack = 1e-9 * ((part * part).sum(1) + (x * x).sum(1).max(initial=0))
+        for i, d in enumerate(rough):
+            d[ids == own[a + i]] = np.inf
+            bound = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
+            j = np.flatnonzero((d <= bound + slack[i]) & (d < np.inf))
+            true = exact(part[i], x[j])
+            best = np.lexsort((ids[j], true))[:k]
+            yield a + i, j[best], true[best]
+
+
 def fit(x: np.ndarray, p: TreeParams) -> Tree:
-    """Split the sample by k-means until its parts are small, then widen the visits until the recall is reached."""
+    """Split the sample by k-means until its parts are small."""
     rng, leaves = np.random.default_rng(p.seed), 0
 
     def grow(rows: np.ndarray, depth: int) -> Node | int:
@@ -111,24 +132,22 @@ def fit(x: np.ndarray, p: TreeParams) -> Tree:
 
     tree = Tree(grow(np.arange(len(x)), 0), 0)
     tree.leaves = leaves
-    if not len(x):
-        return tree
-    at = tree.leaf(x)
-    asked = rng.choice(len(x), min(p.probes, len(x)), replace=False)
-    orders, wanted = [tree.best_bins(x[i], leaves) for i in asked], []
-    for i in asked:
-        d = exact(x[i], x)
-        d[i] = np.inf
-        wanted.append(at[np.argsort(d, kind="stable")[: min(p.k, len(x) - 1)]])
-    found, total = 0, max(1, sum(len(w) for w in wanted))
-    for v in range(1, leaves + 1):
-        found += sum(int((w == o[v - 1]).sum()) for w, o in zip(wanted, orders))
-        tree.visits = v
-        if found / total >= p.recall:
-            break
     return tree
 
 
+def widen(tree: Tree, probes: np.ndarray, wanted: list[np.ndarray], recall: float) -> int:
+    """Leaf visits until which the share of the probes' true neighbours, whose leaves are wanted, is reached."""
+    ranks = []
+    for v, leaves in zip(probes, wanted):
+        left = Counter(leaves.tolist())
+        for n, leaf in enumerate(tree.best_bins(v)):
+            if not left:
+                break
+            ranks += [n] * left.pop(leaf, 0)
+    ranks.sort()
+    return ranks[max(0, int(np.ceil(recall * len(ranks))) - 1)] + 1 if ranks else 1
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): rows whose vector is not null or zero and has finite components only."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -143,52 +162,88 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def nearest(vectors: DataFrame, p: TreeParams = TreeParams(), every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
-    Null and zero vectors, such as hold null or non-finite components, and rows without an id take no part. All
-    vectors should have the length of most; a query meets only vectors of its own length (shorter or longer ones
-    are searched apart, in full). Rows that repeat an id are one candidate each, but none is the neighbour of its
-    own id. Fewer candidates than k give fewer rows; an empty table none. Ties go to the smaller vec_id.
+    Null and zero vectors, such as hold null or non-finite components, and rows without an id take no part. A query
+    meets only vectors of its own length; a length that less than one row in 64 has is searched in full. Rows that repeat an id are one
+    candidate each, but none is the neighbour of its own id. Fewer candidates than k give fewer rows; an empty table
+    none. Ties go to the smaller vec_id. Columns other than vec_id and embedding are not looked at.
 
-    The tree is fitted on a bounded sample; all rows are indexed. Leaves are searched by tasks that each hold a
-    block of one leaf and give its k best for each query that visits it, so a leaf that holds a third of all rows
-    is many tasks. If the visits together would miss k candidates, the query visits further leaves: the walk
-    counts the candidates of the leaves it has seen.
+    The tree is fitted on a bounded sample; all rows are indexed. How many leaves a query visits is calibrated on
+    probes whose true neighbours among all rows are known. Leaves are searched by tasks that each hold a block of one
+    leaf and give its k best for each query that visits it, so a leaf that holds a third of all rows is many tasks.
+    If the visits together would miss k candidates, the query visits further leaves: the walk counts the candidates
+    of the leaves it has seen.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(64).collect()
-    out = [_search(rows.where(F.size("v") == r.n), p, every) for r in sizes]
-    if not out:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.unionByName(o)
-    return whole
+    rows = materialize(usable(vectors).withColumn("n", F.size("v")), "vectors")
+    total = rows.count()
+    counts = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
+    large = sorted(r.n for r in counts.where(F.col("rows") * TREES >= F.lit(total)).collect())  # TREES at most
+    few = rows.where(~F.col("n").isin(large)).join(counts, "n") if large else rows.join(counts, "n")
+    whole = _scan(few, p, every)
+    for n in large:
+        whole = whole.unionByName(_search(rows.where(F.col("n") == n).drop("n"), p, every))
+    best = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+
+
+def _local(p: TreeParams):
+    def run(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(found):
+            ids, own = found["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+            for i, j, d in closest(_matrix(queries["q"]), _matrix(found["v"]), ids, own, p.k):
+                out += zip([int(own[i])] * len(j), ids[j].tolist(), d.tolist())
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return run
+
+
+def _scan(rows: DataFrame, p: TreeParams, every: int) -> DataFrame:
+    """All queries against all rows of their length, in blocks: rows (vec_id, v, n, rows) of lengths that few have."""
+    blocks = F.ceil(F.col("rows") / p.block).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).select("n", "block", "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).select((F.col("n") + 0).alias("n"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return asked.groupBy("n", "block").cogroup(dealt.groupBy("n", "block")).applyInPandas(_local(p), "query_id long, vec_id long, score double")
 
 
 def _search(rows: DataFrame, p: TreeParams, every: int) -> DataFrame:
     spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).toPandas()
     tree = fit(_matrix(sample["v"]), p)
-    shipped = spark.sparkContext.broadcast(tree)  # at most p.sample centres
+    probes = _matrix(sample["v"][: p.probes]), sample["vec_id"][: p.probes].to_numpy()
+    shipped = spark.sparkContext.broadcast((tree, probes))  # at most p.sample centres
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(leaf=shipped.value.leaf(_matrix(b["v"])))
+                yield b.assign(leaf=shipped.value[0].leaf(_matrix(b["v"])))
+
+    def true(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, own = shipped.value[1]
+        for b in batches:
+            if len(b):
+                ids, leaf, out = b["vec_id"].to_numpy(), b["leaf"].to_numpy(), []
+                for i, j, d in closest(q, _matrix(b["v"]), ids, own, p.k):
+                    out += zip([i] * len(j), ids[j].tolist(), leaf[j].tolist(), d.tolist())
+                yield pd.DataFrame(out, columns=["probe", "vec_id", "leaf", "score"])
 
     indexed = materialize(rows.mapInPandas(index, "vec_id long, v array<double>, leaf int"), "leaves")
+    nearest_to = W.partitionBy("probe").orderBy("score", "vec_id")
+    known = indexed.mapInPandas(true, "probe int, vec_id long, leaf int, score double").withColumn("r", F.row_number().over(nearest_to)).where(F.col("r") <= p.k).select("probe", "leaf").toPandas()
+    visits = widen(tree, probes[0], [known["leaf"][known["probe"] == i].to_numpy() for i in range(len(probes[0]))], p.recall)
+
     held = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row a leaf
     blocks = {leaf: -(-n // p.block) for leaf, n in held.items()}
     layout = spark.createDataFrame(sorted(blocks.items()) or [(0, 1)], "leaf int, blocks int")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = shipped.value
+        tree = shipped.value[0]
         for b in batches:
             out = []
             for i, v in zip(b["vec_id"].tolist(), b["v"]):
-                order, seen = tree.best_bins(np.asarray(v, float), tree.leaves), 0
-                for n, leaf in enumerate(order):
-                    if n >= tree.visits and seen > p.k:
+                seen = 0
+                for n, leaf in enumerate(tree.best_bins(np.asarray(v, float))):
+                    if n >= visits and seen > p.k:
                         break
                     seen += held.get(leaf, 0)
                     out += [(i, v, leaf, block) for block in range(blocks.get(leaf, 0))]
@@ -196,19 +251,4 @@ def _search(rows: DataFrame, p: TreeParams, every: int) -> DataFrame:
 
     asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(walk, "query_id long, q array<double>, leaf int, block int")
     dealt = indexed.join(F.broadcast(layout), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-
-    def local(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(found):
-            ids, x = found["vec_id"].to_numpy(), _matrix(found["v"])
-            for i, q in zip(queries["query_id"].tolist(), queries["q"]):
-                d = exact(np.asarray(q, float), x)
-                d[ids == i] = np.inf
-                for j in np.lexsort((ids, d))[: p.k].tolist():
-                    if d[j] < np.inf:
-                        out.append((i, int(ids[j]), float(d[j])))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    met = asked.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInPandas(local, "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    return asked.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInPandas(_local(p), "query_id long, vec_id long, score double")

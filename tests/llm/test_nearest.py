@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -60,8 +62,35 @@ def test_odd_rows(spark):
     assert nn.nearest(table.where("vec_id = 500")).count() == 0
 
 
+def test_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2 + i // 100 % 90).tolist(), 0, 0) for i in range(0, 9000, 50)] + [(9001 + i, rng.normal(size=40).tolist(), 0, 0) for i in range(400)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    want, have = brute([(r.vec_id, r.embedding) for r in table.collect()], 10), got(nn.nearest(table, nn.TreeParams(block=64)))
+    tree = {3800, 9100, 9200, 9300, 9400}  # of the one length that many have
+    assert have.keys() == want.keys() and all([j for j, _ in have[i]] == [j for j, _ in want[i]] for i in want.keys() - tree)
+
+
+def test_trees_prune(spark):
+    """Vectors in clusters: a query reads few of them and finds nearly all of its neighbours."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(400, 32)) * 3
+    x = centres[rng.integers(0, 400, 20_000)] + rng.normal(size=(20_000, 32))
+    p = nn.TreeParams(sample=5000)
+    tree = nn.fit(x[:5000], p)
+    leaf = tree.leaf(x)
+    near = [j for _, j, _ in nn.closest(x[:100], x, np.arange(len(x)), np.arange(100), 10)]
+    visits = nn.widen(tree, x[:100], [leaf[j] for j in near], 0.94)
+    held = np.bincount(leaf, minlength=tree.leaves)
+    asked = range(100, 300)
+    orders = [list(itertools.islice(tree.best_bins(x[i]), visits)) for i in asked]
+    want = [j for _, j, _ in nn.closest(x[100:300], x, np.arange(len(x)), np.arange(100, 300), 10)]
+    assert np.mean([held[o].sum() for o in orders]) < 0.1 * len(x)
+    assert np.mean([np.isin(leaf[j], o).mean() for j, o in zip(want, orders)]) >= 0.9
+
+
 def test_walk_reaches_every_leaf_once():
     x = np.random.default_rng(0).normal(size=(500, 8))
     t = nn.fit(x, nn.TreeParams(leaf=10))
-    order = t.best_bins(x[0], t.leaves)
+    order = list(t.best_bins(x[0]))
     assert sorted(order) == list(range(t.leaves)) and order[0] == t.leaf(x[:1])[0]
