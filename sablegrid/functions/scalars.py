@@ -82,3 +82,62 @@ def numeric_path(payload: Column, path: str) -> Column:
 
 def owner_text(kind: Column, address: Column) -> Column:
     return F.when(kind.isin("address", "object") & address.isNotNull(), F.concat_ws(":", kind, address)).otherwise(kind)
+
+
+def text_field(payload: Column, path: str) -> Column:
+    """Text at a dotted path of JSON; numbers, booleans, objects and arrays are no text."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), "$." + path, "variant"))
+    return F.when(kind == "STRING", F.get_json_object(payload, "$." + path))
+
+
+#: Fields that may name an image, the first that is text counts.
+IMAGE_FIELDS = ("image_url", "img_url", "url", "thumbnail")
+
+
+def image_field(payload: Column) -> Column:
+    return F.coalesce(*[text_field(payload, f) for f in IMAGE_FIELDS])
+
+
+def round_to(value: Column, places: int = 6) -> Column:
+    """Half away from zero; null where the value is null or not finite."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.round(value, places))
+
+
+def type_parameters(type_name: Column) -> Column:
+    """Parameters of a generic type: split at the commas outside any inner brackets, trimmed; none without brackets."""
+    inner = F.regexp_extract(type_name, "<(.+)>", 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = acc["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        mark = F.when((c == ",") & (acc["depth"] == 0), F.lit("\n")).otherwise(c)
+        return F.struct(depth.alias("depth"), F.concat(acc["text"], mark).alias("text"))
+
+    marked = F.aggregate(F.split(inner, ""), start, step, lambda acc: acc["text"])
+    parts = F.transform(F.split(marked, "\n"), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: x != "")
+
+
+def package_id(type_name: Column) -> Column:
+    found = F.regexp_extract(type_name, "^(0x[a-fA-F0-9]+)::", 1)
+    return F.when(found != "", found)
+
+
+def looks_like_name(ref: Column) -> Column:
+    """Whether a reference is a registered name and no address."""
+    r = F.trim(ref)
+    return ~F.startswith(r, F.lit("0x")) & (F.startswith(r, F.lit("@")) | F.contains(r, F.lit("/")))
+
+
+def valid_module_name(name: Column) -> Column:
+    return F.coalesce(name.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.lit(False))
+
+
+def bound_kind(value: Column) -> Column:
+    """What a bound is: checkpoint (digits), now, time (ISO), none (null or empty), or invalid, which callers turn
+    into an error or into no bound."""
+    v = F.trim(value)
+    return (
+        F.when(value.isNull() | (value == ""), "none").when(v.rlike("^[0-9]+$"), "checkpoint").when(F.lower(v) == "now", "now")
+        .when(F.try_to_timestamp(v).isNotNull(), "time").otherwise("invalid")
+    )

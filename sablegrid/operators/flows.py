@@ -119,23 +119,31 @@ def trace_edges(tx: DataFrame, changes: DataFrame, swaps: DataFrame, passing: Da
     return met.select("digest", "day", "sender", F.when(swap, F.col("sender")).otherwise(F.coalesce("recipient", "pool")).alias("next_address"), F.when(swap, F.col("received")).alias("next_coin"), swap.alias("is_swap"), rule.alias("rule"))
 
 
-def trace_walk(edges: DataFrame, near: DataFrame, sinks: DataFrame, seeds: DataFrame, forward: bool = True, max_hops: int = 10) -> DataFrame:
-    """A row a visited hop: seed, hop, digest, sender, next_address, stop (none, no_next, sink, no_tx, max_hops).
+def trace_walk(edges: DataFrame, near: DataFrame, sinks: DataFrame, seeds: DataFrame, directions: tuple[str, ...] = ("forward", "backward"), max_hops: int = 10) -> DataFrame:
+    """A row a visited hop: direction, seed, hop, digest, sender, next_address, stop (none, no_next, sink, no_tx, max_hops).
 
-    Every transaction's successor is worked out once for the whole ledger; a walk is then one equi-join a hop.
+    Every transaction's successor in each direction is worked out once for the whole ledger; all walks, of either
+    direction, then take one equi-join a hop.
     """
-    onward = near.select(F.col("address").alias("next_address"), "day", F.col("next_digest" if forward else "prev_digest").alias("next_digest"))
-    own = edges if forward else edges.withColumn("next_address", F.col("sender"))
-    steps = own.join(onward, ["next_address", "day"], "left").join(sinks.select(F.col("address").alias("next_address"), F.lit(True).alias("sink")), "next_address", "left")
-    steps = written(steps.select("digest", "sender", "next_address", "next_digest", F.coalesce("sink", F.lit(False)).alias("sink")), "steps")
-    active, rows = seeds.select(F.col("digest").alias("seed"), "digest"), []
+    ways = []
+    for d in directions:
+        onward = near.select(F.col("address").alias("next_address"), "day", F.col("next_digest" if d == "forward" else "prev_digest").alias("next_digest"))
+        own = edges if d == "forward" else edges.withColumn("next_address", F.col("sender"))
+        ways.append(own.join(onward, ["next_address", "day"], "left").select(F.lit(d).alias("direction"), "digest", "sender", "next_address", "next_digest"))
+    steps = ways[0]
+    for w in ways[1:]:
+        steps = steps.unionByName(w)
+    steps = steps.join(sinks.select(F.col("address").alias("next_address"), F.lit(True).alias("sink")), "next_address", "left")
+    steps = written(steps.withColumn("sink", F.coalesce("sink", F.lit(False))), "steps")
+    active, rows = seeds.select(F.explode(F.array(*map(F.lit, directions))).alias("direction"), F.col("digest").alias("seed"), "digest"), []
     for hop in range(1, max_hops + 1):
         last = F.lit("max_hops" if hop == max_hops else "none")
         stop = F.when(F.col("next_address").isNull(), "no_next").when(F.col("sink"), "sink")
         stop = stop.otherwise(last) if hop == max_hops else stop.when(F.col("next_digest").isNull(), "no_tx").otherwise(last)
-        step = written(active.join(steps, "digest").select("seed", F.lit(hop).cast("long").alias("hop"), "digest", "sender", "next_address", "next_digest", stop.alias("stop")), "trace")
+        step = active.join(steps, ["direction", "digest"]).select("direction", "seed", F.lit(hop).cast("long").alias("hop"), "digest", "sender", "next_address", "next_digest", stop.alias("stop"))
+        step = written(step, "trace")
         rows.append(step.drop("next_digest"))
-        active = step.where("stop = 'none'").select("seed", F.col("next_digest").alias("digest"))
+        active = step.where("stop = 'none'").select("direction", "seed", F.col("next_digest").alias("digest"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -182,3 +190,20 @@ def dominant_inflow(changes: DataFrame) -> DataFrame:
     """digest, inflow_cents: the largest sum of gains of one address, which counts no leg of a swap twice."""
     per = changes.where("cents > 0").groupBy("digest", "address").agg(F.sum("cents").alias("gain"))
     return per.groupBy("digest").agg(F.max("gain").alias("inflow_cents"))
+
+
+def trace_summary(walk: DataFrame, inflow: DataFrame) -> DataFrame:
+    """direction, seed, origin_cents, peak_cents, hops, stop, summary of each walk. Hops are never summed: it is the
+    same money that moves on."""
+    gained = F.coalesce("inflow_cents", F.lit(0))
+    met = walk.join(inflow, "digest", "left").groupBy("direction", "seed").agg(F.min_by(gained, "hop").alias("origin_cents"), F.max(gained).alias("peak_cents"), F.count(F.lit(1)).alias("hops"), F.max_by("stop", "hop").alias("stop"))
+    said = F.concat(F.upper("direction"), F.lit(" from "), F.col("seed"), F.lit(": "), F.col("hops"), F.when(F.col("hops") == 1, " hop, ").otherwise(" hops, "), F.col("stop"))
+    return met.withColumn("summary", said)
+
+
+def hub_suggestions(fanout: DataFrame, labels: DataFrame, classes: tuple[str, ...] = ("hub",)) -> DataFrame:
+    """address, category, label, confidence for addresses of these classes that have no label. Only suggested: a label
+    decides where traces stop, so a person has to confirm it."""
+    rest = fanout.where(F.col("classification").isin(*classes)).join(labels.select("address"), "address", "left_anti")
+    label = F.concat(F.lit("Unidentified hub (~"), F.col("recipient_count"), F.lit("+ recipients)"))
+    return rest.select("address", F.lit("cex").alias("category"), label.alias("label"), F.lit("low").alias("confidence"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Words for actions; others are shown as they are.
 ACTION_WORDS = {"swap": "Swap", "add_liquidity": "Add liquidity", "remove_liquidity": "Remove liquidity", "borrow": "Borrow", "repay": "Repay", "stake": "Stake", "unstake": "Unstake", "claim_rewards": "Claim rewards"}
@@ -174,3 +175,31 @@ def _diff(a: list[str], b: list[str], excerpt: int) -> tuple[int, int, str]:
             out.append("+" + q[j])
             j += 1
     return sum(x[0] == "+" for x in out), sum(x[0] == "-" for x in out), "\n".join(out[:excerpt])
+
+
+#: Order of severities.
+SEVERITIES = ("high", "medium", "info")
+
+
+def by_severity(found: DataFrame, key: str) -> DataFrame:
+    """Findings of each key with their position: by severity, then code."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return found.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(rank, "code")).cast("long"))
+
+
+def api_totals(functions: DataFrame) -> DataFrame:
+    """Functions (package, entry, vis) of each package by class; entry functions count as such alone."""
+    of = lambda v: F.count_if(~F.col("entry") & (F.col("vis") == v)).alias(f"{v}_functions")
+    return functions.groupBy("package").agg(F.count_if("entry").alias("entry_functions"), of("public"), of("friend"), of("private"))
+
+
+def diff_summary(status: DataFrame, keys: list[str]) -> DataFrame:
+    """Modules of each status, and whether two versions are identical."""
+    kinds = [F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "changed", "unchanged")]
+    return status.groupBy(*keys).agg(*kinds, (F.count_if(F.col("status") != "unchanged") == 0).alias("identical"))
+
+
+def churn(delta: DataFrame, key: str, limit: int) -> DataFrame:
+    """Most changed first."""
+    best = delta.orderBy(F.desc(F.col("added") + F.col("removed")), key).limit(limit)
+    return best.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.col("added") + F.col("removed")), key)).cast("long"))  # over the first rows alone

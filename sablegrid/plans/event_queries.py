@@ -101,10 +101,11 @@ def usd_value(l: Ledger) -> DataFrame:
     return l.events().select("seq", F.round(sc.usd_value(F.col("cents"), sc.coin_decimals(F.lit("0x1::usdc::USDC")), price), 6).alias("usd"))
 
 
-@query(EV + " SELECT DISTINCT cents // 100 AS dollars, CASE WHEN cents // 100 = 0 THEN '$0' WHEN cents // 100 < 1000 THEN '$' || (cents // 100) || '.00' ELSE '$' || ((cents // 100) // 1000) || '.0K' END AS said, '$' || (cents // 100 + 1) || '.0M' AS millions FROM ev WHERE cents >= 0 AND (cents // 100 < 1000 OR (cents // 100) % 1000 = 0)")
+@query(EV + """ SELECT DISTINCT cents // 100 AS dollars, CASE WHEN cents // 100 = 0 THEN '$0' WHEN cents // 100 < 1000 THEN '$' || (cents // 100) || '.00' WHEN cents // 100 < 1000000 THEN '$' || ((cents // 100 + 50) // 100 // 10) || '.' || ((cents // 100 + 50) // 100 % 10) || 'K' ELSE '$' || ((cents // 100 + 50000) // 100000 // 10) || '.' || ((cents // 100 + 50000) // 100000 % 10) || 'M' END AS said,
+    CASE WHEN cents // 100 + 1 < 1000 THEN '$' || (cents // 100 + 1) || '.0M' ELSE '$' || ((cents // 100 + 51) // 100 // 10) || '.' || ((cents // 100 + 51) // 100 % 10) || 'B' END AS millions FROM ev WHERE cents >= 0""")
 def format_usd(l: Ledger) -> DataFrame:
     whole = F.floor(F.col("cents") / 100)
-    rows = l.events().where("cents >= 0").select(whole.alias("dollars")).where("dollars < 1000 or dollars % 1000 = 0").distinct()
+    rows = l.events().where("cents >= 0").select(whole.alias("dollars")).distinct()
     return rows.select("dollars", sc.format_usd(F.col("dollars").cast("double")).alias("said"), sc.format_usd((F.col("dollars") + 1) * 1e6).alias("millions"))
 
 

@@ -16,9 +16,9 @@ SINK_SQL = "('cex', 'bridge', 'mixer', 'malicious', 'burn')"
 FANOUT_SQL = BC + """, own AS (SELECT address, digest, arg_min(cents, ord) AS own, min(day) AS day FROM bc GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY day DESC, digest DESC) AS n FROM own),
     m AS (SELECT r.address, r.digest, own, n, b.address AS other, cents, coin FROM r JOIN bc b USING (digest)),
-    f AS (SELECT address, count(DISTINCT other) FILTER (n <= 50 AND own < 0 AND other <> address AND cents > 0) AS recipient_count, count(DISTINCT other) FILTER (n <= 50 AND own > 0 AND other <> address AND cents < 0) AS sender_count,
-        count(DISTINCT other) FILTER (n <= 50 AND other <> address AND ((own < 0 AND cents > 0) OR (own > 0 AND cents < 0))) AS counterparty_count, count(DISTINCT coin) FILTER (n <= 50) AS coin_type_count,
-        count(DISTINCT digest) FILTER (n <= 50) AS scanned, max(n) > 50 AS truncated FROM m GROUP BY address)
+    f AS (SELECT address, count(DISTINCT other) FILTER (n <= 1000 AND own < 0 AND other <> address AND cents > 0) AS recipient_count, count(DISTINCT other) FILTER (n <= 1000 AND own > 0 AND other <> address AND cents < 0) AS sender_count,
+        count(DISTINCT other) FILTER (n <= 1000 AND other <> address AND ((own < 0 AND cents > 0) OR (own > 0 AND cents < 0))) AS counterparty_count, count(DISTINCT coin) FILTER (n <= 1000) AS coin_type_count,
+        count(DISTINCT digest) FILTER (n <= 1000) AS scanned, max(n) > 1000 AS truncated FROM m GROUP BY address)
     SELECT *, CASE WHEN sender_count > 0 THEN recipient_count / sender_count END AS out_in_ratio,
         CASE WHEN sender_count = 0 THEN 'unknown' WHEN recipient_count >= 3 * sender_count THEN 'disperser' WHEN 100 * recipient_count <= 33 * sender_count THEN 'collector' ELSE 'balanced' END AS flow_shape,
         CASE WHEN counterparty_count >= 1000 THEN 'hub' WHEN counterparty_count >= 100 THEN 'distributor' ELSE 'narrow' END AS classification FROM f"""
@@ -38,7 +38,7 @@ WALK = ctes("bc", "lbl", recursive=True) + ", " + EDGES + """, seed AS (SELECT D
 
 @query(FANOUT_SQL)
 def fanout_all(l: Ledger) -> DataFrame:
-    return flows.fanout(l.changes(), latest=50)
+    return flows.fanout(l.changes(), latest=1000)
 
 
 @query(BC + ", " + EDGES + " SELECT * FROM edge")
@@ -87,7 +87,7 @@ def trace_edges(l: Ledger) -> DataFrame:
     return _edges(l)
 
 
-_HOPS = """{n} AS (SELECT digest AS seed, 1 AS hop, digest FROM tx WHERE digest % 1000 = 1 UNION ALL SELECT seed, hop + 1, {c} FROM {n} JOIN te USING (digest) JOIN near ON near.address = {a} AND near.day = te.day
+_HOPS = """{n} AS (SELECT digest AS seed, 1 AS hop, digest FROM tx UNION ALL SELECT seed, hop + 1, {c} FROM {n} JOIN te USING (digest) JOIN near ON near.address = {a} AND near.day = te.day
     WHERE hop < 10 AND {c} IS NOT NULL AND {a} NOT IN (SELECT address FROM lbl WHERE category IN """ + SINK_SQL + "))"
 _SAID = """SELECT '{d}' AS direction, seed, hop::BIGINT AS hop, digest, te.sender, {a} AS next_address, CASE WHEN {a} IS NULL THEN 'no_next' WHEN {a} IN (SELECT address FROM lbl WHERE category IN """ + SINK_SQL + """) THEN 'sink'
     WHEN hop = 10 THEN 'max_hops' WHEN {c} IS NULL THEN 'no_tx' ELSE 'none' END AS stop FROM {n} JOIN te USING (digest) LEFT JOIN near ON near.address = {a} AND near.day = te.day"""
@@ -99,9 +99,8 @@ _SAID = """SELECT '{d}' AS direction, seed, hop::BIGINT AS hop, digest, te.sende
 )
 def trace_walk(l: Ledger) -> DataFrame:
     edges, near = written_edges(l), flows.neighbours(l.changes())
-    seeds, sinks = l.transactions().where("digest % 1000 = 1").select("digest"), labels(l).where(F.col("category").isin(*SINKS))
-    both = [flows.trace_walk(edges, near, sinks, seeds, forward).withColumn("direction", F.lit(name)) for name, forward in (("forward", True), ("backward", False))]
-    return both[0].unionByName(both[1])
+    sinks = labels(l).where(F.col("category").isin(*SINKS))
+    return flows.trace_walk(edges, near, sinks, l.transactions().select("digest"))
 
 
 def written_edges(l: Ledger) -> DataFrame:

@@ -65,11 +65,11 @@ def trade_participation(l: Ledger) -> DataFrame:
     return market.participation(sides.join(volume, "digest"), ["maker", "taker"], "digest", "volume")
 
 
-_HELD = ctes("tx", "ln") + ", h AS (SELECT o_custkey AS owner, l_partkey AS item, sum(l_quantity)::BIGINT AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), px AS (SELECT p_partkey AS item, round(p_retailprice * 100)::BIGINT AS price FROM part WHERE p_partkey % 7 <> 0)"
+_HELD = ctes("tx", "ln") + ", h AS (SELECT o_custkey AS owner, l_partkey AS item, sum(l_quantity)::BIGINT AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), px AS (SELECT p_partkey AS item, round(p_retailprice * 100)::BIGINT AS price FROM part)"
 
 
 def _prices(l: Ledger) -> DataFrame:
-    return l.table("part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("item"), cents("p_retailprice").alias("price"))
+    return l.table("part").select(F.col("p_partkey").alias("item"), cents("p_retailprice").alias("price"))
 
 
 def _holdings(l: Ledger) -> DataFrame:

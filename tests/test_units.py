@@ -87,7 +87,7 @@ def test_trace_edges_and_stops(spark):
     edges = flows.trace_edges(tx, c, swaps, passing)
     got = {r.digest: (r.next_address, r.next_coin, r.rule) for r in edges.collect()}
     assert got == {1: ("B", None, "recipient"), 2: ("P", None, "pool_fallback"), 3: ("A", "x", "swap"), 4: (None, None, "stop"), 5: ("B", None, "recipient")}
-    walk = flows.trace_walk(edges, flows.neighbours(c), spark.createDataFrame([("P",)], "address string"), spark.createDataFrame([(1,), (2,), (3,)], "digest long"), max_hops=3)
+    walk = flows.trace_walk(edges, flows.neighbours(c), spark.createDataFrame([("P",)], "address string"), spark.createDataFrame([(1,), (2,), (3,)], "digest long"), ("forward",), max_hops=3)
     assert rows(walk.select("seed", "hop", "digest", "stop"), "seed", "hop") == [(1, 1, 1, "none"), (1, 2, 5, "no_tx"), (2, 1, 2, "sink"), (3, 1, 3, "none"), (3, 2, 4, "no_next")]
 
 
