@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +18,8 @@ from .shared import materialize
 
 #: Wrappers (characters of JSON) that may be broadcast; beyond it they are joined to the pages by shuffle.
 BROADCAST_CHARS = 8_000_000
+#: Hosts that may be broadcast.
+BROADCAST_HOSTS = 200_000
 
 #: Element names of the HTML standard and common names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,8 +36,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPE = frozenset("html body table ul ol dl select div article section main aside nav header footer form blockquote td th".split())
 
-#: Elements nested deeper are read as part of the one around them, as browsers do at some depth.
+#: Elements nested deeper are read as part of the one around them, as browsers do at some depth; furniture among them
+#: is still left out.
 DEEPEST = 200
+#: Products of the lengths of two part lists up to which their longest common sequence is worked out.
+TABLE = 250_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)|[^<]+|<",
@@ -66,12 +73,22 @@ def label(name: str, attributes: str) -> str:
     return ".".join([name, *sorted(words)])
 
 
+def furniture(label: str) -> bool:
+    """Whether a part with this label holds no main text."""
+    words = label.split(".")
+    return words[0] in HIDDEN or any(w in FURNITURE or w == "hidden" or (w.startswith("role=") and w[5:] in ROLES) for w in words[1:])
+
+
 def events(html: str | None) -> Iterator[tuple[str, str]]:
     """("open", label), ("close", name) and ("text", characters) of a page, with implied end tags put in."""
-    pos, text, stack = 0, html or "", []
+    pos, text, stack, muted = 0, html or "", [], []  # muted: places of open furniture below DEEPEST
+    held: Counter = Counter()  # open elements by name
 
     def shut() -> tuple[str, str]:
         name = stack.pop()
+        held[name] -= 1
+        if muted and muted[-1] == len(stack):
+            muted.pop()
         return ("close", name) if len(stack) < DEEPEST else ("block" if name in BLOCKS else "text", "")
 
     while pos < len(text):
@@ -79,13 +96,14 @@ def events(html: str | None) -> Iterator[tuple[str, str]]:
         pos, raw, name = m.end(), m[0], (m[2] or "").lower()
         if not name:
             if not raw.startswith(("<!", "<?")) or raw.startswith("<![CDATA["):
-                yield "text", raw[9:].removesuffix("]]>") if raw.startswith("<![CDATA[") else entities.unescape(raw)
+                if not muted:
+                    yield "text", raw[9:].removesuffix("]]>") if raw.startswith("<![CDATA[") else entities.unescape(raw)
             continue
         if m[1]:
-            if name in stack:
-                at = len(stack) - 1 - stack[::-1].index(name)
-                while len(stack) > at:
+            if held[name]:
+                while stack[-1] != name:
                     yield shut()
+                yield shut()
             elif name == "br":
                 yield "text", " "
             continue
@@ -95,10 +113,10 @@ def events(html: str | None) -> Iterator[tuple[str, str]]:
                 yield "block", ""
             continue
         ends = ENDS.get(name, ())
-        if name in BLOCKS and "p" in stack:
+        if name in BLOCKS and held["p"]:
             ends = (*ends, "p")
         for end in ends:
-            if end in stack:
+            if held[end]:
                 at = len(stack) - 1 - stack[::-1].index(end)
                 if end == "p" or not SCOPE & set(stack[at + 1 :]) - {end}:
                     if end == "p" and {"table", "article", "section", "div"} & set(stack[at + 1 :]):
@@ -106,8 +124,11 @@ def events(html: str | None) -> Iterator[tuple[str, str]]:
                     while len(stack) > at:
                         yield shut()
         stack.append(name)
+        held[name] += 1
         if len(stack) <= DEEPEST:
             yield "open", label(name, m[3])
+        elif furniture(label(name, m[3])):
+            muted.append(len(stack) - 1)
         elif name in BLOCKS:
             yield "block", ""
         if name in RAW:
@@ -164,25 +185,66 @@ def align(a: list, b: list) -> list:
     """One wrapper for all that a or b fits: parts that match in order are merged, the others become optional."""
     if a == b:
         return a
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            (name, x, p), (_, y, q) = a[i], b[j]
-            out.append([name, _sign("?" in x + y or "*" in x + y, "+" in x + y or "*" in x + y), align(p, q)])
-            i, j = i + 1, j + 1
-        else:
-            left = j == m or (i < n and best[i + 1][j] >= best[i][j + 1])
-            name, sign, inner = a[i] if left else b[j]
-            i, j = (i + 1, j) if left else (i, j + 1)
-            out.append([name, _sign(True, sign in ("+", "*")), inner])
+    for p, q in [*common([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
+        out += [[name, _sign(True, sign in ("+", "*")), inner] for name, sign, inner in a[i:p] + b[j:q]]
+        if p < len(a):
+            (name, x, own), (_, y, other) = a[p], b[q]
+            out.append([name, _sign("?" in x + y or "*" in x + y, "+" in x + y or "*" in x + y), align(own, other)])
+        i, j = p + 1, q + 1
     return fold(out)
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common sequence: equal ends first; between them a longest one, or, where that were too much work,
+    what a walk finds that goes on at the nearer of each label's next places. Either way the wrapper fits both."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out, n, m, i, j = [(k, k) for k in range(head)], len(a) - tail, len(b) - tail, head, head
+    if (n - head) * (m - head) <= TABLE:
+        best = [[0] * (m + 1 - head) for _ in range(n + 1 - head)]
+        for x in range(n - head - 1, -1, -1):
+            for y in range(m - head - 1, -1, -1):
+                best[x][y] = best[x + 1][y + 1] + 1 if a[x + head] == b[y + head] else max(best[x + 1][y], best[x][y + 1])
+        while i < n and j < m:
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1 - head][j - head] >= best[i - head][j + 1 - head]:
+                i += 1
+            else:
+                j += 1
+    else:
+        places: tuple[dict, dict] = ({}, {})
+        for where, labels, stop in ((places[0], a, n), (places[1], b, m)):
+            for k in range(stop - 1, head - 1, -1):
+                where.setdefault(labels[k], []).append(k)
+
+        def after(where: dict, label: str, k: int) -> int:
+            left = where.get(label, [])
+            while left and left[-1] < k:
+                left.pop()
+            return left[-1] if left else len(a) + len(b)
+
+        while i < n and j < m:
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+                continue
+            in_b, in_a = after(places[1], a[i], j) - j, after(places[0], b[j], i) - i
+            if min(in_a, in_b) > len(a) + len(b) - max(i, j) - 1:  # neither label comes again
+                i, j = i + 1, j + 1
+            elif in_b <= in_a:
+                j += in_b
+            else:
+                i += in_a
+    return out + [(n + k, m + k) for k in range(tail)]
+
+
 def expression(wrapper: list) -> str:
     """The wrapper as a regular expression over tags, for people to read."""
     out = []
@@ -205,7 +267,7 @@ def content(wrapper: list) -> tuple[bool, set[str]]:
                 paths[path] = inside
                 continue
             words = name.split(".")
-            if words[0] in HIDDEN or any(w in FURNITURE or w == "hidden" or (w.startswith("role=") and w[5:] in ROLES) for w in words[1:]):
+            if furniture(name):
                 continue
             article = words[0] in ("article", "main") or "role=main" in words or "role=article" in words
             marked = marked or article
@@ -215,19 +277,21 @@ def content(wrapper: list) -> tuple[bool, set[str]]:
     return marked, {p for p, inside in paths.items() if inside or not marked}
 
 
-def extract(html: str | None, main: set[str]) -> str:
-    """Text of the slots at the given paths: blocks in page order, one line each."""
-    out, block, path = [], [], [""]
+def blocks(html: str | None, main: set[str] | None) -> list[tuple[str, str]]:
+    """(path, line) of the page's blocks in order: text of the slots at the given paths, or at all."""
+    out, block, path, at = [], [], [""], ""
 
     def end() -> None:
         line = SPACES.sub(" ", "".join(block)).strip()
         if line:
-            out.append(line)
+            out.append((at, line))
         block.clear()
 
     for kind, x in events(html):
         if kind == "text":
-            if path[-1] in main:
+            if main is None or path[-1] in main:
+                if not block:
+                    at = path[-1]
                 block.append(x)
             continue
         if kind == "block":
@@ -240,14 +304,27 @@ def extract(html: str | None, main: set[str]) -> str:
         else:
             path.pop()
     end()
-    return "\n".join(out)
+    return out
+
+
+def constant(path: str, line: str) -> int:
+    """Key of a block's text at its path."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{line}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def extract(html: str | None, main: set[str], constants: set[int] = frozenset()) -> str:
+    """Text of the slots at the given paths without what is constant: blocks in page order, one line each."""
+    return "\n".join(line for path, line in blocks(html, main) if not constants or constant(path, line) not in constants)
 
 
 @dataclass(frozen=True)
 class WrapperParams:
-    """spread: groups that the page shapes of one host are dealt to before the last step of alignment."""
+    """spread: groups that the page shapes of one host are dealt to before the last step of alignment. pages, share: a
+    text that so many different pages of a host and such a part of them have at one path is a constant of the wrapper."""
 
     spread: int = 64
+    pages: int = 3
+    share: float = 0.5
 
 
 def host(url: str = "url"):
@@ -277,33 +354,66 @@ def infer(pages: DataFrame, p: WrapperParams = WrapperParams()) -> DataFrame:
     return once.groupBy("host").applyInPandas(merge, "host string, shape string").withColumnRenamed("shape", "wrapper")
 
 
+def constants(pages: DataFrame, rules: DataFrame, p: WrapperParams) -> DataFrame:
+    """(host, constants): texts that the pages of a host have in common, for hosts that don't mark their articles.
+
+    Only counts of (host, path and text) meet; a page that occurs several times is one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 200):
+                rows = []
+                for h, page in zip(b["host"].iloc[i : i + 200], b["html"].iloc[i : i + 200]):
+                    own = constant("", page or "")
+                    rows += [(h, k, own) for k in {0, *(constant(*x) for x in blocks(page, None))}]
+                yield pd.DataFrame(rows, columns=["host", "key", "page"])
+
+    unmarked = F.broadcast(rules.where("not marked").select("host")) if rules.count() <= BROADCAST_HOSTS else rules.where("not marked").select("host")
+    rows = pages.select(host().alias("host"), "html").join(unmarked, "host", "left_semi")
+    seen = rows.mapInPandas(run, "host string, key long, page long").distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    seen = materialize(seen.where(F.col("n") >= p.pages), "constants")
+    whole = seen.where("key = 0").select("host", F.col("n").alias("whole"))
+    common = seen.where("key <> 0").join(whole, "host").where(F.col("n") >= F.lit(p.share) * F.col("whole"))
+    return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("constants"))  # 1 / share of a page's texts at most
+
+
 def main_text(pages: DataFrame, p: WrapperParams = WrapperParams()) -> DataFrame:
     """One row per row of pages: page_id, url, text.
 
     Main text are the text slots of the host's wrapper that lie in no menu, header, footer, sidebar, notice, advert,
-    form, script, style, markup or reader comment, judged by the tags around the slot; if the host marks articles
-    anywhere, only what lies in one (pages of such a host that lack an article are read without that condition).
+    form, script, style, markup or reader comment, judged by the tags around the slot. If the host marks articles
+    anywhere, only what lies in one counts (pages of such a host that lack an article are read without that
+    condition). If it doesn't, texts that its pages have in common at one place are constants of the wrapper, not
+    slots, and are left out, unless all the page's texts are such.
+
     Null and empty pages give an empty text. Pages without a url, or with one that has no host, share a wrapper.
-    Rows that repeat an id are extracted one by one. An empty table gives an empty result; columns other than
-    page_id, url and html are not looked at.
+    Whole pages count, however long or deep. Rows that repeat an id are extracted one by one. An empty table gives an
+    empty result; columns other than page_id, url and html are not looked at.
     """
-    rules = materialize(infer(pages, p), "wrappers")
-    size, hosts = rules.agg(F.sum(F.length("wrapper") + F.length("host")), F.count(F.lit(1))).first()
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(marked=[content(json.loads(w))[0] for w in b["wrapper"]])
+
+    rules = materialize(infer(pages, p).mapInPandas(marks, "host string, wrapper string, marked boolean"), "wrappers")
+    rules = materialize(rules.join(constants(pages, rules, p), "host", "left"), "wrappers")
+    size = rules.agg(F.sum(F.length("wrapper") + F.length("host") + 8 * F.coalesce(F.size("constants"), F.lit(0)))).first()[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple] = {}
         for b in batches:
             texts = []
-            for w, h in zip(b["wrapper"], b["html"]):
-                if w not in known:
+            for h, w, same, html in zip(b["host"], b["wrapper"], b["constants"], b["html"]):
+                if h not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[w] = content(json.loads(w)) if w else (False, set())
-                marked, main = known[w]
-                text = extract(h, main)
+                    known[h] = *(content(json.loads(w)) if w else (False, set())), frozenset() if same is None else frozenset(same.tolist())
+                marked, main, same = known[h]
+                text = extract(html, main, same) or (extract(html, main) if same else "")
                 if marked and not text:
-                    own_marked, own = content(skeleton(h))
-                    text = "" if own_marked else extract(h, own)
+                    own_marked, own = content(skeleton(html))
+                    text = "" if own_marked else extract(html, own)
                 texts.append(text)
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
@@ -311,6 +421,6 @@ def main_text(pages: DataFrame, p: WrapperParams = WrapperParams()) -> DataFrame
     if (size or 0) <= BROADCAST_CHARS:
         met = rows.join(F.broadcast(rules), "host", "left")
     else:  # a host may hold a third of the pages: its wrapper goes to several tasks
-        salted = rules.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(p.spread - 1))).alias("salt"))
+        salted = rules.select("host", "wrapper", "constants", F.explode(F.sequence(F.lit(0), F.lit(p.spread - 1))).alias("salt"))
         met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(p.spread)).cast("int")).join(salted, ["host", "salt"], "left")
-    return met.select("page_id", "url", "html", "wrapper").mapInPandas(run, "page_id long, url string, text string")
+    return met.select("page_id", "url", "html", "host", "wrapper", "constants").mapInPandas(run, "page_id long, url string, text string")

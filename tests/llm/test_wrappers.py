@@ -100,3 +100,45 @@ def test_a_wrapper_fits_all_pages_it_was_made_from():
         whole = wr.skeleton(h) if whole is None else wr.align(whole, wr.skeleton(h))
     assert all(fits(whole, raw(h)) for h in pages) and json.loads(json.dumps(whole)) == whole
     assert "(<p>#TEXT</p>)+" in wr.expression(whole) and "(<aside>#TEXT</aside>)?" in wr.expression(whole)
+
+
+def test_constants_of_a_host_are_no_main_text(spark):
+    """No article tag and no telling class words: only the host's other pages tell template from text."""
+    def made(i):
+        return f"<html><body><div>Our shop in the old town</div><div><p>Story {i} begins here.</p><p>It goes on with {i * 7}.</p></div><div>All about us</div><div>Call now</div></body></html>"
+
+    rows = [(i, f"http://plain.example/{i}", made(i), "z", 1) for i in range(12)]
+    rows += [(50 + i, "http://same.example/", "<p>Only this</p>", "z", 1) for i in range(5)] + [(60 + i, f"http://two.example/{i}", f"<p>Common</p><p>Own {i}</p>", "z", 1) for i in range(2)]
+    rows += [(70 + i, f"http://marked.example/{i}", f"<article><p>In common</p><p>Own {i}</p></article>", "z", 1) for i in range(5)]
+    got = {r.page_id: r.text for r in wr.main_text(spark.createDataFrame(rows, ROWS)).collect()}
+    for i in range(12):
+        assert got[i] == f"Story {i} begins here.\nIt goes on with {i * 7}."
+    assert all(got[50 + i] == "Only this" for i in range(5)) and all(got[60 + i] == f"Common\nOwn {i}" for i in range(2)) and all(got[70 + i] == f"In common\nOwn {i}" for i in range(5))
+
+
+def test_furniture_below_the_deepest_level():
+    html = "<div>" * 205 + "<nav>MENU<p>more</p></nav><p>body</p><div class='sidebar'>x</div>" + "</div>" * 205 + "<p>end</p>"
+    marked, main = wr.content(wr.skeleton(html))
+    assert wr.extract(html, main) == "body\nend"
+
+
+def test_long_pages_align_in_bounded_work():
+    import time
+
+    began = time.time()
+    a = wr.skeleton("<div>" + "<p>x</p><ul><li>y</li></ul>" * 10_000 + "</div>")
+    b = wr.skeleton("<div>" + "<ul><li>y</li></ul><pre>z</pre><p>x</p>" * 10_000 + "</div>")
+    both = wr.align(a, b)
+    assert time.time() - began < 20
+    assert fits(both, raw("<div><p>x</p></div>")) is not None
+
+
+def test_common_sequences():
+    import random
+
+    rng = random.Random(1)
+    for size in (5, 700):
+        a, b = ([rng.choice("abc") for _ in range(size)] for _ in range(2))
+        pairs = wr.common(a, b)
+        assert pairs == sorted(pairs) and all(a[i] == b[j] for i, j in pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        assert len(pairs) >= (0.4 * size if size > 5 else 0)
