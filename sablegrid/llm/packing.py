@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that the chunks and ids known to one Python worker may take; what was not met lately goes first.
-CACHE = 64_000_000
+CACHE = 96_000_000
 #: Bytes of an entry of a dictionary of small byte strings beside the strings' own characters.
 ENTRY = 170
-_STOPS = re.compile(rb"(?<=[a-z])([.,]+)(?=[\x20\x09-\x0D]|$)")
+_STOPS = re.compile(rb"(?<=[a-z])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|$)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -87,32 +88,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old, self.size = Tokenizer.from_file(path), {}, {}, 0
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        words = self.tokenizer.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(words.values(), default=-1) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in words.items() if t.endswith(suffix)]] = True
+
+    def ids(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each chunk with its ids. Chunks of letters alone are single words; where the tokenizer marks the tokens that
+        end a word, they are encoded many at a time and told apart by these."""
+        texts = [c.decode() for c in chunks]
+        plain = [w for w in texts if w.isalpha()] if len(self.ends) else []
+        rest = [w for w in texts if not w.isalpha()] if plain else texts
+        joined = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for some, e in zip(joined, self.tokenizer.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cuts) == len(some) + 1 and cuts[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                yield from zip([w.encode() for w in some], [raw[p:q] for p, q in zip(cuts, cuts[1:])])
+            else:
+                rest += some
+        for i in range(0, len(rest), 20_000):
+            for w, e in zip(rest[i : i + 20_000], self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False)):
+                yield w.encode(), array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [_chunks(t) for t in texts]
-        own: dict[bytes, bytes] = {}
-        new = []
-        for w in set().union(*split):
-            ids = self.young.get(w) or self.old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                own[w] = ids
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                own[w] = array("I", e.ids).tobytes()
-        for w, ids in own.items():
-            if w not in self.young:
-                self.young[w] = ids
-                self.size += len(w) + len(ids) + ENTRY
-                if self.size > CACHE // 2:
-                    self.young, self.old, self.size = {}, self.young, 0
-        return [b"".join([own[w] for w in ws]) for ws in split]
+        if self.size > CACHE // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+        new = set().union(*split).difference(self.young)
+        met = {w: self.old[w] for w in new & self.old.keys()}
+        met.update(self.ids(list(new.difference(met))))
+        self.young.update(met)
+        self.size += ENTRY * len(met) + sum(map(len, met)) + sum(map(len, met.values()))
+        known = self.young
+        return [b"".join([known[w] for w in ws]) for ws in split]
 
 
 def _chunks(text: str | None) -> list[bytes]:
-    """A text between white space, in lower case, which the tokenizer folds anyway, with the full stops and commas
+    """A text between white space, in lower case, which the tokenizer folds anyway, with the marks
     that end a chunk after a letter apart, which it splits off anyway; so fewer different strings reach it. What may
     hold a special token stays as it is."""
     raw = (text or "").encode("utf-8", "replace")
@@ -128,8 +142,8 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
             _encoders[params.tokenizer] = Encoder(params.tokenizer)
         encode = _encoders[params.tokenizer]
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024]
                 rows = []
                 for doc, ids in zip(part["doc_id"].tolist(), encode(part["text"].tolist())):
                     ids += end
