@@ -97,8 +97,9 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def closest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def closest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, barred=lambda i: slice(0, 0)) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of q (with the id it may not meet): its number, the rows of x that are nearest, and their distances.
+    barred: rows of x that a row of q may not meet either.
 
     Products of matrices tell which rows can be among them, with room for rounding; those are measured exactly.
     """
@@ -108,6 +109,7 @@ def closest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: i
         slack = 1e-9 * ((part * part).sum(1) + (x * x).sum(1).max(initial=0))
         for i, d in enumerate(rough):
             d[ids == own[a + i]] = np.inf
+            d[barred(a + i)] = np.inf
             bound = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
             j = np.flatnonzero((d <= bound + slack[i]) & (d < np.inf))
             true = exact(part[i], x[j])
@@ -168,8 +170,9 @@ def nearest(vectors: DataFrame, p: TreeParams = TreeParams(), every: int = 100)
     none. Ties go to the smaller vec_id. Columns other than vec_id and embedding are not looked at.
 
     The tree is fitted on a bounded sample; all rows are indexed. How many leaves a query visits is calibrated on
-    probes whose true neighbours among all rows are known. Leaves are searched by tasks that each hold a block of one
-    leaf and give its k best for each query that visits it, so a leaf that holds a third of all rows is many tasks.
+    probes whose true neighbours among all rows are known. Leaves are searched by tasks that each hold a block of
+    neighbouring leaves, or of one large leaf, and give the k best of those that a query visits; so a leaf that holds
+    a third of all rows is many tasks.
     If the visits together would miss k candidates, the query visits further leaves: the walk counts the candidates
     of the leaves it has seen.
     """
@@ -191,7 +194,11 @@ def _local(p: TreeParams):
         out = []
         if len(queries) and len(found):
             ids, own = found["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-            for i, j, d in closest(_matrix(queries["q"]), _matrix(found["v"]), ids, own, p.k):
+            barred = {}
+            if "leaves" in queries:
+                leaf, visited = found["leaf"].to_numpy(), queries["leaves"].tolist()
+                barred = {"barred": lambda i: ~np.isin(leaf, visited[i])}
+            for i, j, d in closest(_matrix(queries["q"]), _matrix(found["v"]), ids, own, p.k, **barred):
                 out += zip([int(own[i])] * len(j), ids[j].tolist(), d.tolist())
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -233,22 +240,30 @@ def _search(rows: DataFrame, p: TreeParams, every: int) -> DataFrame:
     visits = widen(tree, probes[0], [known["leaf"][known["probe"] == i].to_numpy() for i in range(len(probes[0]))], p.recall)
 
     held = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row a leaf
-    blocks = {leaf: -(-n // p.block) for leaf, n in held.items()}
-    layout = spark.createDataFrame(sorted(blocks.items()) or [(0, 1)], "leaf int, blocks int")
+    owner, blocks, room = {}, [], 0  # neighbouring leaves share a task up to a block of rows; a larger leaf is several blocks
+    for leaf, n in sorted(held.items()):
+        if not blocks or n > room:
+            blocks.append(-(-n // p.block))
+            room = p.block * blocks[-1]
+        owner[leaf] = len(blocks) - 1
+        room -= n
+    layout = spark.createDataFrame([(leaf, o, blocks[o]) for leaf, o in owner.items()] or [(0, 0, 1)], "leaf int, owner int, blocks int")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = shipped.value[0]
         for b in batches:
             out = []
             for i, v in zip(b["vec_id"].tolist(), b["v"]):
-                seen = 0
+                seen, visited = 0, {}
                 for n, leaf in enumerate(tree.best_bins(np.asarray(v, float))):
                     if n >= visits and seen > p.k:
                         break
-                    seen += held.get(leaf, 0)
-                    out += [(i, v, leaf, block) for block in range(blocks.get(leaf, 0))]
-            yield pd.DataFrame(out, columns=["query_id", "q", "leaf", "block"])
+                    if leaf in held:
+                        seen += held[leaf]
+                        visited.setdefault(owner[leaf], []).append(leaf)
+                out += [(i, v, o, block, leaves) for o, leaves in visited.items() for block in range(blocks[o])]
+            yield pd.DataFrame(out, columns=["query_id", "q", "owner", "block", "leaves"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(walk, "query_id long, q array<double>, leaf int, block int")
+    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(walk, "query_id long, q array<double>, owner int, block int, leaves array<int>")
     dealt = indexed.join(F.broadcast(layout), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    return asked.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block")).applyInPandas(_local(p), "query_id long, vec_id long, score double")
+    return asked.groupBy("owner", "block").cogroup(dealt.groupBy("owner", "block")).applyInPandas(_local(p), "query_id long, vec_id long, score double")
