@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import written
+
 
 def group_events(events: DataFrame, key: str, value: Column | None = None, scale: int = 1) -> DataFrame:
     """key, event_count, value_sum, missing_value_count. Rows with a null or empty key are not in any group.
@@ -33,17 +35,25 @@ def percentiles(values: DataFrame, column: str, ranks: dict[str, int], buckets:
     Equal values are one row with a count. Values are dealt to at most `buckets` equal ranges; a range starts at the
     count of those before it, so only the ranges' counts meet in one task and each range is numbered by its own.
     """
-    hist = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    whole = hist.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("n")).cast("long").alias("total"), F.sum("n").alias("rows"))
+    return _ranked(values.select(F.lit(column).alias("metric"), F.col(column).alias("v")), [column], ranks, buckets).drop("metric")
+
+
+def _ranked(rows: DataFrame, metrics: list[str], ranks: dict[str, int], buckets: int) -> DataFrame:
+    """A row for each metric of rows (metric, v), all metrics in one pass. The counts of equal values are written once,
+    for the metrics' bounds, the ranges' counts and the ranks all read them."""
+    hist = written(rows.where("v is not null").groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n")), "values")
+    whole = hist.groupBy("metric").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("n")).cast("long").alias("total"), F.sum("n").alias("rows"))
     bucket = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("min")) / F.greatest(F.lit(1), F.col("max") - F.col("min")) * buckets)).cast("int")
-    dealt = hist.crossJoin(F.broadcast(whole)).withColumn("bucket", bucket)  # the other side is one row
-    sizes = dealt.groupBy("bucket").agg(F.sum("n").alias("held"))
-    starts = sizes.withColumn("start", F.sum("held").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("held")).drop("held")
-    upto = F.sum("n").over(W.partitionBy("bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("start")
-    placed = dealt.join(F.broadcast(starts), "bucket").withColumn("upto", upto)
+    dealt = hist.join(F.broadcast(whole), "metric").withColumn("bucket", bucket)  # a row a metric
+    sizes = dealt.groupBy("metric", "bucket").agg(F.sum("n").alias("held"))
+    before = W.partitionBy("metric").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)  # a row a range
+    starts = sizes.withColumn("start", F.sum("held").over(before) - F.col("held")).drop("held")
+    upto = F.sum("n").over(W.partitionBy("metric", "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("start")
+    placed = dealt.join(F.broadcast(starts), ["metric", "bucket"]).withColumn("upto", upto)
     at = {name: F.greatest(F.lit(1), F.ceil(F.col("rows") * p / 100.0)) for name, p in ranks.items()}
     picks = [F.max(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("n") < r), F.col("v"))).alias(name) for name, r in at.items()]
-    return placed.agg(F.min("min").alias("min"), *picks, F.max("max").alias("max"), F.max("total").alias("total"))
+    found = placed.groupBy("metric").agg(F.min("min").alias("min"), *picks, F.max("max").alias("max"), F.max("total").alias("total"))
+    return rows.sparkSession.createDataFrame([(m,) for m in metrics], "metric string").join(found, "metric", "left")
 
 
 RANKS = {"p25": 25, "median": 50, "p75": 75, "p95": 95}
@@ -51,11 +61,8 @@ RANKS = {"p25": 25, "median": 50, "p75": 75, "p95": 95}
 
 def distribution(groups: DataFrame, metrics: list[str]) -> DataFrame:
     """A row a metric over all groups."""
-    rows = [percentiles(groups, m, RANKS).select(F.lit(m).alias("metric"), "*") for m in metrics]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics]))
+    return _ranked(groups.select(each.alias("x")).select("x.*"), metrics, RANKS, 1000)
 
 
 def totals(events: DataFrame, key: str, budget: int | None = None) -> DataFrame:

@@ -45,12 +45,19 @@ def keyset_page(rows: DataFrame, key: str, after: object, limit: int) -> DataFra
 def resolve_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     """asked (term) with the best match among names (id, name): equal without case, else one that contains the term.
 
-    Equal names come from an equi-join; only terms without one are matched by substring, against the distinct names.
+    Equal names come from an equi-join; terms without one are matched by substring against the distinct names that
+    have the term's first three letters in them. Only terms of one or two letters meet all names.
     """
     low = names.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("id", "name")).alias("best"))
     equal = asked.join(low, F.lower("term") == F.col("low"), "left").select("term", F.col("best.id").alias("id"), F.col("best.name").alias("name"), F.when(F.col("best").isNotNull(), F.lit(0)).alias("rank"))
     rest = equal.where("rank is null").select("term")
-    part = rest.join(low, F.contains("low", F.lower("term"))).groupBy("term").agg(F.min(F.struct("best.name", "best.id")).alias("b"))
+    term, three = F.lower("term"), lambda c, at: F.substr(c, at, F.lit(3))
+    within = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda at: three(F.col("low"), at)))
+    threes = low.where(F.length("low") >= 3).select("low", "best", F.explode(within).alias("three"))
+    asked_once = rest.distinct()
+    longer = asked_once.where(F.length(term) >= 3).withColumn("three", three(term, F.lit(1))).join(threes, "three").where(F.contains("low", term))
+    shorter = asked_once.where(F.length(term) < 3).join(low, F.contains("low", term))
+    part = longer.select("term", "best").unionByName(shorter.select("term", "best")).groupBy("term").agg(F.min(F.struct("best.name", "best.id")).alias("b"))
     found = rest.join(part, "term", "left").select("term", F.col("b.id").alias("id"), F.col("b.name").alias("name"), F.when(F.col("b").isNotNull(), F.lit(1)).alias("rank"))
     return equal.where("rank is not null").unionByName(found)
 

@@ -17,16 +17,35 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def transitions(versions: DataFrame) -> DataFrame:
-    """Owner changes of each object in version order: object, from_owner, to_owner, at_version."""
-    before = F.lag("owner").over(W.partitionBy("object").orderBy("version"))
-    return versions.withColumn("from_owner", before).where(F.col("from_owner").isNotNull() & (F.col("from_owner") != F.col("owner"))).select("object", "from_owner", F.col("owner").alias("to_owner"), F.col("version").alias("at_version"))
+def transitions(versions: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Owner changes of each object in version order: object, from_owner, to_owner, at_version.
+
+    Versions are cut into spans, so an object that holds most rows is many tasks; the first of a span follows the last
+    of the object's span before.
+    """
+    cut = versions.select("object", "version", "owner", F.floor(F.col("version") / span).alias("_span"))
+    ends = cut.groupBy("object", "_span").agg(F.max_by("owner", "version").alias("_end"))
+    inherited = ends.select("object", "_span", F.lag("_end").over(W.partitionBy("object").orderBy("_span")).alias("_end"))
+    w = W.partitionBy("object", "_span").orderBy("version")
+    before = F.when(F.col("_n") == 1, F.col("_end")).otherwise(F.col("_lag"))
+    met = cut.withColumn("_n", F.row_number().over(w)).withColumn("_lag", F.lag("owner").over(w)).join(inherited, ["object", "_span"])
+    return met.withColumn("from_owner", before).where(F.col("from_owner").isNotNull() & (F.col("from_owner") != F.col("owner"))).select("object", "from_owner", F.col("owner").alias("to_owner"), F.col("version").alias("at_version"))
 
 
-def select_until(rows: DataFrame, keys: list[str], amount: str, target: Column, order: list[Column]) -> DataFrame:
-    """Rows in order until their sum reaches the target: those before which the sum was still short."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(amount).over(w)).where(F.col("running") - F.col(amount) < target)
+def select_until(rows: DataFrame, keys: list[str], amount: str, target: Column, order: list[Column], band: Column) -> DataFrame:
+    """Rows in order until their sum reaches the target: those before which the sum was still short.
+
+    Amounts are not negative. band is a whole number that never falls in the order: a band starts at the sum of those
+    before it, bands that start at the target or beyond are dropped before any row is sorted, and each other band
+    is sorted apart.
+    """
+    cut = rows.withColumn("_band", band)
+    sums = cut.groupBy(*keys, "_band").agg(F.sum(amount).alias("_sum"))
+    so_far = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, 0))
+    starts = sums.select(*keys, "_band", (so_far - F.col("_sum")).alias("_start")).where(F.col("_start") < target)
+    w = W.partitionBy(*keys, "_band").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    met = cut.join(starts, [*keys, "_band"]).withColumn("running", F.sum(amount).over(w) + F.col("_start"))
+    return met.where(F.col("running") - F.col(amount) < target).select(*rows.columns, "running")
 
 
 def as_of(rows: DataFrame, samples: DataFrame, keys: list[str], at: str, sample_at: str, values: list[str], span: int = 86_400) -> DataFrame:

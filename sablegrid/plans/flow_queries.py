@@ -187,7 +187,8 @@ def latest_n(l: Ledger) -> DataFrame:
 @query(BC + ", c AS (SELECT address, digest, ord, cents, sum(cents) OVER (PARTITION BY address ORDER BY cents DESC, digest, ord)::BIGINT AS running FROM bc WHERE cents > 0) SELECT * FROM c WHERE running - cents < 10000000")
 def coin_selection(l: Ledger) -> DataFrame:
     rows = l.changes().where("cents > 0").select("address", "digest", "ord", "cents")
-    return windows.select_until(rows, ["address"], "cents", F.lit(10_000_000), [F.desc("cents"), F.asc("digest"), F.asc("ord")])
+    band = F.floor(-8 * F.log2("cents"))  # larger amounts come first
+    return windows.select_until(rows, ["address"], "cents", F.lit(10_000_000), [F.desc("cents"), F.asc("digest"), F.asc("ord")], band)
 
 
 @query(ctes("bc", "tx") + ", k AS (SELECT 'C' || n AS address FROM range(1, 6) r(n) UNION ALL SELECT 'S' || n FROM range(1, 6) r(n)), t AS (SELECT digest, address FROM bc UNION SELECT digest, sender FROM tx), i AS (SELECT digest, string_agg(DISTINCT address, ',' ORDER BY address) AS involved FROM t WHERE address IN (SELECT address FROM k) GROUP BY 1) SELECT digest, day, involved FROM tx JOIN i USING (digest) WHERE day BETWEEN 100 AND 2000 ORDER BY day, digest LIMIT 60")

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a local folder of this session's own where that is unset."""
+    """spark.checkpoint.dir, which all executors share. Where that is unset, a folder of this machine in local mode and
+    an error on a cluster, whose executors would not see it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sablegrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sablegrid-"))
     return sc.getCheckpointDir()
 
 
