@@ -123,6 +123,41 @@ def test_as_of_spans_and_ties(spark):
         assert rows(got, "key", "at") == [("k", 1, None, None), ("k", 5, 5, 1), ("k", 10, 8, 2), ("k", 999, 11, 3), ("n", 5, None, None)]
 
 
+def test_owner_changes_across_spans(spark):
+    random.seed(2)
+    made = [(o, v, random.choice("abc")) for o in "xyz" for v in random.sample(range(60), 25)] + [("one", 7, "a"), ("null", 1, None), ("null", 2, "a")]
+    df = spark.createDataFrame(made, "object string, version long, owner string")
+    want = []
+    for o in {m[0] for m in made}:
+        own = sorted((v, w) for x, v, w in made if x == o)
+        want += [(o, a[1], b[1], b[0]) for a, b in zip(own, own[1:]) if a[1] is not None and a[1] != b[1]]
+    for span in (1, 4, 1000):
+        assert rows(windows.transitions(df, span=span), "object", "at_version") == sorted(want, key=lambda r: (r[0], r[3]))
+
+
+def test_running_sums_in_bands(spark):
+    random.seed(3)
+    made = [(k, i, random.choice((1, 2, 3, 7, 8, 500, 501, 40_000))) for k in "ab" for i in range(80)] + [("c", 0, 10)]
+    df = spark.createDataFrame(made, "k string, id long, n long")
+    for target in (0, 1, 9, 40_000, 100_000, 10**9):
+        want = []
+        for k in "abc":
+            total = 0
+            for _, i, n in sorted((m for m in made if m[0] == k), key=lambda m: (-m[2], m[1])):
+                if total < target:
+                    total += n
+                    want.append((k, i, n, total))
+        got = windows.select_until(df, ["k"], "n", F.lit(target), [F.desc("n"), F.asc("id")], F.floor(-8 * F.log2("n")))
+        assert rows(got, "k", "id") == sorted(want)
+
+
+def test_names_by_parts(spark):
+    names = spark.createDataFrame([(1, "Abc"), (2, "xabcx"), (3, "q"), (4, "zz"), (5, None), (6, "bcbcd")], "id long, name string")
+    asked = spark.createDataFrame([(t,) for t in ("ABC", "bcx", "BcD", "z", "q", "none", "bcbcdz", "bcx")], "term string")
+    got = rows(search.resolve_names(asked, names), "term")
+    assert got == [("ABC", 1, "Abc", 0), ("BcD", 6, "bcbcd", 1), ("bcbcdz", None, None, None), ("bcx", 2, "xabcx", 1), ("bcx", 2, "xabcx", 1), ("none", None, None, None), ("q", 3, "q", 0), ("z", 4, "zz", 1)]
+
+
 def test_one_sided_book_and_no_oracle(spark):
     b = spark.createDataFrame([("p", "bid", 10, 3)], "pair string, side string, price long, qty long")
     r = market.book_summary(b, ["pair"]).first()
