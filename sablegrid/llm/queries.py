@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .context_tree import lm_scores
 from .exact_dedup import exact_dedup
+from .hash_tree import even_tree, grown, shard
 from .nearest import nearest
 from .packing import PackParams, best_fit_pack
 from .pieces import SampleParams, sampled
@@ -72,6 +73,46 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents"))
 
 
+#: 24 shards in 2 regions of 3 racks, and the same with one more.
+TREE = even_tree(2, 3, 4)
+LARGER = grown(TREE, 24)
+
+
+def op11_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_read(spark, sf_dir, "documents"), TREE, LARGER)
+
+
+#: The 256 remainders of CRC-32 as a list, and the CRC-32 of a text's bytes from it, one byte after the other.
+CRC_TABLE = """crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS rest FROM range(256) AS r(i))"""
+
+
+def _crc32(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda a, b: xor(a >> 8, rest[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _shard_sql() -> str:
+    """The descent with a table of the tree's nodes: the child of the least draw at each level."""
+    nodes = []
+    for tree, racks in (("now", TREE), ("then", LARGER)):
+        for g, of in racks.items():
+            nodes.append((tree, 1, "", f"/{g}", sum(sum(s.values()) for s in of.values())))
+            for r, shards in of.items():
+                nodes.append((tree, 2, f"/{g}", f"/{g}/{r}", sum(shards.values())))
+                nodes += [(tree, 3, f"/{g}/{r}", f"/{g}/{r}/{s}", w) for s, w in shards.items()]
+    values = ", ".join(f"('{t}', {k}, '{up}', '{path}', {w}::DOUBLE)" for t, k, up, path, w in nodes)
+    down = lambda k, before: f"""l{k} AS (SELECT uid, key, b.tree, arg_min(n.path, -ln((('0x' || substr(md5(key || n.path), 1, 13))::BIGINT::DOUBLE + 0.5) / pow(2, 52)) / w) AS path
+            FROM {before} AS b JOIN nodes AS n ON n.tree = b.tree AND level = {k} AND up = b.path GROUP BY ALL)"""
+    return f"""
+        WITH {CRC_TABLE}, nodes(tree, level, up, path, w) AS (VALUES {values}),
+        t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(doc_id::VARCHAR, '') AS key, coalesce(text, '') AS body FROM documents),
+        l0 AS (SELECT uid, key, tree, '' AS path FROM t, (SELECT DISTINCT tree FROM nodes)),
+        {down(1, "l0")}, {down(2, "l1")}, {down(3, "l2")},
+        s AS (SELECT uid, max(split_part(path, '/', 4)::INT) FILTER (tree = 'now') AS shard, max(split_part(path, '/', 4)::INT) FILTER (tree = 'then') AS grown_shard FROM l3 GROUP BY uid),
+        r AS (SELECT doc_id, strlen(body)::BIGINT + 8 AS size, {_crc32("body")} AS text_crc32, shard, grown_shard FROM t JOIN s USING (uid), crc)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM r"""
+
+
 def _secret_sql() -> str:
     """Every rule's matches with the text before each, as positions from running sums."""
     rules = BASE_RULES + MORE_RULES
@@ -103,6 +144,7 @@ QUERIES = {
     "op8_gumbel_segmentations": op8_gumbel_segmentations,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hash_tree_shards": op11_hash_tree_shards,
 }
 
 ORACLE_SQL = {
@@ -111,4 +153,5 @@ ORACLE_SQL = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
+    "op11_hash_tree_shards": _shard_sql(),
 }
