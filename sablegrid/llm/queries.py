@@ -16,6 +16,7 @@ from .secrets import BASE_RULES, MORE_RULES, digest, secret_scan
 from .simhash import simhash_dedup
 from .skip_chain import digest as entity_digest
 from .skip_chain import find_entities
+from .spelling import spelling_groups
 from .wrappers import main_text
 
 
@@ -113,6 +114,29 @@ def _shard_sql() -> str:
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM r"""
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_read(spark, sf_dir, "documents"))
+
+
+#: Words that share a deletion, or of which one is the other's deletion, are near.
+SPELLING_SQL = rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    d AS (SELECT id, run, count(*) AS k FROM r GROUP BY ALL),
+    h AS (SELECT run, k, {_crc32("id || ':' || run")} AS h FROM d, crc WHERE length(run) >= 5),
+    o AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+    v AS (SELECT word, sum(k)::BIGINT AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+    e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, left(word, i - 1) || substr(word, i + 1) AS rest FROM v),
+    near AS (
+        SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM e AS a JOIN e AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.rest = v.word
+        UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.rest = v.word),
+    best AS (SELECT word, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word),
+    f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN other END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+    way(word, place, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT w.word, f.form, steps + 1 FROM way AS w JOIN f ON f.word = w.place WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(place, steps) AS root FROM way GROUP BY word) USING (word)"""
+
+
 def _secret_sql() -> str:
     """Every rule's matches with the text before each, as positions from running sums."""
     rules = BASE_RULES + MORE_RULES
@@ -145,6 +169,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_hash_tree_shards": op11_hash_tree_shards,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
 ORACLE_SQL = {
@@ -154,4 +179,5 @@ ORACLE_SQL = {
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
     "op11_hash_tree_shards": _shard_sql(),
+    "op13_spelling_groups": SPELLING_SQL,
 }
