@@ -41,7 +41,7 @@ class SpellingParams:
     ratio: int = 2
     one_in: int = 97
     bits: int = 16
-    part: int = 1 << 20
+    part: int = 4096
     broadcast: int = 64 << 20
 
 
@@ -110,9 +110,9 @@ def by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
         yield n, list(own)
 
 
-def spot(h: np.ndarray, blocks: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
+def spot(h: np.ndarray, blocks: np.ndarray | np.uint64, probe: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one probe, the filter's 64-bit words and the bit in each."""
-    first = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(8)
+    first = ((h >> np.uint64(32)) * blocks >> np.uint64(32)) * np.uint64(8)
     g = h * np.uint64(0xD6E8FEB86659FD93)
     at = (g ^ g >> np.uint64(32)) >> np.uint64(9 * probe) & np.uint64(511)
     return (first + (at >> np.uint64(6))).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
@@ -123,24 +123,37 @@ def bloom(h: np.ndarray, bits: int) -> np.ndarray:
     blocks = max(1, -(-len(h) * bits // 512))
     out = np.zeros(blocks * 8, np.uint64)
     for i in range(PROBES):
-        np.bitwise_or.at(out, *spot(h, blocks, i))
+        np.bitwise_or.at(out, *spot(h, np.uint64(blocks), i))
     return out
 
 
-def passing(h: np.ndarray, filters: dict[int, np.ndarray], of: int) -> np.ndarray:
-    """Places of the hashes that are in their filter: a length has `of` filters, and these are those of this round."""
-    part = h % np.uint64(of)
-    found = []
-    for i, bits in filters.items():
-        left = np.flatnonzero(part == i)
-        for probe in range(PROBES):  # nearly all others fail at the first or second
-            word, bit = spot(h[left], len(bits) // 8, probe)
-            left = left[bits[word] & bit != 0]
-        found.append(left)
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+@dataclass(frozen=True)
+class Filters:
+    """Filters of one length, from part `first` of `of` on, end to end: where each begins and its number of blocks."""
+
+    first: int
+    of: int
+    begin: np.ndarray
+    blocks: np.ndarray
+    bits: np.ndarray
+
+
+def laid_out(first: int, of: int, filters: list[np.ndarray]) -> Filters:
+    ends = np.cumsum([0, *(len(f) for f in filters)])
+    return Filters(first, of, ends[:-1], np.diff(ends).astype(np.uint64) // np.uint64(8), np.concatenate(filters))
+
+
+def passing(h: np.ndarray, of: Filters) -> np.ndarray:
+    """Places of the hashes that are in their filter, if that is one of these."""
+    part = (h % np.uint64(of.of)).astype(np.int64) - of.first
+    left = np.flatnonzero((part >= 0) & (part < len(of.begin)))
+    for probe in range(PROBES):  # nearly all others fail at the first or second
+        word, bit = spot(h[left], of.blocks[part[left]], probe)
+        left = left[of.bits[of.begin[part[left]] + word] & bit != 0]
+    return left
 
 
-def edits(words: list[str], alphabet: np.ndarray, filters: dict[int, dict[int, np.ndarray]], of: dict[int, int]) -> Iterator[tuple[int, str]]:
+def edits(words: list[str], alphabet: np.ndarray, filters: dict[int, Filters]) -> Iterator[tuple[int, str]]:
     """(place of the word, edit) for the deletions and replacements that pass; all words have one length.
 
     Insertions are the deletions of the longer word, and of two words that differ by a replacement the one with the
@@ -157,7 +170,7 @@ def edits(words: list[str], alphabet: np.ndarray, filters: dict[int, dict[int, n
             before = np.cumsum(terms, axis=1, dtype=np.uint64) - terms
             h = before + (total[:, None] - before - terms) * np.uint64(BACK)
             row, at = np.nonzero(np.concatenate([np.ones((len(c), 1), bool), c[:, 1:] != c[:, :-1]], axis=1))
-            for k in passing(mixed(h[row, at]), filters[length - 1], of[length - 1]):
+            for k in passing(mixed(h[row, at]), filters[length - 1]):
                 w = words[lo + row[k]]
                 yield lo + row[k], w[: at[k]] + w[at[k] + 1 :]
         if length in filters:
@@ -166,7 +179,7 @@ def edits(words: list[str], alphabet: np.ndarray, filters: dict[int, dict[int, n
                 own = c[:, left : left + wide]
                 row, at, to = np.nonzero(alphabet[None, None, :] > own[:, :, None])
                 h = total[row] + (alphabet[to] - own[row, at]) * power[left + at]
-                for k in passing(mixed(h), filters[length], of[length]):
+                for k in passing(mixed(h), filters[length]):
                     w, i = words[lo + row[k]], left + at[k]
                     yield lo + row[k], w[:i] + chr(alphabet[to[k]]) + w[i + 1 :]
 
@@ -213,17 +226,17 @@ def near_words(vocab: DataFrame, params: SpellingParams) -> DataFrame:
     for own in rounds({n: (parts[n], k) for n, k in sizes.items()}, params):
         (n, i), (m, j) = own[0], own[-1]
         rows = filters.where(f"(length > {n} or length = {n} and part >= {i}) and (length < {m} or length = {m} and part <= {j})")
-        sent: dict[int, dict[int, np.ndarray]] = {}
-        for r in rows.toLocalIterator():  # params.broadcast bytes at most
-            sent.setdefault(r.length, {})[r.part] = np.frombuffer(r.bits, np.uint64)
-        shared = spark.sparkContext.broadcast(sent)
+        got = {(r.length, r.part): np.frombuffer(r.bits, np.uint64) for r in rows.toLocalIterator()}  # params.broadcast bytes at most
+        empty = np.zeros(8, np.uint64)  # a part that no word fell into
+        sent = {n: [i for m, i in own if m == n] for n in dict.fromkeys(m for m, _ in own)}
+        shared = spark.sparkContext.broadcast({n: laid_out(i[0], parts[n], [got.get((n, x), empty) for x in i]) for n, i in sent.items()})
 
         def probe(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 words, n = frame["word"].tolist(), frame["n"].to_numpy()
                 for length, at in by_length(words):
                     if length in shared.value or length - 1 in shared.value:
-                        got = [(at[i], e) for i, e in edits([words[i] for i in at], alphabet, shared.value, parts)]
+                        got = [(at[i], e) for i, e in edits([words[i] for i in at], alphabet, shared.value)]
                         if got:
                             who = [i for i, _ in got]
                             yield pd.DataFrame({"a": [words[i] for i in who], "n_a": n[who], "b": [e for _, e in got]})

@@ -95,8 +95,8 @@ def test_held_counts_are_handed_on(spark, monkeypatch):
 def test_each_pair_comes_up_once():
     words = ["aaaab", "aaabb", "baaab", "aabab", "caaab"]
     alphabet = np.array(sorted(map(ord, "abc")), np.uint64)
-    everything = {n: {0: np.full(8, 2**64 - 1, np.uint64)} for n in (4, 5)}
-    made = [(words[i], e) for i, e in sp.edits(words, alphabet, everything, {4: 1, 5: 1})]
+    everything = {n: sp.laid_out(0, 1, [np.full(8, 2**64 - 1, np.uint64)]) for n in (4, 5)}
+    made = [(words[i], e) for i, e in sp.edits(words, alphabet, everything)]
     assert len(made) == len(set(made)) and {e for w, e in made if w == "aaaab" and len(e) == 4} == {"aaab", "aaaa"}
     for a in words:
         for b in words:
@@ -109,8 +109,7 @@ def test_filters_have_no_false_negatives_and_few_false_positives():
     words = list({"".join(rng.choices("abcdefgh", k=rng.randint(5, 12))) for _ in range(20_000)})
     h = sp.hashes(words)
     assert len(set(h.tolist())) == len(words)
-    filters = {0: sp.bloom(h[:10_000], 16)}
-    found = sp.passing(h, filters, 1)
+    found = sp.passing(h, sp.laid_out(0, 1, [sp.bloom(h[:10_000], 16)]))
     assert set(range(10_000)) <= set(found.tolist()) and len(found) - 10_000 < 0.01 * (len(words) - 10_000)
 
 
@@ -119,3 +118,10 @@ def test_rounds_hold_their_bound():
     plan = list(sp.rounds({5: (3, 300), 6: (1, 10), 9: (20, 2000)}, params))
     assert [x for own in plan for x in own] == [(n, i) for n, k in ((5, 3), (6, 1), (9, 20)) for i in range(k)]
     assert len(plan) > 5
+
+
+def test_parts_are_found_in_the_round_that_has_them():
+    h = sp.hashes([f"word{i}" for i in range(3000)])
+    parts = [sp.bloom(h[h % np.uint64(5) == i], 16) for i in range(5)]
+    here = sp.laid_out(1, 5, parts[1:3])
+    assert set(np.flatnonzero((h % np.uint64(5) == 1) | (h % np.uint64(5) == 2)).tolist()) == set(sp.passing(h, here).tolist())
