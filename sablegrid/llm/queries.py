@@ -12,6 +12,7 @@ from .nearest import nearest
 from .packing import PackParams, best_fit_pack
 from .pieces import SampleParams, sampled
 from .quality import quality_scores
+from .ranked_search import ranked
 from .secrets import BASE_RULES, MORE_RULES, digest, secret_scan
 from .simhash import simhash_dedup
 from .skip_chain import digest as entity_digest
@@ -114,6 +115,24 @@ def _shard_sql() -> str:
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM r"""
 
 
+def op12_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+SEARCH_SQL = f"""
+    WITH t AS (SELECT uid, doc_id, {_TERMS} AS term FROM (SELECT row_number() OVER () AS uid, * FROM documents)),
+    i AS (SELECT DISTINCT item, item_id, {_TERMS} AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark)),
+    g AS (SELECT count(DISTINCT uid) AS docs, count(*) AS terms FROM t),
+    d AS (SELECT uid, doc_id, 100 - 90 + (90 * count(*) * any_value(docs)) // any_value(terms) AS m FROM t, g GROUP BY uid, doc_id),
+    p AS (SELECT uid, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY uid, term),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term),
+    s AS (SELECT item, item_id, uid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM i JOIN p USING (term) JOIN w USING (term) JOIN d USING (uid) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(_read(spark, sf_dir, "documents"))
 
@@ -169,6 +188,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_hash_tree_shards": op11_hash_tree_shards,
+    "op12_pair_bound_search": op12_pair_bound_search,
     "op13_spelling_groups": op13_spelling_groups,
 }
 
@@ -179,5 +199,6 @@ ORACLE_SQL = {
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
     "op11_hash_tree_shards": _shard_sql(),
+    "op12_pair_bound_search": SEARCH_SQL,
     "op13_spelling_groups": SPELLING_SQL,
 }
