@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Words for actions; others are shown as they are.
-ACTION_WORDS = {"swap": "Swap", "add_liquidity": "Add liquidity", "remove_liquidity": "Remove liquidity", "borrow": "Borrow", "repay": "Repay", "stake": "Stake", "unstake": "Unstake", "claim_rewards": "Claim rewards"}
+ACTION_WORDS = {
+    "swap": "Swap", "add_liquidity": "Add liquidity", "remove_liquidity": "Remove liquidity", "open_position": "Open position", "close_position": "Close position",
+    "deposit": "Deposit", "withdraw": "Withdraw", "borrow": "Borrow", "repay": "Repay", "flash_loan": "Flash loan", "flash_repay": "Repay flash loan",
+    "stake": "Stake", "unstake": "Unstake", "transfer": "Transfer", "claim_rewards": "Claim rewards", "liquidate": "Liquidate", "create_obligation": "Create obligation",
+    "register": "Register", "renew": "Renew", "register_blob": "Register blob", "certify_blob": "Certify blob", "place_order": "Place order", "cancel_order": "Cancel order",
+}
 
 
 def match_operations(commands: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Each command with action and skip of the first pattern (least priority) of its module whose prefix fits."""
+    """Each command with action and skip of the first pattern (least priority) of its module whose prefix fits.
+
+    The patterns are an index by module and prefix: a call asks it for the beginnings of its function in each length
+    that a pattern has, by one equi-join, and only distinct calls ask. Commands are joined to the answers once; none
+    is grouped.
+    """
+    lengths = [r[0] for r in patterns.select(F.length("prefix")).distinct().collect()]  # one for each length of a prefix
     keys = ["digest", "ord", "package", "module", "function"]
-    best = F.min(F.when(F.startswith("function", "prefix"), F.struct("priority", "action", "skip"))).alias("b")
-    return commands.join(patterns, "module", "left").groupBy(*keys).agg(best).select(*keys, F.col("b.action").alias("action"), F.col("b.skip").alias("skip"))
+    starts = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("function"))
+    asked = commands.select("module", "function").distinct().select("*", F.explode(F.transform(starts, lambda n: F.substring(F.col("function"), F.lit(1), n))).alias("prefix"))
+    found = asked.join(patterns, ["module", "prefix"]).groupBy("module", "function").agg(F.min(F.struct("priority", "action", "skip")).alias("b"))
+    return commands.join(found, ["module", "function"], "left").select(*keys, F.col("b.action").alias("action"), F.col("b.skip").alias("skip"))
 
 
 def decode(operations: DataFrame, protocols: DataFrame) -> DataFrame:
@@ -132,51 +142,6 @@ def module_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     return both.select(*keys, "module", status.alias("status"))
 
 
-#: Lines of one side that are compared in order; longer modules are compared as bags.
-MAX_LINES = 4000
-
-
-def ordered_diff(pairs: DataFrame, excerpt: int = 80) -> DataFrame:
-    """key, added, removed, excerpt for pairs (key, a, b) of texts: changes against a longest common subsequence."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = [(k, *_diff([x.rstrip() for x in (a or "").split("\n")], [x.rstrip() for x in (b or "").split("\n")], excerpt)) for k, a, b in zip(p["key"], p["a"], p["b"])]
-            yield pd.DataFrame(rows, columns=["key", "added", "removed", "excerpt"])
-
-    return pairs.select("key", "a", "b").mapInPandas(run, "key long, added long, removed long, excerpt string")
-
-
-def _diff(a: list[str], b: list[str], excerpt: int) -> tuple[int, int, str]:
-    from collections import Counter
-
-    if max(len(a), len(b)) > MAX_LINES:
-        x, y = Counter(a), Counter(b)
-        return sum((y - x).values()), sum((x - y).values()), ""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    p, q = a[head : len(a) - tail], b[head : len(b) - tail]
-    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i in range(len(p) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(q) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if p[i] == q[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < len(p) or j < len(q):
-        if i < len(p) and j < len(q) and p[i] == q[j]:
-            i, j = i + 1, j + 1
-        elif j == len(q) or (i < len(p) and best[i + 1][j] >= best[i][j + 1]):
-            out.append("-" + p[i])
-            i += 1
-        else:
-            out.append("+" + q[j])
-            j += 1
-    return sum(x[0] == "+" for x in out), sum(x[0] == "-" for x in out), "\n".join(out[:excerpt])
-
-
 #: Order of severities.
 SEVERITIES = ("high", "medium", "info")
 

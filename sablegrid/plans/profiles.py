@@ -13,13 +13,13 @@ CORE = (
 FORENSICS = (
     "aggregate_events_by_sender", "aggregate_events_by_type", "aggregate_events_asc", "aggregate_events_by_count", "aggregate_events_distribution", "aggregate_events_totals", "aggregate_events_discovery",
     "fanout_all", "funding_edges", "funding_walk", "shared_funders", "trace_edges", "trace_walk", "next_tx", "timeline", "earliest_n", "latest_n", "dominant_inflow", "label_lookup", "label_precedence",
-    "ownership_transitions", "case_list", "case_order", "fanout_cache_valid", "stream_new_events", "stream_aggregate_events", "stream_hourly_events",
+    "ownership_transitions", "case_list", "case_order", "fanout_cache_valid", "stream_new_events", "stream_aggregate_events", "stream_hourly_events", "stream_owner_changes",
     "capped_timeline", "trace_summary", "hub_suggestions", "severity_order", "label_import", "store_state",
 )
-DEVELOPER = ("ptb_anomalies", "package_rules", "capability_risk", "package_diff", "line_multiset_delta", "lcs_diff", "unknown_packages", "dependency_bfs", "coin_selection", "package_api", "budget_cut", "package_diff_summary", "module_churn")
+DEVELOPER = ("ptb_anomalies", "package_rules", "capability_risk", "package_diff", "line_multiset_delta", "lcs_diff", "unknown_packages", "dependency_bfs", "coin_selection", "package_api", "budget_cut", "package_diff_summary", "module_churn", "package_line_diff", "type_text", "datatype_fields", "operation_registry")
 MARKET = (
     "asof_price", "oracle_deviation", "deviation_summary", "book_summary", "trade_participation", "price_merge", "market_cap", "usd_value", "format_usd", "top_holders", "nft_owner_resolution", "nft_holders",
-    "nft_filter", "nft_page", "collection_counts", "stake_totals", "validator_rank", "validator_rank_by_stake", "collection_resolve", "feed_match", "kiosk_discovery", "pool_views", "position_entries",
+    "nft_filter", "nft_page", "collection_counts", "stake_totals", "validator_rank", "validator_rank_by_stake", "collection_resolve", "feed_match", "kiosk_discovery", "stream_candles", "pool_views", "position_entries",
 )
 PROFILES = {"core": CORE, "forensics": FORENSICS, "developer": DEVELOPER, "market": MARKET}
 

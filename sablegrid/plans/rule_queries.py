@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cases, rules
+from ..operators import cases, diffs, rules
 from ..sources.ledger import Ledger, ctes
 from .registry import query
 
@@ -88,11 +88,39 @@ def package_diff(l: Ledger) -> DataFrame:
     return rules.module_diff(d.where("not later"), d.where("later"), ["family"])
 
 
-@query()
+#: Longest common subsequences as chains of equal lines, each one further in both texts. Null where a text is too long.
+_COMMON = """, q AS (SELECT key, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM p), c AS (SELECT key, unnest(b) AS line, generate_subscripts(b, 1) AS j FROM p),
+    m AS (SELECT q.key, i, j FROM q JOIN c ON q.key = c.key AND q.line = c.line),
+    chain(key, i, j, n) AS (SELECT key, i, j, 1 FROM m UNION SELECT m.key, m.i, m.j, n + 1 FROM chain JOIN m ON m.key = chain.key AND m.i > chain.i AND m.j > chain.j),
+    best AS (SELECT key, max(n) AS n FROM chain GROUP BY key), delta AS (SELECT p.key, len(b) - coalesce(n, 0) AS added, len(a) - coalesce(n, 0) AS removed FROM p LEFT JOIN best USING (key))"""
+_CLEAN = r"list_transform(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '\s+$', ''))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id // 2 AS key, doc_id % 2 AS side, {_CLEAN} AS lines FROM documents),
+    p AS (SELECT key, coalesce(max(lines) FILTER (side = 0), ['']) AS a, coalesce(max(lines) FILTER (side = 1), ['']) AS b FROM d GROUP BY key){_COMMON}
+    SELECT key, added, removed FROM delta""")
 def lcs_diff(l: Ledger) -> DataFrame:
     d = l.table("documents").select(F.expr("doc_id div 2").alias("key"), (F.col("doc_id") % 2).alias("side"), "text")
     a, b = (d.where(F.col("side") == s).select("key", F.col("text").alias(n)) for s, n in ((0, "a"), (1, "b")))
-    return rules.ordered_diff(a.join(b, "key", "full"))
+    return diffs.ordered_diff(a.join(b, "key", "full")).select("key", "added", "removed")
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS key, {_CLEAN} AS a FROM documents),
+    e AS (SELECT key, a, CASE WHEN key % 3 = 0 THEN a ELSE list_transform(list_filter(a, lambda x, i: i % 5 <> 4), lambda x, i: CASE WHEN i % 4 = 2 THEN x || '!' ELSE x END) END AS b FROM d),
+    p AS (SELECT * FROM e WHERE key % 13 > 0 AND key % 11 > 0 AND a <> b){_COMMON},
+    s AS (SELECT key // 10 AS package, key % 10 AS module, CASE WHEN key % 13 = 0 THEN 'removed' WHEN key % 11 = 0 THEN 'added' WHEN added IS NULL THEN 'unchanged' ELSE 'changed' END AS status, added, removed FROM e LEFT JOIN delta USING (key))
+    SELECT package, module, status, added AS added_lines, removed AS removed_lines, CASE WHEN status = 'changed' THEN row_number() OVER (PARTITION BY package, status ORDER BY added + removed DESC, module) END AS place,
+    count(*) FILTER (status <> 'added') OVER w AS from_modules, count(*) FILTER (status <> 'removed') OVER w AS to_modules, count(*) FILTER (status = 'unchanged') OVER w AS unchanged, count(*) FILTER (status <> 'unchanged') OVER w = 0 AS identical FROM s WINDOW w AS (PARTITION BY package)""")
+def package_line_diff(l: Ledger) -> DataFrame:
+    """A later version of each text: two texts of three lose a line in five and change one in four, the others only
+    their line ends; some modules are new and some are gone."""
+    k = F.col("doc_id")
+    module = l.table("documents").select(F.expr("doc_id div 10").alias("package"), (k % 10).alias("module"), k, F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.transform(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    later = F.transform(F.filter(lines, lambda x, i: i % 5 != 3), lambda x, i: F.when(i % 4 == 1, F.concat(x, F.lit("!"))).otherwise(x))
+    text = F.when(k % 3 == 0, F.array_join(lines, "  \r\n")).otherwise(F.array_join(later, "\n"))
+    before, after = module.where((k % 11 > 0) | (k % 13 == 0)), module.where(k % 13 > 0).withColumn("text", text)
+    return diffs.package_changes(before, after, ["package"]).drop("sample")
 
 
 @query(ctes("cmd", "pro") + " SELECT package, count(*) AS calls, count(DISTINCT module) AS modules, count(DISTINCT function) AS functions FROM cmd WHERE package NOT IN (SELECT package FROM pro) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
