@@ -10,19 +10,38 @@ from ..sources.shared import written
 from .windows import first_rows
 
 
-def fanout(changes: DataFrame, latest: int = 1000) -> DataFrame:
-    """Distinct recipients, senders and coins of each address over its latest transactions.
+def own_changes(changes: DataFrame) -> DataFrame:
+    """address, digest, own, day: an address's first change in each transaction."""
+    return changes.groupBy("address", "digest").agg(F.min(F.struct("ord", "cents"))["cents"].alias("own"), F.first("day").alias("day"))
+
+
+def counterparty(kept: Column) -> tuple[Column, Column]:
+    """Tests of whether `other` is a recipient or a sender: it gains where the address loses, or the other way round."""
+    away = kept & (F.col("other") != F.col("address"))
+    return away & (F.col("own") < 0) & (F.col("cents") > 0), away & (F.col("own") > 0) & (F.col("cents") < 0)
+
+
+def fanout(changes: DataFrame, latest: int | None = 1000, of: list[str] | None = None) -> DataFrame:
+    """Distinct recipients, senders and coins of each address over its latest transactions, over all if latest is None.
 
     The address's own first change in a transaction decides whether the others are recipients (they gain where it
     loses) or senders. Coins count over all changes of the transactions, its own included.
+
+    of: a few addresses that are asked for. They are a filter of the scan, and the transactions that are left of
+    them, (latest + 1) * len(of) at most, are one of the scan for the others' changes.
     """
-    own = changes.groupBy("address", "digest").agg(F.min(F.struct("ord", "cents"))["cents"].alias("own"), F.first("day").alias("day"))
-    ranked = own.withColumn("n", F.row_number().over(W.partitionBy("address").orderBy(F.desc("day"), F.desc("digest")))).where(F.col("n") <= latest + 1)
+    own = own_changes(changes if of is None else changes.where(F.col("address").isin(of)))
     other = changes.select("digest", F.col("address").alias("other"), "cents", "coin")
+    if latest is None:
+        ranked, kept = own.withColumn("n", F.lit(0)), F.lit(True)
+    else:
+        ranked = own.withColumn("n", F.row_number().over(W.partitionBy("address").orderBy(F.desc("day"), F.desc("digest")))).where(F.col("n") <= latest + 1)
+        kept = F.col("n") <= latest
+        if of is not None:
+            ranked = written(ranked, "latest")
+            other = other.join(F.broadcast(ranked.select("digest").distinct()), "digest", "left_semi")
     met = ranked.join(other, "digest")
-    kept = F.col("n") <= latest
-    pays = kept & (F.col("own") < 0) & (F.col("other") != F.col("address")) & (F.col("cents") > 0)
-    takes = kept & (F.col("own") > 0) & (F.col("other") != F.col("address")) & (F.col("cents") < 0)
+    pays, takes = counterparty(kept)
     out = met.groupBy("address").agg(
         F.count_distinct(F.when(pays, F.col("other"))).alias("recipient_count"),
         F.count_distinct(F.when(takes, F.col("other"))).alias("sender_count"),
@@ -93,6 +112,23 @@ def shared_funders(walks: DataFrame) -> DataFrame:
     return steps.join(counts, "funder").select("funder", "address", "funded_count")
 
 
+def shared_fanout(shared: DataFrame, changes: DataFrame, top: int = 10, latest: int = 300) -> DataFrame:
+    """The fan-out of the `top` addresses that funded most seeds, with place and funded_count: whether a common origin is
+    one person's or an exchange's.
+
+    Only the top funders' keys reach the driver, and they are a filter of the scan of changes, so the rest of the
+    ledger isn't grouped for ten addresses. changes should be a written table.
+    """
+    counts = shared.select("funder", "funded_count").distinct()
+    order = [F.desc("funded_count"), F.asc("funder")]
+    best = counts.orderBy(*order).limit(top).collect()
+    if not best:
+        return fanout(changes.limit(0), latest).withColumn("place", F.lit(0).cast("long")).withColumn("funded_count", F.lit(0).cast("long"))
+    place = {r.funder: (i, r.funded_count) for i, r in enumerate(best, 1)}
+    at = lambda k: F.element_at(F.create_map(*[F.lit(x) for f, p in place.items() for x in (f, p[k])]), F.col("address")).cast("long")
+    return fanout(changes, latest, of=list(place)).withColumn("place", at(0)).withColumn("funded_count", at(1))
+
+
 def neighbours(changes: DataFrame) -> DataFrame:
     """address, day, next_digest, prev_digest: first transaction of a later day and last one of an earlier day."""
     days = changes.groupBy("address", "day").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
