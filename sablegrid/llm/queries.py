@@ -156,6 +156,29 @@ SPELLING_SQL = rf"""
     SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(place, steps) AS root FROM way GROUP BY word) USING (word)"""
 
 
+#: What may stand between the lines of a key.
+_BREAK = r"""(?:[ \t\r\n"',+>#*|]|\\[nrt])""".replace("'", "''")
+
+
+def _key_sql(kind: int) -> str:
+    """Private keys from the places of their BEGIN marks, for an engine without look-around: up to the END that is the
+    next mark, else header fields, base64 lines and a last line that may be short."""
+    return rf"""
+        b AS (SELECT uid, unnest(regexp_extract_all(body, '(?s)(.*?)(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1)) AS gap, unnest(regexp_extract_all(body, '(?s)(.*?)(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 2)) AS hit,
+            unnest(range(len(regexp_extract_all(body, '(?s)(.*?)(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1)))) AS n FROM t),
+        b1 AS (SELECT uid, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY uid ORDER BY n) AS here FROM b),
+        b2 AS (SELECT uid, here - length(hit) AS start, here, substr(body, here::BIGINT + 1) AS rest FROM b1 JOIN t USING (uid)),
+        b3 AS (SELECT *, length(regexp_extract(rest, '(?s)^(.*?)-----(?:BEGIN|END) ', 1)) AS until, regexp_matches(rest, '-----(?:BEGIN|END) ') AS marked,
+            length(regexp_extract(rest, '^(?:{_BREAK}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*')) AS head FROM b2),
+        b4 AS (SELECT *, CASE WHEN marked THEN length(regexp_extract(substr(rest, until + 1), '^-----END [A-Z ]*PRIVATE KEY-----')) ELSE 0 END AS ended,
+            length(regexp_extract(substr(rest, head + 1), '^(?:{_BREAK}*[A-Za-z0-9+/]{{16,}}={{0,2}})*')) AS lines FROM b3),
+        b5 AS (SELECT *, substr(rest, head + lines + 1) AS tail FROM b4),
+        b6 AS (SELECT *, CASE WHEN lines > 0 THEN regexp_extract(tail, '^{_BREAK}+[A-Za-z0-9+/]+') ELSE '' END AS last FROM b5),
+        b7 AS (SELECT *, substr(tail, length(last) + 1) AS after FROM b6),
+        keys AS (SELECT uid, {kind} AS kind, start, 'pem:' || start::BIGINT || ':' || (here + CASE WHEN ended > 0 THEN until + ended ELSE head + lines + CASE
+            WHEN last = '' THEN 0 WHEN after LIKE '=%' THEN length(last) + length(regexp_extract(after, '^={{1,2}}')) WHEN regexp_matches(last, '[0-9+/]$') OR after = '' OR regexp_matches(after, '^[\r\n\\]') THEN length(last) ELSE 0 END END)::BIGINT AS span FROM b7)"""
+
+
 def _secret_sql() -> str:
     """Every rule's matches with the text before each, as positions from running sums."""
     rules = BASE_RULES + MORE_RULES
@@ -164,12 +187,14 @@ def _secret_sql() -> str:
         f"SELECT uid, {i} AS kind, '{r.kind}' AS name, {r.least} AS least, {tied(r, 1)} AS gap, {tied(r, 2)} AS hit, {tied(r, 2 + r.group)} AS counts, "
         f"unnest(range(len(regexp_extract_all(body, '(?s)(.*?)({r.pattern.replace(chr(39), chr(39) * 2)})', 1)))) AS n FROM t"
         for i, r in enumerate(rules)
+        if r.kind != "pem"
     )
     return f"""
         WITH t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS body FROM documents),
         h AS ({hits}),
         p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY uid, kind ORDER BY n) AS stop FROM h),
-        s AS (SELECT uid, kind, stop - length(hit) AS start, name || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span FROM p WHERE length(counts) >= least)
+        {_key_sql(next(i for i, r in enumerate(rules) if r.kind == "pem"))},
+        s AS (SELECT uid, kind, stop - length(hit) AS start, name || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span FROM p WHERE length(counts) >= least UNION ALL SELECT * FROM keys)
         SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
             sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {len(BASE_RULES)}), '')) AS base_sha256,
             coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
