@@ -61,8 +61,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class FieldParams:
     """sample: documents with digits or @ that the weights are learnt from, by hash of the id, and tokens: their tokens
     in all (the bounds on what reaches the driver). steps, rate, ridge: of the fit. rounds: of message passing.
-    certain: least marginal of a label that adds a span. alike: if so large a part of the tokens with the same features
-    are labelled, those that aren't count as unknown in the fit and not as evidence for no label."""
+    certain: least marginal of a label that adds a span."""
 
     sample: int = 1_000
     tokens: int = 100_000
@@ -71,7 +70,6 @@ class FieldParams:
     ridge: float = 1e-5
     rounds: int = 12
     certain: float = 0.9
-    alike: float = 0.25
 
 
 @dataclass
@@ -154,16 +152,18 @@ def graph(docs: list[tuple[list, list]]) -> Graph:
 def fit(g: Graph, p: FieldParams) -> Weights:
     """Pseudo-likelihood: each token's label given its neighbours' labels, by gradient ascent.
 
-    The patterns label only what passes their checks. A token that they pass over although it has the features of
-    those they label (a card number with a wrong digit) is left out, or the field would learn to repeat the patterns.
+    The patterns label only what passes their checks, and what they pass over is evidence for no label, however like a
+    labelled token it looks: a number of a card's length with a wrong digit is no card. But a token that they pass over
+    although a skip link ties it to a labelled one is unknown and left out: such tokens are what links are to find.
     """
     w = Weights(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
     w.node[0, 0] = 1.0
     if not len(g.y):
         return w
-    _, of = np.unique(g.x, axis=0, return_inverse=True)
-    of = of.ravel()
-    unknown = (g.y == 0) & (np.bincount(of, g.y > 0)[of] >= p.alike * np.bincount(of)[of])
+    tied = np.zeros(len(g.y), bool)
+    for here, there in (g.skip.T, g.skip.T[::-1]):
+        tied[here[g.y[there] > 0]] = True
+    unknown = tied & (g.y == 0)
     hot = np.eye(LABELS)[g.y] * ~unknown[:, None]
 
     def around(edges: np.ndarray, ends: int) -> np.ndarray:

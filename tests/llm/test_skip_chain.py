@@ -59,6 +59,10 @@ def test_like_tokens_take_the_label(spark):
     added = [(s.start, s.kind, s.end) for s in got[120] if not s.base]
     assert added == [(texts[120].index("(569)", 20), 3, texts[120].rindex("6633") + 4)]
     assert not any(got[i] for i in range(60, 120))
+    # the link alone tells it: without skip potentials nothing is added
+    pairs = [(sc.tokens(t), sc.base_spans(t)) for t in texts]
+    w = sc.fit(sc.graph(pairs), sc.FieldParams())
+    assert any(sc.added_spans(pairs, w, sc.FieldParams())) and not any(sc.added_spans(pairs, sc.Weights(w.node, w.chain, 0 * w.skip), sc.FieldParams()))
 
 
 def test_base_spans_stay_and_documents_without_tokens_get_nothing(spark, sf):
@@ -66,31 +70,34 @@ def test_base_spans_stay_and_documents_without_tokens_get_nothing(spark, sf):
     for r in sc.find_entities(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         base = sc.base_spans(r.text)
         assert [(s.start, s.kind, s.end) for s in r.spans if s.base] == base
-        for s in r.spans:  # numbers of licenses, hashes and the like are no personal data
-            assert s.base or (re.fullmatch(r"[0-9]{14,19}", r.text[s.start : s.end]) and s.kind == 2)
+        labelled = {k for t in sc.tokens(r.text) for k in t[3] if any(a < t[1] and b > t[0] for a, _, b in base)}
+        for s in r.spans:  # numbers of licenses, hashes and cards with a wrong digit are none, unless they repeat a found one
+            assert s.base or any(s.start <= t[0] < s.end and labelled & set(t[3]) for t in sc.tokens(r.text))
 
 
-def test_numbers_like_labelled_ones_are_found(spark):
-    """A card number with a wrong digit fails the pattern; the field sees it is like those that pass."""
+def test_numbers_like_labelled_ones_need_a_link(spark):
+    """A card number with a wrong digit fails the pattern and stays out."""
     rng = random.Random(3)
     good = [n for n in (str(rng.randrange(10**15, 10**16)) for _ in range(3000)) if sc.luhn(n)]
     bad = [n for n in (str(rng.randrange(10**15, 10**16)) for _ in range(60)) if not sc.luhn(n)]
-    texts = [f"paid with {n} on day {i} of {1900 + i % 120}" for i, n in enumerate(good[:200])] + [f"paid with {n} on day {i} of 1999" for i, n in enumerate(bad)] + ["only 3 of 12 in 2004"]
+    texts = [f"paid with {n} on day {i} of {1900 + i % 120}" for i, n in enumerate(good[:200])] + [f"paid with {n} on day {i} of 1999" for i, n in enumerate(bad)]
     got = {r.doc_id: r.spans for r in sc.find_entities(table(spark, texts)).collect()}
-    assert all([(s.start, s.kind, s.end) for s in got[200 + i]] == [(10, 2, 26)] for i in range(len(bad)))
-    assert not got[200 + len(bad)] and all(len(got[i]) == 1 for i in range(200))
+    assert not any(got[200 + i] for i in range(len(bad))) and all(len(got[i]) == 1 for i in range(200))
 
 
-def test_hidden_labels_are_recovered(spark, sf):
-    """Some base labels are hidden; what the field says of their tokens is held against them."""
+def test_hidden_labels_are_recovered_through_links(spark, sf):
+    """Some base labels are hidden; what the field says of their tokens is held against them, with links and without."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text rlike '[0-9@]'")
-    w = sc.train(docs, sc.FieldParams())
     g = sc.graph([(sc.tokens(r.text), sc.base_spans(r.text)) for r in docs.collect()])
+    w = sc.fit(g, sc.FieldParams())
     hidden = (np.random.default_rng(2).random(len(g.y)) < 0.3) & (g.y > 0)
-    q = sc.marginals(sc.Graph(g.x, np.where(hidden, 0, g.y), g.chain, g.skip), w, 12)
-    said = (q.max(1) >= 0.9) & (q.argmax(1) > 0) & hidden
-    right = (q.argmax(1) == g.y) & said
-    assert hidden.sum() > 20 and right.sum() >= 0.98 * said.sum() and right.sum() >= 0.9 * hidden.sum()
+    held, right = sc.Graph(g.x, np.where(hidden, 0, g.y), g.chain, g.skip), []
+    for skip in (w.skip, 0 * w.skip):
+        q = sc.marginals(held, sc.Weights(w.node, w.chain, skip), 12)
+        said = (q.max(1) >= 0.9) & (q.argmax(1) > 0) & hidden
+        assert ((q.argmax(1) == g.y) & said).sum() >= 0.98 * said.sum()
+        right.append(int(said.sum()))
+    assert hidden.sum() > 20 and right[0] >= right[1] and right[0] >= 0.75 * hidden.sum()
 
 
 def test_labels_reach_far_repeats():
