@@ -312,19 +312,29 @@ def constant(path: str, line: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{line}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def extract(html: str | None, main: set[str], constants: set[int] = frozenset()) -> str:
-    """Text of the slots at the given paths without what is constant: blocks in page order, one line each."""
-    return "\n".join(line for path, line in blocks(html, main) if not constants or constant(path, line) not in constants)
+def extract(html: str | None, main: set[str], constants: set[int] = frozenset(), words: int = 0) -> str:
+    """Text of the slots at the given paths: blocks in page order, one line each.
+
+    Of constants, only furniture goes: blocks in an element of whose own blocks each is a constant of at most `words`
+    words. A long text, or one beside which anything varies, may be an article's that other pages repeat, so it stays.
+    """
+    found = blocks(html, main)
+    if constants:
+        kept = {path.rpartition("/")[0] for path, line in found if line.count(" ") >= words or constant(path, line) not in constants}
+        found = [(path, line) for path, line in found if path.rpartition("/")[0] in kept]
+    return "\n".join(line for _, line in found)
 
 
 @dataclass(frozen=True)
 class WrapperParams:
     """spread: groups that the page shapes of one host are dealt to before the last step of alignment. pages, share: a
-    text that so many different pages of a host and such a part of them have at one path is a constant of the wrapper."""
+    text that so many different pages of a host and such a part of them have at one path is a constant of the wrapper.
+    words: an element of constants that have so many words each at most is furniture."""
 
     spread: int = 64
     pages: int = 3
     share: float = 0.5
+    words: int = 8
 
 
 def host(url: str = "url"):
@@ -384,8 +394,9 @@ def main_text(pages: DataFrame, p: WrapperParams = WrapperParams()) -> DataFrame
     Main text are the text slots of the host's wrapper that lie in no menu, header, footer, sidebar, notice, advert,
     form, script, style, markup or reader comment, judged by the tags around the slot. If the host marks articles
     anywhere, only what lies in one counts (pages of such a host that lack an article are read without that
-    condition). If it doesn't, texts that its pages have in common at one place are constants of the wrapper, not
-    slots, and are left out, unless all the page's texts are such.
+    condition). If it doesn't, texts that its pages have in common at one place are constants of the wrapper; elements
+    that have nothing but short constants are furniture and left out, unless all the page's texts are such. Articles
+    that pages repeat stay: their texts are long, or stand beside others.
 
     Null and empty pages give an empty text. Pages without a url, or with one that has no host, share a wrapper.
     Whole pages count, however long or deep. Rows that repeat an id are extracted one by one. An empty table gives an
@@ -410,7 +421,7 @@ def main_text(pages: DataFrame, p: WrapperParams = WrapperParams()) -> DataFrame
                         known.clear()
                     known[h] = *(content(json.loads(w)) if w else (False, set())), frozenset() if same is None else frozenset(same.tolist())
                 marked, main, same = known[h]
-                text = extract(html, main, same) or (extract(html, main) if same else "")
+                text = extract(html, main, same, p.words) or (extract(html, main) if same else "")
                 if marked and not text:
                     own_marked, own = content(skeleton(html))
                     text = "" if own_marked else extract(html, own)

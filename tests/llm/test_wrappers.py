@@ -116,6 +116,21 @@ def test_constants_of_a_host_are_no_main_text(spark):
     assert all(got[50 + i] == "Only this" for i in range(5)) and all(got[60 + i] == f"Common\nOwn {i}" for i in range(2)) and all(got[70 + i] == f"In common\nOwn {i}" for i in range(5))
 
 
+@pytest.mark.parametrize("n", [2, 3, 30])
+def test_repeated_articles_stay(spark, n):
+    """Mirrors and near copies on hosts without article marks: whatever the number of pages, no article is lost."""
+    long = "The council met on Tuesday and spoke about the harbour, the bridge and the school until late at night."
+    rows = []
+    for i in range(n):
+        rows.append((i, f"http://copies.example/{i}", f"<body><div><p>{long}</p><p>Short end.</p><p>Updated on day {i}</p></div><div>Contact us</div></body>", "z", 1))
+        rows.append((100 + i, f"http://mirror.example/{i}", f"<body><div><p>{long}</p><p>Short end.</p></div></body>", "z", 1))
+        rows.append((200 + i, f"http://apart.example/{i}", f"<body><div>Our town</div><section><p>{long}</p><p>Short end.</p></section><div class='x'>Day {i}</div></body>", "z", 1))
+    got = {r.page_id: r.text.split("\n") for r in wr.main_text(spark.createDataFrame(rows, ROWS)).collect()}
+    for i in range(n):
+        assert got[i][:3] == [long, "Short end.", f"Updated on day {i}"] and got[100 + i] == [long, "Short end."]
+        assert [x for x in got[200 + i] if x != "Our town"] == [long, "Short end.", f"Day {i}"]
+
+
 def test_furniture_below_the_deepest_level():
     html = "<div>" * 205 + "<nav>MENU<p>more</p></nav><p>body</p><div class='sidebar'>x</div>" + "</div>" * 205 + "<p>end</p>"
     marked, main = wr.content(wr.skeleton(html))
