@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, p: GamParams) -> Gam:
 
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES) + ", quality int"
     rows = docs.select("doc_id", "text").join(F.broadcast(picked.withColumn("quality", F.col("quality").cast("int"))), "doc_id")
-    seen = rows.mapInPandas(run, schema).limit(2 * p.sample).toPandas()
+    ordered = rows.mapInPandas(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "quality")  # rows that repeat an id may be many
+    seen = ordered.limit(2 * p.sample).toPandas()
     seen = seen.sort_values(list(seen.columns), kind="stable")
     return fit(seen[list(FEATURES)].to_numpy(float), seen["quality"].to_numpy(float), p)
 
