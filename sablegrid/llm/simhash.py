@@ -19,7 +19,7 @@ SMALL = 8
 FEW = 32
 #: Texts whose shingle sets a task holds at once.
 SLICE = 1000
-#: Bands of a set of shingles and minima of a band; bits of its bitmap.
+#: Bands of a set of shingles and minima of a band; least bits of its bitmap, which has one for each element at least.
 BANDS, MINIMA, BITS = 32, 4, 2048
 #: Rows of a band that a task compares at once; pairs of a document with one copy of its set.
 BLOCK, HUB = 1024, 1024
@@ -207,16 +207,20 @@ def simhash_dedup(docs: DataFrame, params: SimHashParams = SimHashParams()) -> D
 
 
 def sketch(held: np.ndarray) -> tuple[list[int], bytes]:
-    """Band keys and bitmap of a set of shingle hashes; an empty set has no bands, for it is like empty sets alone."""
+    """Band keys and bitmap of a set of shingle hashes; an empty set has no bands, for it is like empty sets alone.
+
+    Each element turns one bit of the bitmap over, so what two sets have in common cancels out when they are compared.
+    A bitmap has a power of two of bits, as many as elements at least: a longer set's says as much as a short one's.
+    """
     if not len(held):
         return [], bytes(BITS // 8)
     h, low = held.view(np.uint64), np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
     for i in range(0, len(h), 4096):
         low = np.minimum(low, (h[i : i + 4096, None] * _TIMES + _PLUS).min(0))
     keys = (low.reshape(BANDS, MINIMA) * _MIX).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    marked = np.zeros(BITS, np.uint8)
-    marked[(h % np.uint64(BITS)).astype(np.int64)] = 1
-    return keys.view(np.int64).tolist(), np.packbits(marked).tobytes()
+    bits = max(BITS, 1 << (len(h) - 1).bit_length())
+    odd = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return keys.view(np.int64).tolist(), np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def summaries(docs: DataFrame, params: SimHashParams) -> DataFrame:
@@ -275,14 +279,32 @@ class Sketches:
 
     def __init__(self, b: pd.DataFrame, similarity: float) -> None:
         self.ids, self.size = b["rep"].to_numpy(), b["size"].to_numpy()
-        self.bits = np.frombuffer(b"".join(b["bits"]), np.uint64).reshape(len(b), BITS // 64)
         self.least, self.apart = similarity, (1 - similarity) / (1 + similarity)
+        bits = b["bits"].tolist()
+        self.width = np.array([len(x) for x in bits], np.int64)
+        # by width: where a row is, and the bitmaps of that width or twice that, folded; others differ too much in size
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero((self.width >= w) & (self.width <= w * max(2, int(2 / similarity))))
+            place, folded = np.zeros(len(bits), np.int64), []
+            for i in own.tolist():
+                row = np.frombuffer(bits[i], np.uint64)
+                place[i] = len(folded)
+                folded.append(np.bitwise_xor.reduce(row.reshape(-1, w // 8), axis=0) if len(row) * 8 > w else row)
+            self.at[w] = place, np.stack(folded)
 
     def admit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether sizes and bitmaps allow the similarity. Sets differ in one element at least for each differing bit,
         and in at most that share of their sizes' sum; so no pair of the similarity is ruled out."""
+        i, j = np.broadcast_arrays(i, j)
         x, y = self.size[i], self.size[j]
-        return (np.minimum(x, y) >= self.least * np.maximum(x, y) - 1e-9) & (np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(-1) <= self.apart * (x + y) + 1e-9)
+        ok = np.minimum(x, y) >= self.least * np.maximum(x, y) - 1e-9
+        width = np.minimum(self.width[i], self.width[j])
+        for w, (place, bits) in self.at.items():
+            on = np.flatnonzero(ok & (width == w))
+            differ = np.bitwise_count(bits[place[i[on]]] ^ bits[place[j[on]]]).sum(-1)
+            ok[on] = differ <= self.apart * (x[on] + y[on]) + 1e-9
+        return ok
 
 
 def trees(s: Sketches, start: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -401,12 +423,15 @@ def near_dedup(docs: DataFrame, params: SimHashParams = SimHashParams(shingle=5)
     placed = materialize(sets.select("rep", "size", "bits", "bands").join(groups, "rep", "left").withColumn("grp", F.coalesce("grp", "rep")), "placed")
     bands = placed.select("rep", "grp", F.explode("bands").alias("band"))
     many = attach(bands, held.where(F.col("n") > SMALL), ["band"], "n", BANDS * total)
-    split = many.groupBy("band", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.max_by("grp", F.struct("k", "grp")).alias("most"), F.count(F.lit(1)).alias("groups"))
+    split = many.groupBy("band", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.max_by("grp", F.struct("k", "grp")).alias("most"), F.max("k").alias("of_most"), F.count(F.lit(1)).alias("groups"))
     split = materialize(split.where("groups > 1"), "split")
-    # all but a band's largest group ask all its blocks; within a group all is linked already
+    # all but a band's largest group ask all its blocks; within a group all is linked already. A task has a block of
+    # those that are asked and a block of those that ask
+    tiles = F.ceil((F.col("n") - F.col("of_most")) / BLOCK).cast("int")
+    part = F.xxhash64("band", "block", "tile").alias("part")
     met = attach(bands, split, ["band"], "n", BANDS * total).drop("grp").join(placed.select("rep", "grp", "size", "bits"), "rep")
-    there = met.withColumn("block", block).select(part, "rep", "grp", "size", "bits", F.lit(False).alias("asks"))
-    asking = met.where("grp <> most").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(part, "rep", "grp", "size", "bits", F.lit(True).alias("asks"))
+    there = met.withColumn("block", block).withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).select(part, "rep", "grp", "size", "bits", F.lit(False).alias("asks"))
+    asking = met.where("grp <> most").withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(1)), tiles).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(part, "rep", "grp", "size", "bits", F.lit(True).alias("asks"))
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in chunks(batches, "part"):

@@ -138,6 +138,34 @@ def test_large_groups_lose_no_link(spark):
     assert kept == {i for i, r in roots_of(text).items() if i == r} and 0 < len(kept) < 600
 
 
+def test_long_half_alike_sets_are_ruled_out_without_loss():
+    """A family of long sets at 0.6 to each other: bitmaps that grow with the sets leave few pairs to compare."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(-(2**63), 2**63 - 1, n)
+    common, sets = new(3000), []
+    for n in (1000,) * 40:
+        sets.append(np.unique(np.concatenate([common, new(n)])))
+    for i in range(10):  # above the similarity to one of the family, in both directions over a power of two of elements
+        sets.append(np.unique(np.concatenate([sets[i], new(200 + 80 * i)])))
+        sets.append(sets[i][: -100 * (i + 1)] if i % 2 else sets[i][400:])
+    sets += [new(50), np.unique(new(2500))]
+    frame = pd.DataFrame({"rep": range(len(sets)), "size": [len(x) for x in sets], "bits": [simhash.sketch(x)[1] for x in sets]})
+    s = simhash.Sketches(frame, 0.8)
+    assert {len(b) * 8 for b in frame["bits"]} >= {2048, 4096, 8192}
+    i, j = np.triu_indices(len(sets), 1)
+    admitted = s.admit(i, j)
+    alike = np.array([len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)]) >= 0.8
+    assert alike.sum() >= 20 and admitted[alike].all() and admitted[~alike].sum() < 0.05 * (~alike).sum()
+
+
+def test_large_bands_are_cut_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    test_large_groups_lose_no_link(spark)
+
+
 def test_near_dedup_of_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(120_000))
     rows = [(None, "a b"), (None, None), (1, None), (2, ""), (3, " \t"), (4, long), (5, long + " end"), (6, "x y"), (6, "x y"), (6, "other words are here now"), (7, "x y")]
