@@ -19,6 +19,12 @@ STACK = "array<struct<" + ",".join(f"`{n}`:{t}" for n, t in FRAME.items()) + ">>
 TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]+'
 
 
+def unquoted(token: Column) -> Column:
+    """The value of a token: text without its quotes, other words as they are, null for null."""
+    escaped = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+    return F.when(F.contains(token, F.lit("\\")), escaped).when(token.startswith('"'), F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(F.nullif(token, F.lit("null")))
+
+
 def _frame(of: Column | None = None, **changed: Column) -> Column:
     start = {"list": F.lit(0), "args": F.array()}
     return F.struct(*[(changed[n] if n in changed else start.get(n, F.lit(None)) if of is None else of[n]).cast(t).alias(n) for n, t in FRAME.items()])
@@ -43,7 +49,7 @@ def _step(acc: Column, token: Column, plain: bool) -> Column:
     less = lambda n: F.slice(stack, 1, F.greatest(F.size(stack) - n, F.lit(0)))
     now = lambda stack=stack, said=acc["said"], out=acc["out"]: F.struct(stack.cast(STACK).alias("stack"), said.cast("string").alias("said"), out.cast("string").alias("out"))
     put = lambda **changed: now(F.concat(less(1), F.array(_frame(top, **changed))))
-    value = F.when(F.contains(token, F.lit("\\")), F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")).when(token.startswith('"'), F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(F.nullif(token, F.lit("null")))
+    value = unquoted(token)
     member = lambda name: F.when((top["key"] == name) & (top["list"] == 0), value).otherwise(top[name])
     took = F.concat(owner["args"], F.when((owner["key"] == "args") & (owner["list"] == 1), F.array(_written(top, plain))).otherwise(F.array()))
     ended = F.when(F.size(stack) > 1, now(F.concat(less(2), F.array(_frame(owner, args=took))))).otherwise(now(F.array(), out=_written(top, plain)))

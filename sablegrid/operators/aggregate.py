@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.paths import numeric_paths
 from ..sources.shared import written
 
 
@@ -29,30 +30,45 @@ def rank_groups(groups: DataFrame, metric: str = "value_sum", top: int = 20, asc
     return groups.orderBy(way(metric), way("event_count"), F.asc("key")).limit(top)
 
 
-def percentiles(values: DataFrame, column: str, ranks: dict[str, int], buckets: int = 1000) -> DataFrame:
+def percentiles(values: DataFrame, column: str, ranks: dict[str, int]) -> DataFrame:
     """One row: nearest-rank percentiles of a whole-number column, with min, max and total; nulls if there are no rows.
 
-    Equal values are one row with a count. Values are dealt to at most `buckets` equal ranges; a range starts at the
-    count of those before it, so only the ranges' counts meet in one task and each range is numbered by its own.
+    Equal values are one row with a count. Values are dealt to ranges; a range starts at the count of those before it,
+    so only the ranges' counts meet in one task and each range is numbered by its own.
     """
-    return _ranked(values.select(F.lit(column).alias("metric"), F.col(column).alias("v")), [column], ranks, buckets).drop("metric")
+    return _ranked(values.select(F.lit(column).alias("metric"), F.col(column).alias("v")), [column], ranks).drop("metric")
 
 
-def _ranked(rows: DataFrame, metrics: list[str], ranks: dict[str, int], buckets: int) -> DataFrame:
+#: Leading bits of a number that name its range.
+LEADING = 8
+
+
+def value_range(v: Column) -> Column:
+    """A number's range, in order: its sign, how many bits it has, and the first LEADING of them. A range is as wide as
+    its numbers are large, so of heavy-tailed values each range has about as many, and no outlier fills one with all the
+    others. There are 2 * 64 * 2 ** LEADING ranges at most."""
+    size = F.abs(v.cast("decimal(20,0)"))  # the least long has no positive one
+    bits = F.when(size == 0, 0).otherwise(F.floor(F.log2(size.cast("double"))) + 1)
+    first = F.floor(size.cast("double") / F.pow(F.lit(2.0), F.greatest(bits - LEADING, F.lit(0))))
+    return F.when(v < 0, -1).otherwise(1) * (bits * (1 << (LEADING + 2)) + first)
+
+
+def _ranked(rows: DataFrame, metrics: list[str], ranks: dict[str, int]) -> DataFrame:
     """A row for each metric of rows (metric, v), all metrics in one pass. The counts of equal values are written once,
-    for the metrics' bounds, the ranges' counts and the ranks all read them."""
-    hist = written(rows.where("v is not null").groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n")), "values")
-    whole = hist.groupBy("metric").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("n")).cast("long").alias("total"), F.sum("n").alias("rows"))
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("min")) / F.greatest(F.lit(1), F.col("max") - F.col("min")) * buckets)).cast("int")
-    dealt = hist.join(F.broadcast(whole), "metric").withColumn("bucket", bucket)  # a row a metric
-    sizes = dealt.groupBy("metric", "bucket").agg(F.sum("n").alias("held"))
-    before = W.partitionBy("metric").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)  # a row a range
-    starts = sizes.withColumn("start", F.sum("held").over(before) - F.col("held")).drop("held")
-    upto = F.sum("n").over(W.partitionBy("metric", "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("start")
-    placed = dealt.join(F.broadcast(starts), ["metric", "bucket"]).withColumn("upto", upto)
+    for the ranges' counts and the numbering of the ranges that hold a rank both read them."""
+    hist = written(rows.where("v is not null").groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("range", value_range(F.col("v")).cast("long")), "values")
+    sizes = hist.groupBy("metric", "range").agg(F.sum("n").alias("held"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("v") * F.col("n")).cast("long").alias("sum"))
+    before = W.partitionBy("metric").orderBy("range").rowsBetween(W.unboundedPreceding, 0)  # a row a range
+    every = W.partitionBy("metric")
+    placed = sizes.withColumn("upto", F.sum("held").over(before)).withColumn("rows", F.sum("held").over(every))
+    placed = placed.withColumns({"start": F.col("upto") - F.col("held"), "min": F.min("low").over(every), "max": F.max("high").over(every), "total": F.sum("sum").over(every)})
     at = {name: F.greatest(F.lit(1), F.ceil(F.col("rows") * p / 100.0)) for name, p in ranks.items()}
+    wanted = F.array_distinct(F.array(*[r.cast("long") for r in at.values()]))
+    holding = placed.where(F.exists(wanted, lambda r: (F.col("start") < r) & (r <= F.col("upto")))).drop("held", "low", "high", "sum", "upto")
+    met = hist.join(F.broadcast(holding), ["metric", "range"])  # a range for each rank at most
+    upto = F.sum("n").over(W.partitionBy("metric", "range").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("start")
     picks = [F.max(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("n") < r), F.col("v"))).alias(name) for name, r in at.items()]
-    found = placed.groupBy("metric").agg(F.min("min").alias("min"), *picks, F.max("max").alias("max"), F.max("total").alias("total"))
+    found = met.withColumn("upto", upto).groupBy("metric").agg(F.min("min").alias("min"), *picks, F.max("max").alias("max"), F.max("total").alias("total"))
     return rows.sparkSession.createDataFrame([(m,) for m in metrics], "metric string").join(found, "metric", "left")
 
 
@@ -62,7 +78,7 @@ RANKS = {"p25": 25, "median": 50, "p75": 75, "p95": 95}
 def distribution(groups: DataFrame, metrics: list[str]) -> DataFrame:
     """A row a metric over all groups."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics]))
-    return _ranked(groups.select(each.alias("x")).select("x.*"), metrics, RANKS, 1000)
+    return _ranked(groups.select(each.alias("x")).select("x.*"), metrics, RANKS)
 
 
 def totals(events: DataFrame, key: str, budget: int | None = None) -> DataFrame:
@@ -80,17 +96,7 @@ def discovery(events: DataFrame, top: int = 15) -> DataFrame:
     return numeric_fields(found, "first_sample").orderBy(F.desc("event_count"), "type").limit(top)
 
 
-def numeric_fields(rows: DataFrame, column: str, depth: int = 4) -> DataFrame:
-    """rows with numeric_fields: dotted paths of the number-like members of a JSON object, arrays passed over, sorted."""
-    keys = f"coalesce(json_object_keys({column}), array())"
-    path = lambda k: f"get_json_object({column}, concat('$.', {k}))"
-    # level by level: an object's members become paths of their own
-    expr = keys
-    leaves = []
-    for _ in range(depth):
-        leaves.append(f"filter({expr}, k -> {path('k')} rlike '{_NUMBER_SQL}')")
-        expr = f"flatten(transform(filter({expr}, k -> {path('k')} like '{{%'), k -> transform(coalesce(json_object_keys({path('k')}), array()), m -> concat(k, '.', m))))"
-    return rows.withColumn("numeric_fields", F.expr(f"array_join(array_sort(concat({', '.join(leaves)})), ',')"))
-
-
-_NUMBER_SQL = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+def numeric_fields(rows: DataFrame, column: str) -> DataFrame:
+    """rows with numeric_fields: dotted paths of the number-like members of a JSON object at any depth, arrays passed
+    over, sorted."""
+    return rows.withColumn("numeric_fields", F.array_join(numeric_paths(F.col(column)), ","))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import coin_symbol
 from ..sources.shared import written
 from .windows import first_rows
 
@@ -237,6 +238,39 @@ def trace_summary(walk: DataFrame, inflow: DataFrame) -> DataFrame:
     return met.withColumn("summary", said)
 
 
+def trace_story(walk: DataFrame, tx: DataFrame, changes: DataFrame, decoded: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """direction, seed, story: each walk told hop by hop, with its time, protocols, actions, and who gained or lost what.
+
+    Changes of at most `small` are fees: they are told of only where a hop has no others. What is said of a transaction
+    is worked out once, however many walks pass it. decoded: digest, protocols and actions.
+    """
+    big = F.abs("cents") > small
+    line = F.concat(F.lit("  "), "address", F.lit(": "), F.col("cents").cast("string"), F.lit(" "), coin_symbol(F.col("coin")))
+    ordered = lambda text: F.transform(F.array_sort(F.collect_list(F.when(big, F.struct("ord", text.alias("text"))))), lambda x: x["text"])  # noqa: E731  of one transaction
+    told = changes.groupBy("digest").agg(ordered(line).alias("flows"), ordered(coin_symbol(F.col("coin"))).alias("coins"))
+    names = F.filter(F.split(F.coalesce("protocols", F.lit("")), ","), lambda x: x != "")
+    said = F.coalesce("actions", F.lit(""))
+    flows = F.when(F.size("flows") > 0, F.concat(F.lit("\nFlows:\n"), F.array_join("flows", "\n"))).when(F.col("flows").isNotNull(), "\nFlows:  gas only").otherwise("")
+    body = F.concat(F.lit("Tx:     "), F.col("digest").cast("string"), F.lit("\nSender: "), F.coalesce("sender", F.lit("unknown")), F.when(said != "", F.concat(F.lit("\nAction: "), said)).otherwise(""), flows)
+    empty = F.array().cast("array<string>")
+    each = tx.join(told, "digest", "left").join(decoded, "digest", "left").select("digest", "day", body.alias("body"), names.alias("names"), F.coalesce("coins", empty).alias("coins"), said.alias("actions"))
+    # ten hops of a walk at most
+    walks = walk.select("direction", "seed", "hop", "digest").join(each, "digest").groupBy("direction", "seed").agg(F.array_sort(F.collect_list(F.struct("hop", "day", "digest", "body", "names", "coins", "actions"))).alias("h"))
+    first, last, n = F.element_at("h", 1), F.element_at("h", -1), F.size("h").cast("string")
+    span = F.abs(last["day"] - first["day"])
+    day = lambda d: F.coalesce(F.concat(F.lit("(day "), d.cast("string"), F.lit(") ")), F.lit(""))
+    listed = lambda field: F.array_join(F.array_distinct(F.flatten(F.transform("h", lambda x: x[field]))), ", ")
+    lead = lambda word, text: F.when(text != "", F.concat(F.lit(f"\n{word}: "), text)).otherwise("")
+    story = F.concat(
+        F.lit("FUND TRACE — "), F.upper("direction"), F.lit("\nStarting tx: "), first["digest"].cast("string"),
+        F.when((F.size("h") > 1) & span.isNotNull(), F.concat(F.lit("\nTime span: "), span.cast("string"), F.when(span == 1, " day").otherwise(" days"), F.lit(" across "), n, F.lit(" hops"))).otherwise(F.concat(F.lit("\nHops: "), n)),
+        lead("Protocols", listed("names")), F.lit("\n"),
+        F.array_join(F.transform("h", lambda x: F.concat(F.lit("\n--- Hop "), x["hop"].cast("string"), F.lit(" "), day(x["day"]), F.lit("---\n"), x["body"], F.lit("\n"))), ""),
+        lead("Coins involved", listed("coins")), lead("Final action", last["actions"]),
+    )
+    return walks.select("direction", "seed", story.alias("story"))
+
+
 def hub_suggestions(fanout: DataFrame, labels: DataFrame, classes: tuple[str, ...] = ("hub",)) -> DataFrame:
     """address, category, label, confidence for addresses of these classes that have no label. Only suggested: a label
     decides where traces stop, so a person has to confirm it."""

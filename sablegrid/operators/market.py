@@ -25,14 +25,16 @@ def deviations(bars: DataFrame, oracle: DataFrame, keys: list[str]) -> DataFrame
 
 
 def deviation_summary(rows: DataFrame, threshold: int) -> DataFrame:
-    """One row: points, weighted_sum and weight (their quotient is the mean; unweighted where there is no volume),
-    max_abs and the earliest time of it, flagged."""
+    """One row: points, weighted_sum and weight, mean (weighted by volume, unweighted where there is none; rounded half
+    away from zero), max_abs and the earliest time of it, flagged."""
     d = F.col("deviation")
     known = rows.where("deviation is not null")
+    rounded = lambda a, b: F.expr(f"cast(sign({a}) as bigint) * ((abs({a}) * 2 + {b}) div ({b} * 2))")
+    mean = F.when(F.col("weight") > 0, rounded("weighted_sum", "weight")).when(F.col("points") > 0, rounded("plain", "points"))
     return known.agg(
-        F.count(F.lit(1)).alias("points"), F.sum(d * F.col("volume")).alias("weighted_sum"), F.sum("volume").alias("weight"), F.max(F.abs(d)).alias("max_abs"),
+        F.count(F.lit(1)).alias("points"), F.sum(d * F.col("volume")).alias("weighted_sum"), F.sum("volume").alias("weight"), F.sum(d).alias("plain"), F.max(F.abs(d)).alias("max_abs"),
         F.max(F.struct(F.abs(d).alias("a"), (-F.col("open_at")).alias("t")))["t"].alias("t"), F.count_if(F.abs(d) >= threshold).alias("flagged"),
-    ).select("points", "weighted_sum", "weight", "max_abs", (-F.col("t")).alias("max_at"), "flagged")
+    ).select("points", "weighted_sum", "weight", mean.alias("mean"), "max_abs", (-F.col("t")).alias("max_at"), "flagged")
 
 
 def book_summary(levels: DataFrame, keys: list[str], depth: int = 10) -> DataFrame:

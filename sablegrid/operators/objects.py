@@ -131,13 +131,30 @@ def positions(objects: DataFrame) -> DataFrame:
     return whole
 
 
+def metadata(objects: DataFrame, wrapper: str) -> DataFrame:
+    """object_id, coin, name, version of the objects of a type with one parameter (`wrapper<coin>`): the catalogue's rows.
+    The name is null where the content has none that is text."""
+    rows = objects.where(F.startswith("type", F.lit(f"{wrapper}<")))
+    coin = F.substring(F.col("type"), F.lit(len(wrapper) + 2), F.length("type") - len(wrapper) - 2)
+    return rows.select("object_id", coin.alias("coin"), text_field(F.col("content"), "name").alias("name"), "version")
+
+
 def capped_merge(rows: DataFrame, key: str, order: list[Column], per_key: int, limit: int) -> DataFrame:
     """The first rows of each key, then the first of all."""
     n = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return rows.withColumn("_n", n).where(F.col("_n") <= per_key).drop("_n").orderBy(*order).limit(limit)
 
 
-def within_budget(rows: DataFrame, keys: list[str], order: list[Column], size: str, most: int) -> DataFrame:
-    """Rows in order until their sizes pass the budget; the row that passes it is out."""
-    so_far = F.sum(size).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("used", so_far).where(F.col("used") <= most)
+def within_budget(rows: DataFrame, keys: list[str], order: list[Column], size: str, most: int, band: Column) -> DataFrame:
+    """Rows in order until their sizes (not negative) pass the budget; the row that passes it is out.
+
+    band is a whole number that never falls in the order. A band starts at the sum of those before it, bands that start
+    above the budget are dropped before any row is sorted, and each other one is sorted apart; so a key that holds most
+    rows is many tasks.
+    """
+    cut = rows.withColumn("_band", band)
+    sums = cut.groupBy(*keys, "_band").agg(F.sum(size).alias("_sum"))
+    so_far = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, 0))
+    starts = sums.select(*keys, "_band", (so_far - F.col("_sum")).alias("_start")).where(F.col("_start") <= most)
+    own = F.sum(size).over(W.partitionBy(*keys, "_band").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return cut.join(starts, [*keys, "_band"]).withColumn("used", own + F.col("_start")).where(F.col("used") <= most).drop("_band", "_start")

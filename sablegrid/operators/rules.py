@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import coin_symbol
+
 #: Words for actions; others are shown as they are.
 ACTION_WORDS = {
     "swap": "Swap", "add_liquidity": "Add liquidity", "remove_liquidity": "Remove liquidity", "open_position": "Open position", "close_position": "Close position",
@@ -23,25 +25,67 @@ def match_operations(commands: DataFrame, patterns: DataFrame) -> DataFrame:
     is grouped.
     """
     lengths = [r[0] for r in patterns.select(F.length("prefix")).distinct().collect()]  # one for each length of a prefix
-    keys = ["digest", "ord", "package", "module", "function"]
     starts = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("function"))
     asked = commands.select("module", "function").distinct().select("*", F.explode(F.transform(starts, lambda n: F.substring(F.col("function"), F.lit(1), n))).alias("prefix"))
     found = asked.join(patterns, ["module", "prefix"]).groupBy("module", "function").agg(F.min(F.struct("priority", "action", "skip")).alias("b"))
-    return commands.join(found, ["module", "function"], "left").select(*keys, F.col("b.action").alias("action"), F.col("b.skip").alias("skip"))
+    return commands.join(found, ["module", "function"], "left").select(*commands.columns, F.col("b.action").alias("action"), F.col("b.skip").alias("skip"))
+
+
+#: What other commands than calls say; the rest of them is infrastructure.
+COMMAND_WORDS = {"transfer": "Transfer to recipient", "publish": "Publish new package", "upgrade": "Upgrade package"}
+#: Actions that name the coin of their first type argument, and with which word the protocol follows.
+COIN_ACTIONS = {"flash_loan": "via", "flash_repay": "via", "deposit": "on", "withdraw": "on", "borrow": "on", "repay": "on"}
+
+
+def short_package(package: Column) -> Column:
+    """Long addresses by their ends."""
+    return F.when(F.length(package) > 16, F.concat(F.substring(package, 1, 10), F.lit("…"), F.right(package, F.lit(4)))).otherwise(package)
+
+
+def action_text(action: Column, protocol: Column, type_args: Column) -> Column:
+    """An operation in words, with the coins of its type arguments where the action has them."""
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ACTION_WORDS.items() for x in pair]), action), action)
+    coin = lambda n: coin_symbol(F.get(type_args, F.lit(n)))
+    then = lambda word: F.when(protocol.isNotNull(), F.concat(F.lit(f" {word} "), protocol)).otherwise("")
+    out = F.when((action == "swap") & (F.size(type_args) >= 2), F.concat(label, F.lit(" "), coin(0), F.lit(" → "), coin(1), then("on")))
+    for word in ("via", "on"):
+        named = action.isin(*[a for a, w in COIN_ACTIONS.items() if w == word]) & (F.size(type_args) >= 1)
+        out = out.when(named, F.concat(label, F.lit(" "), coin(0), then(word)))
+    return out.otherwise(F.concat(label, then("on")))
 
 
 def decode(operations: DataFrame, protocols: DataFrame) -> DataFrame:
-    """digest, protocols (sorted), actions (in order): what each transaction does, in words. Skipped operations are left out."""
-    words = F.create_map(*[F.lit(x) for pair in ACTION_WORDS.items() for x in pair])
+    """digest, protocols (sorted), actions (in order): what each transaction does, in words. Skipped operations are left
+    out. operations may have type_args (an array of types) and kind (call, transfer, publish, upgrade or another)."""
+    have = operations.columns
     met = operations.join(protocols, "package", "left")
-    name = F.coalesce(F.try_element_at(words, F.col("action")), F.col("action"))
+    args = F.coalesce("type_args", F.array().cast("array<string>")) if "type_args" in have else F.array().cast("array<string>")
     call = F.concat_ws("::", "module", "function")
     text = (
-        F.when(F.col("skip"), F.lit(None)).when(F.col("action").isNotNull(), F.concat_ws(" on ", name, "protocol"))
-        .when(F.col("protocol").isNotNull(), F.concat(F.lit("Call "), call, F.lit(" on "), F.col("protocol"))).otherwise(F.concat(F.lit("Call "), F.col("package"), F.lit("::"), call))
+        F.when(F.col("skip"), F.lit(None)).when(F.col("action").isNotNull(), action_text(F.col("action"), F.col("protocol"), args))
+        .when(F.col("protocol").isNotNull(), F.concat(F.lit("Call "), call, F.lit(" on "), F.col("protocol"))).otherwise(F.concat(F.lit("Call "), short_package(F.col("package")), F.lit("::"), call))
     )
+    protocol = F.col("protocol")
+    if "kind" in have:
+        called = F.col("kind") == "call"
+        text = F.when(called, text).otherwise(F.try_element_at(F.create_map(*[F.lit(x) for pair in COMMAND_WORDS.items() for x in pair]), F.col("kind")))
+        protocol = F.when(called, protocol)
     said = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("ord", text.alias("text")))))  # the commands of one transaction
-    return met.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("protocol")), ",").alias("protocols"), F.array_join(F.transform(said, lambda x: x["text"]), "; ").alias("actions"))
+    return met.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set(protocol)), ",").alias("protocols"), F.array_join(F.transform(said, lambda x: x["text"]), "; ").alias("actions"))
+
+
+def token_flow(tx: DataFrame, changes: DataFrame) -> DataFrame:
+    """digest, ord, coin (its symbol), amount, raw_type: what each transaction's sender gains and loses, in order."""
+    own = changes.join(tx.select("digest", F.col("sender").alias("address")), ["digest", "address"], "left_semi")
+    return own.select("digest", "ord", coin_symbol(F.col("coin")).alias("coin"), F.col("cents").alias("amount"), F.col("coin").alias("raw_type"))
+
+
+def decoded(tx: DataFrame, operations: DataFrame, protocols: DataFrame, changes: DataFrame) -> DataFrame:
+    """digest, protocols, actions, token_flow (amount and coin of each change of the sender, in order) of every transaction."""
+    flow = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(" ", F.col("amount").cast("string"), "coin").alias("text"))))  # of one transaction
+    flows = token_flow(tx, changes).groupBy("digest").agg(F.array_join(F.transform(flow, lambda x: x["text"]), "; ").alias("token_flow"))
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return tx.select("digest").join(decode(operations, protocols), "digest", "left").join(flows, "digest", "left").select("digest", empty("protocols"), empty("actions"), empty("token_flow"))
 
 
 def anomalies(commands: DataFrame, protocols: DataFrame) -> DataFrame:

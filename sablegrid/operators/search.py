@@ -15,10 +15,12 @@ def scan_events(events: DataFrame, type: str | None = None, sender: object = Non
     return events if limit is None else events.orderBy("seq").limit(limit)
 
 
-def scan_transactions(tx: DataFrame, changes: DataFrame, commands: DataFrame, sender: str | None = None, affected: str | None = None, function: str | None = None, after: int | None = None, before: int | None = None) -> DataFrame:
-    """Transactions by sender, day bounds and at most one of an affected address and a function."""
-    if affected is not None and function is not None:
-        raise ValueError("affected and function exclude each other")
+def scan_transactions(tx: DataFrame, changes: DataFrame, commands: DataFrame, sender: str | None = None, affected: str | None = None, function: str | None = None, after: int | None = None, before: int | None = None, object_id: str | None = None, objects: DataFrame | None = None) -> DataFrame:
+    """Transactions by sender, day bounds and at most one of an affected address, an affected object and a function.
+    objects: digest, object_id of what each transaction touched."""
+    given = [n for n, x in (("affected", affected), ("object_id", object_id), ("function", function)) if x is not None]
+    if len(given) > 1:
+        raise ValueError(f"{' and '.join(given)} exclude each other")
     if sender is not None:
         tx = tx.where(F.col("sender") == sender)
     if after is not None:
@@ -27,6 +29,10 @@ def scan_transactions(tx: DataFrame, changes: DataFrame, commands: DataFrame, se
         tx = tx.where(F.col("day") < before)
     if affected is not None:
         tx = tx.join(changes.where(F.col("address") == affected).select("digest"), "digest", "left_semi")
+    if object_id is not None:
+        if objects is None:
+            raise ValueError("object_id needs the objects that transactions touched")
+        tx = tx.join(objects.where(F.col("object_id") == object_id).select("digest"), "digest", "left_semi")
     if function is not None:
         package, module, name = [*function.split("::"), None, None][:3]
         calls = commands.where(F.col("package") == package)
@@ -37,6 +43,11 @@ def scan_transactions(tx: DataFrame, changes: DataFrame, commands: DataFrame, se
     return tx
 
 
+def sponsored(tx: DataFrame) -> DataFrame:
+    """tx (sender, sponsor) with gas_sponsored: whether someone else paid for it."""
+    return tx.withColumn("gas_sponsored", F.coalesce(F.col("sponsor") != F.col("sender"), F.col("sponsor").isNotNull()))
+
+
 def keyset_page(rows: DataFrame, key: str, after: object, limit: int) -> DataFrame:
     """The rows after a key, in its order."""
     return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(limit)
@@ -62,6 +73,61 @@ def resolve_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     return equal.where("rank is not null").unionByName(found)
 
 
+def resolve_tokens(asked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """asked (term) with the token's type and how it was found: literal (a type's own text has `::`), symbol (equal without
+    case, the least type of several) or part (the first name, then symbol, that contains the term); nulls if none does.
+
+    tokens: type, symbol, name. Only terms that are no literal look anything up; a symbol is one equi-join, and parts are
+    found by three letters of the term as in resolve_names.
+    """
+    literal = asked.where(F.contains("term", F.lit("::"))).select("term", F.col("term").alias("type"), F.lit("literal").alias("found"))
+    rest = asked.where(~F.contains("term", F.lit("::")))
+    symbols = tokens.where("symbol is not null").groupBy(F.lower("symbol").alias("low")).agg(F.min("type").alias("type"))
+    equal = rest.join(symbols, F.lower("term") == F.col("low"), "left").select("term", "type", F.when(F.col("type").isNotNull(), F.lit("symbol")).alias("found"))
+    # a token's name comes before its symbol
+    words = tokens.select(F.col("type"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("name").alias("word")), F.struct(F.lit(1).alias("kind"), F.col("symbol").alias("word")))).alias("w"))
+    open_ = equal.where("found is null").select("term")
+    met = [resolve_names(open_.distinct(), words.where(F.col("w.kind") == k).select(F.col("type").alias("id"), F.col("w.word").alias("name"))).select("term", F.col("id").alias(f"t{k}")) for k in (0, 1)]
+    part = open_.join(met[0], "term", "left").join(met[1], "term", "left").withColumn("type", F.coalesce("t0", "t1"))
+    part = part.select("term", "type", F.when(F.col("type").isNotNull(), F.lit("part")).alias("found"))
+    return literal.unionByName(equal.where("found is not null")).unionByName(part)
+
+
+def parsed_name(path: Column) -> tuple[Column, Column, Column, Column]:
+    """Name, version (null: the latest), module and type of `@org/app[/version][::module::type]`."""
+    parts = F.split(path, "::")
+    whole = F.get(parts, F.lit(0))
+    pinned = F.regexp_extract(whole, "^(.+/.+)/([0-9]+)$", 2)
+    name = F.when(pinned != "", F.regexp_extract(whole, "^(.+/.+)/([0-9]+)$", 1)).otherwise(whole)
+    return name, F.nullif(pinned, F.lit("")).cast("long"), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+
+
+def package_info(asked: DataFrame, registry: DataFrame) -> DataFrame:
+    """asked (name, a version may be pinned) with the registry's record: version, package, description; nulls if there is none.
+
+    registry: name, version, package, description, a row for each version; without a pin the latest counts.
+    """
+    name, pin, _, _ = parsed_name(F.col("name"))
+    want = asked.select("name", name.alias("_name"), pin.alias("_pin"))
+    last = registry.groupBy(F.col("name").alias("_name")).agg(F.max("version").alias("_last"))
+    want = want.join(last, "_name", "left").withColumn("version", F.coalesce("_pin", "_last"))
+    own = registry.withColumnRenamed("name", "_name")
+    return want.join(own, ["_name", "version"], "left").select("name", F.when(F.col("package").isNotNull(), F.col("version")).alias("version"), "package", "description")
+
+
+def resolve_structs(asked: DataFrame, registry: DataFrame, structs: DataFrame) -> DataFrame:
+    """asked (path, `@org/app[/version]::module::type`) with type_tag: the type under the package that defined it, null if
+    the name or the type is missing.
+
+    structs: package, module, type, defined_in (the package of the version that brought the type).
+    """
+    name, pin, module, kind = parsed_name(F.col("path"))
+    want = asked.select("path", F.concat_ws("/", name, pin.cast("string")).alias("name"), module.alias("module"), kind.alias("type"))
+    found = package_info(want.select("name").distinct(), registry).select("name", "package")
+    met = want.join(found, "name", "left").join(structs, ["package", "module", "type"], "left")
+    return met.select("path", F.when(F.col("defined_in").isNotNull(), F.concat_ws("::", "defined_in", "module", "type")).alias("type_tag"))
+
+
 def hot_then_cold(hot: DataFrame, cold: DataFrame, key: str) -> DataFrame:
     """Rows of the recent store, and those of the archive that it lacks."""
     return hot.unionByName(cold.join(hot.select(key), key, "left_anti"))

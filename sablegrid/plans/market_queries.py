@@ -44,7 +44,12 @@ def oracle_deviation(l: Ledger) -> DataFrame:
 
 @query(_BARS + " SELECT count(*) AS points, sum(deviation * volume)::BIGINT AS weighted_sum, sum(volume)::BIGINT AS weight, max(abs(deviation)) AS max_abs, arg_max(open_at, (abs(deviation), -open_at))::BIGINT AS max_at, count(*) FILTER (abs(deviation) >= 500000) AS flagged FROM d WHERE deviation IS NOT NULL")
 def deviation_summary(l: Ledger) -> DataFrame:
-    return market.deviation_summary(_bars(l), 500_000)
+    return market.deviation_summary(_bars(l), 500_000).drop("mean")
+
+
+@query(_BARS + ", s AS (SELECT count(*) AS points, sum(deviation * volume)::BIGINT AS a, sum(volume)::BIGINT AS b, sum(deviation)::BIGINT AS c FROM d WHERE deviation IS NOT NULL) SELECT points, CASE WHEN b > 0 THEN (sign(a) * ((abs(a) * 2 + b) // (b * 2)))::BIGINT ELSE (sign(c) * ((abs(c) * 2 + points) // (points * 2)))::BIGINT END AS mean FROM s")
+def deviation_mean(l: Ledger) -> DataFrame:
+    return market.deviation_summary(_bars(l), 500_000).select("points", "mean")
 
 
 @query("""WITH b AS (SELECT p_type AS pair, CASE l_returnflag WHEN 'A' THEN 'bid' ELSE 'ask' END AS side, round(l_extendedprice * 100)::BIGINT // l_quantity::BIGINT AS price, l_quantity::BIGINT AS qty FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'N')),

@@ -239,7 +239,7 @@ def capped_timeline(l: Ledger) -> DataFrame:
 @query("WITH r AS (SELECT p_brand AS package, p_partkey AS id, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey)::BIGINT AS used FROM part) SELECT * FROM r WHERE used <= 300")
 def budget_cut(l: Ledger) -> DataFrame:
     rows = l.table("part").select(F.col("p_brand").alias("package"), F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"))
-    return objects.within_budget(rows, ["package"], [F.asc("id")], "size", 300).drop("size")
+    return objects.within_budget(rows, ["package"], [F.asc("id")], "size", 300, F.floor(F.col("id") / 64)).drop("size")
 
 
 @query(f"SELECT digest, code, severity, row_number() OVER (PARTITION BY digest ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, code) AS position FROM ({ORACLES['ptb_anomalies']}) t")
