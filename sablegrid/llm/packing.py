@@ -11,15 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 #: Bytes that the chunks and ids known to one Python worker may take; what was not met lately goes first.
-CACHE = 96_000_000
+CACHE = 48_000_000
 #: Bytes of an entry of a dictionary of small byte strings beside the strings' own characters.
 ENTRY = 170
 _STOPS = re.compile(rb"(?<=[a-z])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|$)")
 _encoders: dict[str, Encoder] = {}
+PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
 
 @dataclass(frozen=True)
@@ -137,23 +141,21 @@ def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents with their end id, cut where longer than a sequence."""
     width, end = params.length * 4, np.array([params.end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if params.tokenizer not in _encoders:
             _encoders[params.tokenizer] = Encoder(params.tokenizer)
         encode = _encoders[params.tokenizer]
-        for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.iloc[at : at + 1024]
-                rows = []
-                for doc, ids in zip(part["doc_id"].tolist(), encode(part["text"].tolist())):
-                    ids += end
-                    for k, i in enumerate(range(0, len(ids), width)):
-                        own = ids[i : i + width]
-                        rows.append((doc, k, i // 4, len(own) // 4, zlib.crc32(own)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+        for part in slices(batches, 1024):
+            rows: list[list] = [[] for _ in PIECE]
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                ids += end
+                for k, i in enumerate(range(0, len(ids), width)):
+                    own = ids[i : i + width]
+                    for column, x in zip(rows, (doc, k, i // 4, len(own) // 4, zlib.crc32(own)), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, PIECE.values(), strict=True)], list(PIECE))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut: DataFrame, tasks: int, params: PackParams) -> DataFrame:
@@ -179,7 +181,9 @@ def best_fit_pack(docs: DataFrame, params: PackParams) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece that holds the end id alone. Rows that repeat an id are packed one by one,
-    as are null ids. An empty table gives an empty result; columns other than doc_id and text are not looked at.
+    as are null ids. Texts of any length are encoded whole and cut into pieces. Of equally full bins the one that came
+    last takes a piece; pieces that are the same in all come in any order. An empty table gives an empty result; columns
+    other than doc_id and text are not looked at.
     """
     tasks = max(1, -(-docs.count() // params.rows_per_task))
     return pack(pieces(docs, params), tasks, params)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 FEATURES = (
     "log_bytes", "log_words", "word_length", "distinct_words", "repeats", "distinct_pairs", "upper", "digits", "spaces", "lines",
     "stops", "bangs", "bars", "marks", "wide", "entropy", "top_byte", "sentence_words",
@@ -210,13 +212,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, p: GamParams = GamParams(
 
 
 def accepted(docs: DataFrame, labels: DataFrame, p: GamParams = GamParams()) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold, also those just at it.
+
+    Null and empty texts are scored like any other, rows without an id too, and rows that repeat an id each for itself.
+    Whole texts count, however long. An empty table gives an empty one; columns may have any names.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:  # Arrow keeps every column as it is
+        for b in slices(batches, 1024):  # Arrow keeps every column as it is
             x = np.array([features(t) for t in b.column("text").to_pylist()], float).reshape(b.num_rows, len(FEATURES))
             yield b.filter(pa.array(shipped.value.score(x) >= p.threshold, pa.bool_()))
 

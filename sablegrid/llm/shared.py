@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,19 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def slices(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches in parts of so many rows, so that texts become Python strings a part at a time. When a task's last
+    batch is through, memory that Python has freed goes back to the machine (where its C library can), for the worker
+    stays and serves other tasks."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 #: Ids (8 bytes each) that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 

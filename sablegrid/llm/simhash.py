@@ -8,10 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, attach, components, discard, materialize, without
+from .shared import BROADCAST_IDS, attach, components, discard, materialize, slices, without
 
 #: Groups up to this size are compared by shifts over the whole batch, larger ones by a search from one member to the next.
 SMALL = 8
@@ -190,8 +191,9 @@ def simhash_dedup(docs: DataFrame, params: SimHashParams = SimHashParams()) -> D
 
     component_id is the smallest doc_id that links reach, the document itself included. Null and empty texts have
     no words and the fingerprint zero, which links like any other. Rows that repeat an id count one by one; null
-    ids take the component of their fingerprint if a row with an id has it, and null otherwise. An empty table
-    gives an empty result; columns other than doc_id and text are not looked at.
+    ids take the component of their fingerprint if a row with an id has it, and null otherwise. A bit that just half of
+    the shingles set is 0. Whole texts count, however long. An empty table gives an empty result; columns other than
+    doc_id and text are not looked at.
 
     Equal fingerprints become one row before the search. A fingerprint visits every table entry in the Hamming
     ball around each of its segments; entries that hold many come out as a spanning forest of verified links, so
@@ -226,36 +228,35 @@ def sketch(held: np.ndarray) -> tuple[list[int], bytes]:
 def summaries(docs: DataFrame, params: SimHashParams) -> DataFrame:
     """doc_id, fp, code (digest of the set of shingles), size of the set, its bands and its bitmap."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {"fp": pa.int64(), "code": pa.binary(), "size": pa.int64(), "bands": pa.list_(pa.int64()), "bits": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            for i in range(0, len(b), SLICE):
-                part, out = b.iloc[i : i + SLICE], []
-                for t in part["text"]:
-                    hashes = shingle_hashes(words(t), params.shingle, params.seed)
-                    held = np.unique(hashes.view(np.int64))
-                    out.append((fingerprint(hashes), xxhash.xxh3_128_digest(held.tobytes()), len(held), *sketch(held)))
-                found = pd.DataFrame(out, columns=["fp", "code", "size", "bands", "bits"])
-                found.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield found
+        for part in slices(batches, SLICE):
+            out = []
+            for t in part.column("text").to_pylist():
+                hashes = shingle_hashes(words(t), params.shingle, params.seed)
+                held = np.unique(hashes.view(np.int64))
+                out.append((fingerprint(hashes), xxhash.xxh3_128_digest(held.tobytes()), len(held), *sketch(held)))
+            made = [pa.array([row[k] for row in out], t) for k, t in enumerate(types.values())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *made], ["doc_id", *types])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, code binary, size long, bands array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, code binary, size long, bands array<long>, bits binary")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, params: SimHashParams, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of doc_id, a written table, whose sets of shingles have a Jaccard similarity of so much
     at least. Where rows of other texts repeat an id, any of them will do."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), SLICE):
-                part = b.iloc[i : i + SLICE]
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "held": [np.unique(shingle_hashes(words(t), params.shingle, params.seed).view(np.int64)) for t in part["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE):
+            held = [np.unique(shingle_hashes(words(t), params.shingle, params.seed).view(np.int64)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["id", "held"])
 
     asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
     side = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
-    held = docs.select("doc_id", "text").join(side, "doc_id", "left_semi").mapInPandas(run, "id long, held array<long>")
+    held = docs.select("doc_id", "text").join(side, "doc_id", "left_semi").mapInArrow(run, "id long, held array<long>")
     held = materialize(held.groupBy("id", F.xxhash64("held").alias("h")).agg(F.first("held").alias("held")).drop("h"), "shingles")
     # a hub is in many pairs: its set goes to several tasks, each of which has about HUB of the pairs
     n, met, sides = pairs.count(), pairs, []
