@@ -63,3 +63,12 @@ def portfolio(holdings: DataFrame, prices: DataFrame, key: str, by: str) -> Data
     valued = holdings.join(prices, key, "left").withColumn("value_cents", F.col("amount") * F.col("price"))
     totals = valued.groupBy(by).agg(F.coalesce(F.sum("value_cents"), F.lit(0)).alias("total_cents"))
     return valued.join(totals, by)
+
+
+def pipeline_status(events: DataFrame, pipeline: str, behind: int = 600) -> DataFrame:
+    """pipeline, latest_checkpoint, checkpoint_lag, time_lag_seconds, status: how far each pipeline is behind the newest
+    of all; `behind` where it is by more than so many seconds. events: seq and us (microseconds)."""
+    own = events.groupBy(F.col(pipeline).alias("pipeline")).agg(F.max("seq").alias("latest_checkpoint"), F.max("us").alias("us"))
+    newest = own.agg(F.max("latest_checkpoint").alias("seq"), F.max("us").alias("newest"))  # one row
+    lag = F.floor((F.col("newest") - F.col("us")) / 1_000_000)
+    return own.crossJoin(F.broadcast(newest)).select("pipeline", "latest_checkpoint", (F.col("seq") - F.col("latest_checkpoint")).alias("checkpoint_lag"), lag.alias("time_lag_seconds"), F.when(lag > behind, "behind").otherwise("ok").alias("status"))

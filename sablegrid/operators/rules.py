@@ -88,6 +88,26 @@ def decoded(tx: DataFrame, operations: DataFrame, protocols: DataFrame, changes:
     return tx.select("digest").join(decode(operations, protocols), "digest", "left").join(flows, "digest", "left").select("digest", empty("protocols"), empty("actions"), empty("token_flow"))
 
 
+#: Rules over a transaction's calls, code and severity; packages of the system; words of functions; how
+#: many packages are a composition.
+ANOMALIES = {"publishes-or-upgrades": "high", "unverified-package-call": "medium", "flashloan-pattern": "info", "multi-package-composition": "info"}
+SYSTEM, FLASH, BORROW, REPAY, COMPOSITION = ("1", "2", "3"), "flash", "borrow", "repay", 4
+#: Rules over a package's surface, code and severity, and the patterns of names and parameters they go by.
+FINDINGS = {
+    "freeze-authority": "high", "mint-authority": "medium", "privileged-capability": "medium", "handles-funds": "info", "uses-randomness": "info", "hot-potato": "info", "no-public-api": "info",
+}
+DENY_NAME, DENY_PARAMS, DENY_STRUCT = "(?i)deny", "deny_list::DenyList|coin::DenyCap", "(?i)DenyCap"
+TREASURY_PARAMS, MINT_NAME = "coin::TreasuryCap", "(?i)(^|_)mint($|_)"
+FUNDS_PARAMS, RANDOM_PARAMS = r"coin::Coin|balance::Balance|::sui::SUI\b", "random::Random"
+STANDARD_CAPS, CAP_NAME, ADMIN_NAME = "^(TreasuryCap|DenyCap|DenyCapV2|UpgradeCap|CoinMetadata)$", "Cap$", "(?i)(Admin|Owner)"
+
+
+def found_rows(tests: dict[str, Column], severities: dict[str, str]) -> Column:
+    """code, severity, evidence_count of the rules whose count is above 0, as an array."""
+    rows = [F.when(n > 0, F.struct(F.lit(code).alias("code"), F.lit(severities[code]).alias("severity"), n.cast("long").alias("evidence_count"))) for code, n in tests.items()]
+    return F.array_compact(F.array(*rows))
+
+
 def anomalies(commands: DataFrame, protocols: DataFrame) -> DataFrame:
     """digest, code, severity, evidence_count: a row for each rule that a transaction's calls meet.
 
@@ -97,20 +117,18 @@ def anomalies(commands: DataFrame, protocols: DataFrame) -> DataFrame:
     c = commands if "kind" in commands.columns else commands.withColumn("kind", F.lit("call"))
     met = c.join(protocols.select("package", F.lit(True).alias("known")), "package", "left")
     call = F.col("kind") == "call"
-    system = F.regexp_replace(F.col("package"), "^0x0*", "").isin("1", "2", "3")
+    system = F.regexp_replace(F.col("package"), "^0x0*", "").isin(*SYSTEM)
     fn = F.lower("function")
     has = lambda word: call & fn.rlike(f"(^|_){word}($|_)")
     seen = met.groupBy("digest").agg(
         F.count_if(F.col("kind").isin("publish", "upgrade")).alias("published"), F.count_distinct(F.when(call & F.col("known").isNull() & ~system, F.col("package"))).alias("unverified"),
-        F.count_if(call & F.contains(fn, F.lit("flash"))).alias("flash"), F.count_if(has("borrow")).alias("borrowed"), F.count_if(has("repay")).alias("repaid"), F.count_distinct(F.when(call, F.col("package"))).alias("packages"),
+        F.count_if(call & F.contains(fn, F.lit(FLASH))).alias("flash"), F.count_if(has(BORROW)).alias("borrowed"), F.count_if(has(REPAY)).alias("repaid"), F.count_distinct(F.when(call, F.col("package"))).alias("packages"),
     )
     both = (F.col("borrowed") > 0) & (F.col("repaid") > 0)
-    rules = [
-        ("publishes-or-upgrades", "high", F.col("published") > 0, F.col("published")), ("unverified-package-call", "medium", F.col("unverified") > 0, F.col("unverified")),
-        ("flashloan-pattern", "info", (F.col("flash") > 0) | both, F.when(F.col("flash") > 0, F.col("flash")).otherwise(F.col("borrowed") + F.col("repaid"))), ("multi-package-composition", "info", F.col("packages") >= 4, F.col("packages")),
-    ]
-    rows = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), n.cast("long").alias("evidence_count"))) for code, severity, test, n in rules]))
-    return seen.select("digest", F.explode(rows).alias("r")).select("digest", "r.*")
+    flash = F.when(F.col("flash") > 0, F.col("flash")).when(both, F.col("borrowed") + F.col("repaid")).otherwise(0)
+    many = F.when(F.col("packages") >= COMPOSITION, F.col("packages")).otherwise(0)
+    tests = dict(zip(ANOMALIES, (F.col("published"), F.col("unverified"), flash, many), strict=True))
+    return seen.select("digest", F.explode(found_rows(tests, ANOMALIES)).alias("r")).select("digest", "r.*")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -124,20 +142,17 @@ def package_findings(functions: DataFrame, structs: DataFrame) -> DataFrame:
     """
     name, params, public = F.col("name"), F.col("params"), F.col("is_public")
     f = functions.groupBy("package").agg(
-        F.count(F.lit(1)).alias("functions"), F.count_if(public).alias("public"), F.count_if(name.rlike("(?i)deny") | params.rlike("deny_list::DenyList|coin::DenyCap")).alias("deny_f"),
-        F.count_if(params.rlike("coin::TreasuryCap")).alias("treasury"), F.count_if(public & name.rlike("(?i)(^|_)mint($|_)")).alias("mint"),
-        F.count_if(public & params.rlike(r"coin::Coin|balance::Balance|::sui::SUI\b")).alias("funds"), F.count_if(params.rlike("random::Random")).alias("random"),
+        F.count(F.lit(1)).alias("functions"), F.count_if(public).alias("public"), F.count_if(name.rlike(DENY_NAME) | params.rlike(DENY_PARAMS)).alias("deny_f"),
+        F.count_if(params.rlike(TREASURY_PARAMS)).alias("treasury"), F.count_if(public & name.rlike(MINT_NAME)).alias("mint"),
+        F.count_if(public & params.rlike(FUNDS_PARAMS)).alias("funds"), F.count_if(params.rlike(RANDOM_PARAMS)).alias("random"),
     )
-    standard = name.rlike("^(TreasuryCap|DenyCap|DenyCapV2|UpgradeCap|CoinMetadata)$")
-    s = structs.groupBy("package").agg(F.count_if(name.rlike("(?i)DenyCap")).alias("deny_s"), F.count_if(~standard & (name.rlike("Cap$") | name.rlike("(?i)(Admin|Owner)"))).alias("caps"), F.count_if(F.col("abilities") == 0).alias("potatoes"))
+    standard = name.rlike(STANDARD_CAPS)
+    s = structs.groupBy("package").agg(F.count_if(name.rlike(DENY_STRUCT)).alias("deny_s"), F.count_if(~standard & (name.rlike(CAP_NAME) | name.rlike(ADMIN_NAME))).alias("caps"), F.count_if(F.col("abilities") == 0).alias("potatoes"))
     both = f.join(s, "package", "full").na.fill(0)
     c = F.col
-    rules = [
-        ("freeze-authority", "high", c("deny_s") + c("deny_f")), ("mint-authority", "medium", c("treasury") + c("mint")), ("privileged-capability", "medium", c("caps")), ("handles-funds", "info", c("funds")),
-        ("uses-randomness", "info", c("random")), ("hot-potato", "info", c("potatoes")), ("no-public-api", "info", F.when((c("functions") > 0) & (c("public") == 0), c("functions")).otherwise(0)),
-    ]
-    rows = F.array_compact(F.array(*[F.when(n > 0, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), n.cast("long").alias("evidence_count"))) for code, severity, n in rules]))
-    return both.select("package", F.explode(rows).alias("r")).select("package", "r.*")
+    closed = F.when((c("functions") > 0) & (c("public") == 0), c("functions")).otherwise(0)
+    tests = dict(zip(FINDINGS, (c("deny_s") + c("deny_f"), c("treasury") + c("mint"), c("caps"), c("funds"), c("random"), c("potatoes"), closed), strict=True))
+    return both.select("package", F.explode(found_rows(tests, FINDINGS)).alias("r")).select("package", "r.*")
 
 
 def capability_kind(type_name: Column) -> Column:

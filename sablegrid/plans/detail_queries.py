@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import cases, flows, objects, rules, search
 from ..sources.ledger import SINKS, Ledger, ctes
-from ..sources.shared import written
 from .event_queries import labels
 from .flow_queries import _HOPS, _SAID, NEAR, TRACE, written_edges
 from .object_queries import _OBJ, _objects
@@ -36,7 +35,7 @@ def _operations(l: Ledger) -> DataFrame:
 @query(ctes("cmd", "pat", "pro", "bc", "tx") + ", " + _DECODED + ", fl AS (SELECT digest, string_agg(cents || ' ' || coin, '; ' ORDER BY ord) AS token_flow FROM bc WHERE address = sender GROUP BY 1) SELECT digest, coalesce(protocols, '') AS protocols, coalesce(actions, '') AS actions, coalesce(token_flow, '') AS token_flow FROM tx LEFT JOIN de USING (digest) LEFT JOIN fl USING (digest)")
 def decode_flows(l: Ledger) -> DataFrame:
     """Every transaction in words: protocols, actions with their coins, and what its sender gained and lost."""
-    return rules.decoded(l.transactions(), _operations(l), l.protocols(), l.changes())
+    return rules.decoded(l.transactions(), _operations(l), l.protocols(), l.kept_changes())
 
 
 @query(
@@ -55,7 +54,7 @@ def decode_flows(l: Ledger) -> DataFrame:
 )
 def trace_story(l: Ledger) -> DataFrame:
     """The forward walk of every transaction, told."""
-    changes = written(l.changes(), "changes")
+    changes = l.kept_changes()
     sinks = labels(l).where(F.col("category").isin(*SINKS))
     walk = flows.trace_walk(written_edges(l), flows.neighbours(changes), sinks, l.transactions().select("digest"), directions=("forward",))
     return flows.trace_story(walk, l.transactions(), changes, rules.decode(_operations(l), l.protocols()))

@@ -38,16 +38,16 @@ WALK = ctes("bc", "lbl", recursive=True) + ", " + EDGES + """, seed AS (SELECT D
 
 @query(FANOUT_SQL)
 def fanout_all(l: Ledger) -> DataFrame:
-    return flows.fanout(l.changes(), latest=1000)
+    return flows.fanout(l.kept_changes(), latest=1000)
 
 
 @query(BC + ", " + EDGES + " SELECT * FROM edge")
 def funding_edges(l: Ledger) -> DataFrame:
-    return flows.funding_edges(l.changes())
+    return flows.funding_edges(l.kept_changes())
 
 
 def _walks(l: Ledger) -> DataFrame:
-    return flows.funding_steps(flows.funding_edges(l.changes()), labels(l), l.changes().select("address").distinct(), 5)
+    return flows.funding_steps(flows.funding_edges(l.kept_changes()), labels(l), l.kept_changes().select("address").distinct(), 5)
 
 
 @query(WALK + " SELECT address, cur AS origin, hops::BIGINT AS hops, stop AS stop_reason_code, array_to_string(visited, '>') AS chain FROM w WHERE stop IS NOT NULL")
@@ -79,7 +79,7 @@ TRACE = """op AS (SELECT digest, ord, action, skip, row_number() OVER (PARTITION
 
 def _edges(l: Ledger) -> DataFrame:
     swaps = rules.match_operations(l.commands(), l.patterns()).where("action = 'swap' and not skip").select("digest").distinct()
-    return flows.trace_edges(l.transactions(), l.changes(), swaps, labels(l).where(F.col("category").isin("protocol", "defi")))
+    return flows.trace_edges(l.transactions(), l.kept_changes(), swaps, labels(l).where(F.col("category").isin("protocol", "defi")))
 
 
 @query(ctes("bc", "cmd", "lbl", "pat") + ", " + TRACE + " SELECT * FROM te")
@@ -98,7 +98,7 @@ _SAID = """SELECT '{d}' AS direction, seed, hop::BIGINT AS hop, digest, te.sende
     + _SAID.format(d="forward", n="f", a="te.next_address", c="next_digest") + " UNION ALL " + _SAID.format(d="backward", n="b", a="te.sender", c="prev_digest")
 )
 def trace_walk(l: Ledger) -> DataFrame:
-    edges, near = written_edges(l), flows.neighbours(l.changes())
+    edges, near = written_edges(l), flows.neighbours(l.kept_changes())
     sinks = labels(l).where(F.col("category").isin(*SINKS))
     return flows.trace_walk(edges, near, sinks, l.transactions().select("digest"))
 

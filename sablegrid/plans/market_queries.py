@@ -114,3 +114,9 @@ def validator_rank(l: Ledger) -> DataFrame:
 @query(_VAL + " SELECT * FROM val ORDER BY stake DESC, address LIMIT 20")
 def validator_rank_by_stake(l: Ledger) -> DataFrame:
     return _validators(l).orderBy(F.desc("stake"), "address").limit(20)
+
+
+@query(EV + """, o AS (SELECT sender AS pipeline, max(seq) AS latest_checkpoint, max(epoch_us(ts)) AS us FROM ev GROUP BY 1), n AS (SELECT max(latest_checkpoint) AS seq, max(us) AS newest FROM o)
+    SELECT pipeline, latest_checkpoint, seq - latest_checkpoint AS checkpoint_lag, ((newest - us) // 1000000)::BIGINT AS time_lag_seconds, CASE WHEN (newest - us) // 1000000 > 600 THEN 'behind' ELSE 'ok' END AS status FROM o, n""")
+def pipeline_status(l: Ledger) -> DataFrame:
+    return market.pipeline_status(l.events().withColumn("us", windows.micros(F.col("ts"))), "sender")

@@ -24,7 +24,7 @@ _AT = _FAN.index("SELECT *, CASE WHEN sender_count > 0")
     best AS (SELECT *, row_number() OVER (ORDER BY funded_count DESC, funder) AS place FROM c)""" + _FAN[:_AT].replace("1000", "300") + ", fan AS (" + _FAN[_AT:] + ") SELECT fan.*, place, funded_count FROM fan JOIN best ON fan.address = funder WHERE place <= 10")
 def shared_funder_fanout(l: Ledger) -> DataFrame:
     """Fan-out of the ten addresses that funded most others within three hops."""
-    changes = written(l.changes(), "changes")
+    changes = l.kept_changes()
     walks = flows.funding_steps(flows.funding_edges(changes), labels(l), changes.select("address").distinct(), 3)
     return flows.shared_fanout(flows.shared_funders(walks), changes)
 
@@ -37,7 +37,7 @@ _KEPT = "k AS (SELECT * FROM bc WHERE day % 10 <> 0 AND day >= (SELECT max(day)
 def fanout_cached(l: Ledger) -> DataFrame:
     """Exact fan-out of each address over the days that a cache of day sketches holds (400 days old at most, those of an
     older method left out), and whether the cache's estimates are within 5 per cent of it."""
-    changes = written(l.changes(), "changes")
+    changes = l.kept_changes()
     last = changes.agg(F.max("day")).first()[0]
     cache = written(sketches.day_sketches(changes, method=F.when(F.col("day") % 10 == 0, 1).otherwise(sketches.METHOD)), "sketches")
     found = sketches.merged(cache, F.lit((last or 0) * 86_400), 400 * 86_400)

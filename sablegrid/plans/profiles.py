@@ -18,7 +18,7 @@ FORENSICS = (
 )
 DEVELOPER = ("ptb_anomalies", "package_rules", "capability_risk", "package_diff", "line_multiset_delta", "lcs_diff", "unknown_packages", "dependency_bfs", "coin_selection", "package_api", "budget_cut", "package_diff_summary", "module_churn", "package_line_diff", "type_text", "datatype_fields", "operation_registry", "package_info", "struct_tags")
 MARKET = (
-    "asof_price", "oracle_deviation", "deviation_summary", "deviation_mean", "book_summary", "trade_participation", "price_merge", "market_cap", "usd_value", "format_usd", "top_holders", "nft_owner_resolution", "nft_holders",
+    "asof_price", "oracle_deviation", "deviation_summary", "deviation_mean", "pipeline_status", "book_summary", "trade_participation", "price_merge", "market_cap", "usd_value", "format_usd", "top_holders", "nft_owner_resolution", "nft_holders",
     "nft_filter", "nft_page", "nft_cursor_page", "collection_counts", "stake_totals", "validator_rank", "validator_rank_by_stake", "collection_resolve", "feed_match", "kiosk_discovery", "stream_candles", "pool_views", "position_entries",
 )
 PROFILES = {"core": CORE, "forensics": FORENSICS, "developer": DEVELOPER, "market": MARKET}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .shared import written
+
 #: Label categories in the order of their index; those where a trace ends.
 CATEGORIES = ("cex", "bridge", "mixer", "malicious", "protocol", "validator", "defi", "burn", "other")
 SINKS = ("cex", "bridge", "mixer", "malicious", "burn")
@@ -56,6 +58,13 @@ class Ledger:
         )
         return line.select("digest", "day", "sender", F.col("p_type").alias("coin"), F.explode(sides).alias("s")).select("digest", "day", "s.ord", "sender", "s.address", "coin", "s.cents")
 
+    def kept_changes(self) -> DataFrame:
+        """changes as a table that is written once, for queries that read them several times."""
+        kept = self.__dict__.setdefault("_kept", {})
+        if "changes" not in kept:
+            kept["changes"] = written(self.changes(), "changes")
+        return kept["changes"]
+
     def commands(self) -> DataFrame:
         """digest, ord, package, module, function."""
         line = self._lines().join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))

@@ -42,7 +42,8 @@ def sums_by(stream: DataFrame, key: str) -> DataFrame:
 
 
 def sums_by_hour(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Totals of each hour and type; an hour is final once the watermark has passed it."""
+    """Totals of each hour and type. In append mode an hour comes once, when the watermark has passed it; in complete mode
+    every hour so far is given again and none is ever dropped."""
     w = F.window("ts", "1 hour")
     return stream.withWatermark("ts", late).groupBy(w.alias("w"), "type").agg(F.count(F.lit(1)).alias("event_count"), F.sum("cents").alias("value_sum")).select(F.col("w.start").alias("hour"), "type", "event_count", "value_sum")
 
