@@ -25,7 +25,8 @@ class TreeParams:
     """sample: vectors that the tree is fitted on, by hash of the id (the bound on what reaches the driver).
     branch: children of an inner node. leaf: sampled vectors of a leaf at most; so a tree has at most `sample`
     leaves. k: neighbours. recall: aim of the calibration, made on `probes` vectors against all rows. block: vectors
-    of a leaf that one task searches; larger leaves are split."""
+    of a leaf that one task searches; larger leaves are split. queries: queries about that one task answers; where more
+    meet, its vectors go to several tasks."""
 
     sample: int = 20_000
     branch: int = 8
@@ -34,6 +35,7 @@ class TreeParams:
     recall: float = 0.94
     probes: int = 200
     block: int = 4096
+    queries: int = 8192
     seed: int = 7
 
 
@@ -207,10 +209,13 @@ def _local(p: TreeParams):
 
 def _scan(rows: DataFrame, p: TreeParams, every: int) -> DataFrame:
     """All queries against all rows of their length, in blocks: rows (vec_id, v, n, rows) of lengths that few have."""
-    blocks = F.ceil(F.col("rows") / p.block).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).select("n", "block", "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).select((F.col("n") + 0).alias("n"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return asked.groupBy("n", "block").cogroup(dealt.groupBy("n", "block")).applyInPandas(_local(p), "query_id long, vec_id long, score double")
+    blocks, parts = F.ceil(F.col("rows") / p.block).cast("int"), F.ceil(F.col("rows") / (every * p.queries)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("part", each(parts)).select("n", "block", "part", "vec_id", "v")
+    part = F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part")
+    asked = rows.where(F.col("vec_id") % every == 0).select((F.col("n") + 0).alias("n"), each(blocks).alias("block"), part, F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    keys = ["n", "block", "part"]
+    return asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_local(p), "query_id long, vec_id long, score double")
 
 
 def _search(rows: DataFrame, p: TreeParams, every: int) -> DataFrame:
@@ -265,5 +270,12 @@ def _search(rows: DataFrame, p: TreeParams, every: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["query_id", "q", "owner", "block", "leaves"])
 
     asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(walk, "query_id long, q array<double>, owner int, block int, leaves array<int>")
+    asked = materialize(asked, "asked")
+    parts = F.ceil(F.col("asked") / p.queries).cast("int")
+    load = F.broadcast(asked.groupBy("owner", "block").agg(F.count(F.lit(1)).alias("asked")).select("owner", "block", parts.alias("parts")))  # a row a block of leaves
+    part = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part")
     dealt = indexed.join(F.broadcast(layout), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    return asked.groupBy("owner", "block").cogroup(dealt.groupBy("owner", "block")).applyInPandas(_local(p), "query_id long, vec_id long, score double")
+    dealt = dealt.join(load, ["owner", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    asked = asked.join(load, ["owner", "block"]).select("query_id", "q", "owner", "block", "leaves", part)
+    keys = ["owner", "block", "part"]
+    return asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_local(p), "query_id long, vec_id long, score double")

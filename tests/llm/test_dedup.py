@@ -38,6 +38,17 @@ def test_exact_against_brute_force(spark, params):
     assert sorted(got, key=str) == brute_exact(rows)
 
 
+def test_hot_and_cold_copies_against_brute_force(spark):
+    """Of 24,000 rows a few texts have over a thousandth, so their rows find their group by digest; all others meet
+    their copies in the buckets of their owners."""
+    rng = random.Random(7)
+    rows = [(i, f"hot  {i % 3}") for i in range(4000)] + [(4000 + i, f"cold {rng.randrange(6000)}{' ' * rng.randrange(1, 3)}x") for i in range(20_000)]
+    rng.shuffle(rows)
+    got = [tuple(r) for r in ed.exact_dedup(table(spark, rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    assert sorted(got, key=str) == brute_exact(rows)
+    assert len({r[1] for r in got if 1 < r[2] < 24}) > 4000 and {r[2] for r in got if r[2] > 24} == {1333, 1334}
+
+
 def test_collisions_chain(spark):
     got = ed.exact_dedup(table(spark, [(i, f"t{i}") for i in range(40)]), ed.IndexParams(hash_bits=2)).collect()
     assert all(r.kept and r.group_size == 1 for r in got) and max(r.chain for r in got) > 3

@@ -39,11 +39,12 @@ def test_recall_against_brute_force(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
-def test_hot_vector_and_blocks(spark):
+@pytest.mark.parametrize("queries", [8192, 2])
+def test_hot_vector_and_blocks(spark, queries):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).tolist() if i % 3 else [1.0, 2.0, 3.0, 4.0], 0, 0) for i in range(600)]
     table = spark.createDataFrame(rows, SCHEMA)
-    p = nn.TreeParams(sample=300, leaf=20, recall=1.0, block=50)
+    p = nn.TreeParams(sample=300, leaf=20, recall=1.0, block=50, queries=queries)
     want, have = brute([(r.vec_id, r.embedding) for r in table.collect()], 10), got(nn.nearest(table, p))
     assert want.keys() == have.keys()
     for i in want:
@@ -66,7 +67,7 @@ def test_many_lengths(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=2 + i // 100 % 90).tolist(), 0, 0) for i in range(0, 9000, 50)] + [(9001 + i, rng.normal(size=40).tolist(), 0, 0) for i in range(400)]
     table = spark.createDataFrame(rows, SCHEMA)
-    want, have = brute([(r.vec_id, r.embedding) for r in table.collect()], 10), got(nn.nearest(table, nn.TreeParams(block=64)))
+    want, have = brute([(r.vec_id, r.embedding) for r in table.collect()], 10), got(nn.nearest(table, nn.TreeParams(block=64, queries=1)))
     tree = {3800, 9100, 9200, 9300, 9400}  # of the one length that many have
     assert have.keys() == want.keys() and all([j for j, _ in have[i]] == [j for j, _ in want[i]] for i in want.keys() - tree)
 

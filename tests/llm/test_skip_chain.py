@@ -130,3 +130,9 @@ def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, "a@b.cd"), (1, None), (None, "a@b.cd a@b")], "doc_id long, text string")
     assert sorted((str(r.doc_id), len([s for s in r.spans if s.base])) for r in sc.find_entities(rows).collect()) == [("1", 0), ("1", 1), ("None", 1)]
     assert sc.digest(sc.find_entities(rows.limit(0))).count() == 0
+
+
+def test_very_long_text(spark):
+    text = "x 555-1234567 and +49 30 1234567, " * 20_000 + "é a@b.cd"
+    (r,) = sc.find_entities(table(spark, [text])).collect()
+    assert [(s.start, s.kind, s.end) for s in r.spans if s.base] == sc.base_spans(text) and len(r.spans) >= 20_001
