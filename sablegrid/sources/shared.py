@@ -20,8 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders that this process has written and not deleted yet.
+_kept: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; so the plan before it is cut and a lost executor costs nothing."""
+    """df as a Parquet table in the shared folder; so the plan before it is cut and a lost executor costs nothing.
+
+    The table stays until `sweep`, for results read it whenever they are asked for.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that this process has written; how many there were. For a session whose results are saved."""
+    found = list(_kept)
+    _kept.clear()
+    for path in found:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(found)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sablegrid.operators import cursors, flows, sketches
 from sablegrid.sources import labels
+from sablegrid.sources import shared
 from sablegrid.sources.shared import written
 
 CHANGES = "digest long, day long, ord long, sender string, address string, coin string, cents long"
@@ -161,3 +162,12 @@ def test_missing_and_broken_files_are_not_fatal(spark, tmp_path, caplog):
 def test_files_win(spark):
     of = lambda *x: spark.createDataFrame(x, "address string, label string")
     assert sorted(map(tuple, labels.overridden(of(("a", "1"), ("b", "2")), of(("b", "3"), ("c", "4"))).collect())) == [("a", "1"), ("b", "3"), ("c", "4")]
+
+
+def test_written_tables_are_swept(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_kept", [])
+    table = written(spark.range(5), "gone")
+    (path,) = shared._kept
+    assert table.count() == 5 and shared.sweep(spark) == 1 and shared.sweep(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
