@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, slices
 
 #: Wrappers (characters of JSON) that may be broadcast; beyond it they are joined to the pages by shuffle.
 BROADCAST_CHARS = 8_000_000
@@ -411,27 +412,30 @@ def main_text(pages: DataFrame, p: WrapperParams = WrapperParams()) -> DataFrame
     rules = materialize(rules.join(constants(pages, rules, p), "host", "left"), "wrappers")
     size = rules.agg(F.sum(F.length("wrapper") + F.length("host") + 8 * F.coalesce(F.size("constants"), F.lit(0)))).first()[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
-        for b in batches:
-            texts = []
-            for h, w, same, html in zip(b["host"], b["wrapper"], b["constants"], b["html"]):
+    small = (size or 0) <= BROADCAST_CHARS
+    held = {r.host: (r.wrapper, r.constants) for r in rules.toLocalIterator()} if small else {}
+    shipped = pages.sparkSession.sparkContext.broadcast(held)  # BROADCAST_CHARS at most; as a column, every page would carry its wrapper
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = shipped.value, {}
+        for b in slices(batches, 256):
+            hosts, texts = b.column("host").to_pylist(), []
+            rest = zip(b.column("wrapper").to_pylist(), b.column("constants").to_pylist(), strict=True) if not small else (table.get(h, (None, None)) for h in hosts)
+            for h, html, (w, same) in zip(hosts, b.column("html").to_pylist(), rest, strict=True):
                 if h not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[h] = *(content(json.loads(w)) if w else (False, set())), frozenset() if same is None else frozenset(same.tolist())
+                    known[h] = *(content(json.loads(w)) if w else (False, set())), frozenset(same or ())
                 marked, main, same = known[h]
                 text = extract(html, main, same, p.words) or (extract(html, main) if same else "")
                 if marked and not text:
                     own_marked, own = content(skeleton(html))
                     text = "" if own_marked else extract(html, own)
                 texts.append(text)
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
+            yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    rows = pages.select("page_id", "url", "html", host().alias("host"))
-    if (size or 0) <= BROADCAST_CHARS:
-        met = rows.join(F.broadcast(rules), "host", "left")
-    else:  # a host may hold a third of the pages: its wrapper goes to several tasks
+    met = pages.select("page_id", "url", "html", host().alias("host"))
+    if not small:  # a host may hold a third of the pages: its wrapper goes to several tasks
         salted = rules.select("host", "wrapper", "constants", F.explode(F.sequence(F.lit(0), F.lit(p.spread - 1))).alias("salt"))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(p.spread)).cast("int")).join(salted, ["host", "salt"], "left")
-    return met.select("page_id", "url", "html", "host", "wrapper", "constants").mapInPandas(run, "page_id long, url string, text string")
+        met = met.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(p.spread)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "wrapper", "constants")
+    return met.mapInArrow(run, "page_id long, url string, text string")
