@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flows import counterparty, own_changes
+from .flows import meetings, met_roles
 from .search import fresh
 
 #: Seconds that a measured fan-out may live; the present method's number.
@@ -19,14 +19,14 @@ def day_sketches(changes: DataFrame, measured_at: Column | None = None, method:
     """address, day, measured_at, method_version, scanned and sketches of recipients, senders, counterparties, coins.
 
     A day's rows never change when the next day comes, so a run adds the sketches of the new days alone. measured_at is
-    in seconds, that of the day by default. changes: digest, day, ord, address, coin, cents.
+    in seconds, that of the day by default. changes: digest, day, ord, address, coin, cents. Transactions are counted by
+    the row that each has of the address itself: a distinct count would shuffle sketches of each transaction.
     """
-    other = changes.select("digest", F.col("address").alias("other"), "cents", "coin")
-    met = own_changes(changes).join(other, "digest")
-    pays, takes = counterparty(F.lit(True))
+    met = meetings(changes)
+    pays, takes, self = met_roles()
     of = lambda test: F.hll_sketch_agg(F.when(test, F.col("other")), size)
     out = met.groupBy("address", "day").agg(
-        F.count_distinct("digest").alias("scanned"), of(pays).alias("recipients"), of(takes).alias("senders"), of(pays | takes).alias("counterparties"), F.hll_sketch_agg("coin", size).alias("coins")
+        F.count_if(self).alias("scanned"), of(pays).alias("recipients"), of(takes).alias("senders"), of(pays | takes).alias("counterparties"), F.hll_sketch_agg("coin", size).alias("coins")
     )
     at = F.col("day") * 86_400 if measured_at is None else measured_at
     return out.withColumns({"measured_at": at.cast("long"), "method_version": (F.lit(method) if isinstance(method, int) else method).cast("int")})

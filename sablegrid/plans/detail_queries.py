@@ -56,7 +56,7 @@ def trace_story(l: Ledger) -> DataFrame:
     """The forward walk of every transaction, told."""
     changes = l.kept_changes()
     sinks = labels(l).where(F.col("category").isin(*SINKS))
-    walk = flows.trace_walk(written_edges(l), flows.neighbours(changes), sinks, l.transactions().select("digest"), directions=("forward",))
+    walk = flows.trace_walk(written_edges(l), flows.neighbours(changes), sinks, l.transactions().select("digest"), directions=("forward",), carry=())
     return flows.trace_story(walk, l.transactions(), changes, rules.decode(_operations(l), l.protocols()))
 
 

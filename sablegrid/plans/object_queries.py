@@ -252,7 +252,7 @@ _WALKED = f"SELECT * FROM ({ORACLES['trace_walk']}) w LEFT JOIN ({ORACLES['domin
 
 @query(f"SELECT direction, seed, arg_min(coalesce(inflow_cents, 0), hop) AS origin_cents, max(coalesce(inflow_cents, 0)) AS peak_cents, count(*) AS hops, arg_max(stop, hop) AS stop, upper(direction) || ' from ' || seed || ': ' || count(*) || ' hop' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ', ' || arg_max(stop, hop) AS summary FROM ({_WALKED}) x GROUP BY 1, 2")
 def trace_summary(l: Ledger) -> DataFrame:
-    return flows.trace_summary(flow_queries.trace_walk(l), flows.dominant_inflow(l.kept_changes()))
+    return flows.trace_summary(flow_queries.walked(l, carry=()), flows.dominant_inflow(l.kept_changes()))
 
 
 _HUB = ctes("lbl").removeprefix("WITH ")

@@ -3,9 +3,8 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
-from sablegrid.operators import windows
+from sablegrid.operators import flows, windows
+from sablegrid.sources.ledger import Ledger
 
 
 def plan(df):
@@ -23,3 +22,31 @@ def test_nearest_checkpoint_reads_each_frame_once(spark):
     us = lambda t: round((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
     near = {t: min((abs(us(ts) - t * 1_000_000), us(ts), n) for ts, n in rows)[2] for t in asked}
     assert {r.target: r.seq for r in got.collect()} == near
+
+
+CHANGES = "digest long, day long, ord long, sender string, address string, coin string, cents long"
+
+
+def test_fanout_counts_without_expanding_rows(spark):
+    rnd = random.Random(5)
+    rows = [(d, d % 9, o, "a0", f"a{rnd.randrange(12)}", f"c{rnd.randrange(3)}", rnd.choice((-5, 0, 7))) for d in range(200) for o in range(rnd.randrange(1, 7))]
+    changes = spark.createDataFrame(rows, CHANGES)
+    got = flows.fanout(changes, 20)
+    assert "Expand" not in plan(got)  # a distinct count beside others copies each row for each of them
+    own, days = {}, {}
+    for d, day, o, _, a, _, cents in sorted(rows, key=lambda r: r[2]):
+        own.setdefault((a, d), cents)
+        days[a, d] = day
+    for r in got.collect():
+        last = sorted(((days[k], k[1]) for k in own if k[0] == r.address), reverse=True)
+        kept = {d for _, d in last[:20]}
+        met = [(x[4], x[6], own[r.address, x[0]], x[5]) for x in rows if x[0] in kept]
+        pays = {a for a, c, o, _ in met if a != r.address and o < 0 < c}
+        takes = {a for a, c, o, _ in met if a != r.address and c < 0 < o}
+        assert (r.recipient_count, r.sender_count, r.counterparty_count, r.coin_type_count) == (len(pays), len(takes), len(pays | takes), len({c for *_, c in met}))
+        assert (r.scanned, r.truncated) == (len(kept), len(last) > 20)
+
+
+def test_lines_of_a_transaction_move_once(spark, sf):
+    edges = flows.funding_edges(Ledger(spark, sf).changes())
+    assert plan(edges).count("Exchange hashpartitioning(digest") == 0  # what is told of a transaction is told where its lines are
