@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from sablegrid.operators import flows, windows
+from sablegrid.sources import shared
 from sablegrid.sources.ledger import Ledger
 
 
@@ -50,3 +51,12 @@ def test_fanout_counts_without_expanding_rows(spark):
 def test_lines_of_a_transaction_move_once(spark, sf):
     edges = flows.funding_edges(Ledger(spark, sf).changes())
     assert plan(edges).count("Exchange hashpartitioning(digest") == 0  # what is told of a transaction is told where its lines are
+
+
+def test_tasks_follow_the_table(spark, sf, monkeypatch):
+    table = Ledger(spark, sf).table("lineitem")
+    before = shared.tasks(table)
+    monkeypatch.setattr(shared, "TASK_BYTES", 1 << 14)
+    assert before == 8 < shared.tasks(table)
+    assert "hashpartitioning(l_orderkey#" in plan(Ledger(spark, sf).changes()) and f", {shared.tasks(table)})" in plan(Ledger(spark, sf).changes())
+    assert shared.tasks(spark.createDataFrame([(1,)], "a long")) == 8  # a size that is not known
