@@ -3,9 +3,12 @@
 import datetime as dt
 import random
 
+import pandas as pd
+
 from sablegrid.operators import flows, windows
 from sablegrid.sources import shared
 from sablegrid.sources.ledger import Ledger
+from sablegrid.streaming import keyed
 
 
 def plan(df):
@@ -60,3 +63,55 @@ def test_tasks_follow_the_table(spark, sf, monkeypatch):
     assert before == 8 < shared.tasks(table)
     assert "hashpartitioning(l_orderkey#" in plan(Ledger(spark, sf).changes()) and f", {shared.tasks(table)})" in plan(Ledger(spark, sf).changes())
     assert shared.tasks(spark.createDataFrame([(1,)], "a long")) == 8  # a size that is not known
+
+
+class Store:
+    """State of one object that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows, self.timers = 0, None, [], set()
+
+    def called(self, out=None):
+        self.calls += 1
+        return out
+
+    def getValueState(self, *_):
+        return type("Value", (), {"get": lambda s: self.called(self.value), "exists": lambda s: self.called(self.value is not None), "update": lambda s, v: self.called(setattr(self, "value", v))})()
+
+    def getListState(self, *_):
+        return type("List", (), {"get": lambda s: self.called(iter(list(self.rows))), "appendValue": lambda s, v: self.called(self.rows.append(v)), "clear": lambda s: self.called(self.rows.clear())})()
+
+    def getMapState(self, *_):
+        held = self.rows = {}
+        return type("Map", (), {"updateValue": lambda s, k, v: self.called(held.update({k: v})), "iterator": lambda s: self.called(iter(list(held.items()))), "removeKey": lambda s, k: self.called(held.pop(k))})()
+
+    def listTimers(self):
+        return self.called(list(self.timers))
+
+    def registerTimer(self, ms):
+        self.called(self.timers.add(ms))
+
+    def deleteTimer(self, ms):
+        self.called(self.timers.discard(ms))
+
+
+def test_owner_changes_call_the_store_once_a_frame():
+    def run(n, late=()):
+        store, p = Store(), keyed.OwnerChanges()
+        p.init(store)
+        frame = pd.DataFrame({"version": range(n), "owner": ["ab"[v // 2 % 2] for v in range(n)], "ms": range(n)})
+        list(p.handleInputRows((7,), iter([frame]), None))
+        for more in late:
+            list(p.handleInputRows((7,), iter([more]), None))
+        store.timers.clear()  # the one that fires
+        out = pd.concat(p.handleExpiredTimer((7,), type("T", (), {"getCurrentWatermarkInMs": lambda s: n // 2})(), None))
+        return store, out
+
+    few, _ = run(20)
+    many, out = run(2000)
+    assert many.calls == few.calls  # a message for each row would be most of the work
+    assert out["at_version"].tolist() == list(range(2, 1001, 2)) and many.timers == {1001}
+    again = pd.DataFrame({"version": [3, 2500], "owner": ["z", "a"], "ms": [3, 2500]})
+    store, out = run(2000, [again])
+    assert out["at_version"].tolist()[:3] == [2, 3, 4] and out["to_owner"].tolist()[:3] == ["b", "z", "a"]  # what came last of a version counts
+    assert sum(len(r[0]) for r in store.rows) == 1000
