@@ -35,7 +35,7 @@ def _core(k: int) -> str:
 @query(f"SELECT p_partkey AS id, {_wrapped(_core(1), (2, 3))} AS text, depth::INT AS depth FROM (SELECT p_partkey, p_size % {_LEVELS + 1} AS depth FROM part)")
 def type_text(l: Ledger) -> DataFrame:
     """Types of parts, nested up to nine levels."""
-    rows = l.table("part").selectExpr("p_partkey", f"p_size % {_LEVELS + 1} AS depth").selectExpr("p_partkey AS id", "CAST(depth AS int) AS depth", f"{_wrapped(_core(0), (0, 1))} AS body")
+    rows = l.spread("part", "p_partkey").selectExpr("p_partkey", f"p_size % {_LEVELS + 1} AS depth").selectExpr("p_partkey AS id", "CAST(depth AS int) AS depth", f"{_wrapped(_core(0), (0, 1))} AS body")
     return rows.select("id", types.type_text(F.col("body")).alias("text"), "depth")
 
 
@@ -49,7 +49,7 @@ def datatype_fields(l: Ledger) -> DataFrame:
     kind = lambda n: F.when((k + n) % 3 == 0, '{"kind":"vector","args":[{"kind":"u8"}]}').when((k + n) % 3 == 1, '{"kind":"address"}')
     field = lambda n: F.struct(F.concat(F.lit("f"), n).alias("name"), ((n + k) % 3).cast("int").alias("position"), kind(n).alias("type"))
     fields = F.transform(F.sequence(F.lit(0), (F.col("p_size") % 3).cast("int")), field)
-    return l.table("part").select(k.alias("id"), fields.alias("f")).select("id", F.array_join(types.ordered_fields(F.col("f")), "; ").alias("fields"))
+    return l.spread("part", "p_partkey").select(k.alias("id"), fields.alias("f")).select("id", F.array_join(types.ordered_fields(F.col("f")), "; ").alias("fields"))
 
 
 _LIST = lambda of: "[" + ", ".join(f"'{x}'" for x in of) + "]"

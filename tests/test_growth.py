@@ -6,6 +6,7 @@ import random
 import pandas as pd
 
 from sablegrid.operators import flows, windows
+from sablegrid.plans import catalog
 from sablegrid.sources import shared
 from sablegrid.sources.ledger import Ledger
 from sablegrid.streaming import keyed
@@ -115,3 +116,8 @@ def test_owner_changes_call_the_store_once_a_frame():
     store, out = run(2000, [again])
     assert out["at_version"].tolist()[:3] == [2, 3, 4] and out["to_owner"].tolist()[:3] == ["b", "z", "a"]  # what came last of a version counts
     assert sum(len(r[0]) for r in store.rows) == 1000
+
+
+def test_types_are_read_in_more_tasks_than_files(spark, sf):
+    for name in ("type_text", "datatype_fields"):
+        assert "hashpartitioning(p_partkey#" in plan(catalog.QUERIES[name](spark, sf))  # a small file is one task, and a type is much work
