@@ -121,3 +121,10 @@ def test_owner_changes_call_the_store_once_a_frame():
 def test_types_are_read_in_more_tasks_than_files(spark, sf):
     for name in ("type_text", "datatype_fields"):
         assert "hashpartitioning(p_partkey#" in plan(catalog.QUERIES[name](spark, sf))  # a small file is one task, and a type is much work
+
+
+def test_funding_walks_read_changes_once(spark, sf, monkeypatch):
+    asked, changes = [], Ledger.changes
+    monkeypatch.setattr(Ledger, "changes", lambda l: asked.append(1) or changes(l))
+    walks = catalog.QUERIES["funding_walk"](spark, sf)
+    assert len(asked) == 1 and walks.count() == changes(Ledger(spark, sf)).select("address").distinct().count()
