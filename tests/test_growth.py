@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sablegrid.operators import flows, windows
 from sablegrid.plans import catalog
@@ -128,3 +130,17 @@ def test_funding_walks_read_changes_once(spark, sf, monkeypatch):
     monkeypatch.setattr(Ledger, "changes", lambda l: asked.append(1) or changes(l))
     walks = catalog.QUERIES["funding_walk"](spark, sf)
     assert len(asked) == 1 and walks.count() == changes(Ledger(spark, sf)).select("address").distinct().count()
+
+
+def test_first_rows_are_dealt_to_the_tasks_that_are_asked_for(spark, sf, monkeypatch):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(("hot", "hot", "hot", f"k{rnd.randrange(40)}", None)), rnd.randrange(300), n) for n in range(3000)]
+    table = spark.createDataFrame(rows, "k string, at long, n long")
+    got = windows.first_rows(table, ["k"], [F.desc("at"), F.desc("n")], 5, 11)
+    assert plan(got).count(", 11)") == 2 and "_part" in plan(got)
+    want = {k: sorted(((a, n) for x, a, n in rows if x == k), reverse=True)[:5] for k in {r[0] for r in rows}}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, *r) for k, found in want.items() for r in found), key=str)
+    monkeypatch.setattr(shared, "TASK_BYTES", 1 << 14)
+    owners = shared.tasks(Ledger(spark, sf).table("lineitem"))
+    for name in ("earliest_n", "latest_n"):
+        assert re.search(rf"hashpartitioning\(address#\d+, {owners}\)", plan(catalog.QUERIES[name](spark, sf)))
