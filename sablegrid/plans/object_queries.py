@@ -260,7 +260,7 @@ _HUB = ctes("lbl").removeprefix("WITH ")
 
 @query(f"SELECT address, 'cex' AS category, 'Unidentified hub (~' || recipient_count || '+ recipients)' AS label, 'low' AS confidence FROM ({flow_queries.FANOUT_SQL}) f WHERE classification <> 'narrow' AND address NOT IN (SELECT address FROM (WITH {_HUB} SELECT address FROM lbl) k)")
 def hub_suggestions(l: Ledger) -> DataFrame:
-    return flows.hub_suggestions(flow_queries.fanout_all(l), labels(l), ("hub", "distributor"))
+    return flows.hub_suggestions(flows.fanout(l.kept_changes(), latest=1000, coins=False), labels(l), ("hub", "distributor"))
 
 
 @query(f"SELECT family, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status <> 'unchanged') = 0 AS identical FROM ({ORACLES['package_diff']}) d GROUP BY 1")

@@ -144,3 +144,12 @@ def test_first_rows_are_dealt_to_the_tasks_that_are_asked_for(spark, sf, monkeyp
     owners = shared.tasks(Ledger(spark, sf).table("lineitem"))
     for name in ("earliest_n", "latest_n"):
         assert re.search(rf"hashpartitioning\(address#\d+, {owners}\)", plan(catalog.QUERIES[name](spark, sf)))
+
+
+def test_hubs_count_no_coins(spark, sf, monkeypatch):
+    asked, meetings = [], flows.meetings
+    monkeypatch.setattr(flows, "meetings", lambda *a: asked.append(meetings(*a)) or asked[-1])
+    found = {r.address: r.label for r in catalog.QUERIES["hub_suggestions"](spark, sf).collect()}
+    assert asked[0].where("coin is not null").isEmpty()  # rows for coins would be counted in vain
+    whole = flows.fanout(Ledger(spark, sf).kept_changes()).where("classification <> 'narrow'").collect()
+    assert found and all(found.get(r.address, f"Unidentified hub (~{r.recipient_count}+ recipients)").endswith(f"(~{r.recipient_count}+ recipients)") for r in whole)
