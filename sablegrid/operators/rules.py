@@ -120,10 +120,12 @@ def anomalies(commands: DataFrame, protocols: DataFrame) -> DataFrame:
     system = F.regexp_replace(F.col("package"), "^0x0*", "").isin(*SYSTEM)
     fn = F.lower("function")
     has = lambda word: call & fn.rlike(f"(^|_){word}($|_)")
-    seen = met.groupBy("digest").agg(
-        F.count_if(F.col("kind").isin("publish", "upgrade")).alias("published"), F.count_distinct(F.when(call & F.col("known").isNull() & ~system, F.col("package"))).alias("unverified"),
-        F.count_if(call & F.contains(fn, F.lit(FLASH))).alias("flash"), F.count_if(has(BORROW)).alias("borrowed"), F.count_if(has(REPAY)).alias("repaid"), F.count_distinct(F.when(call, F.col("package"))).alias("packages"),
+    # a transaction's packages first: distinct counts beside others would copy each row for each of them
+    each = met.groupBy("digest", "package").agg(
+        F.count_if(F.col("kind").isin("publish", "upgrade")).alias("published"), F.max(F.when(call, F.col("known").isNull() & ~system)).alias("unverified"),
+        F.count_if(call & F.contains(fn, F.lit(FLASH))).alias("flash"), F.count_if(has(BORROW)).alias("borrowed"), F.count_if(has(REPAY)).alias("repaid"), F.max(F.when(call, F.col("package").isNotNull())).alias("called"),
     )
+    seen = each.groupBy("digest").agg(*[F.sum(n).alias(n) for n in ("published", "flash", "borrowed", "repaid")], F.count_if("unverified").alias("unverified"), F.count_if("called").alias("packages"))
     both = (F.col("borrowed") > 0) & (F.col("repaid") > 0)
     flash = F.when(F.col("flash") > 0, F.col("flash")).when(both, F.col("borrowed") + F.col("repaid")).otherwise(0)
     many = F.when(F.col("packages") >= COMPOSITION, F.col("packages")).otherwise(0)

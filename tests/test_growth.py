@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sablegrid.operators import flows, windows
+from sablegrid.operators import flows, rules, windows
 from sablegrid.plans import catalog
 from sablegrid.sources import shared
 from sablegrid.sources.ledger import Ledger
@@ -153,3 +153,11 @@ def test_hubs_count_no_coins(spark, sf, monkeypatch):
     assert asked[0].where("coin is not null").isEmpty()  # rows for coins would be counted in vain
     whole = flows.fanout(Ledger(spark, sf).kept_changes()).where("classification <> 'narrow'").collect()
     assert found and all(found.get(r.address, f"Unidentified hub (~{r.recipient_count}+ recipients)").endswith(f"(~{r.recipient_count}+ recipients)") for r in whole)
+
+
+def test_anomalies_count_packages_without_expanding_rows(spark):
+    calls = [(1, "0xa", "swap"), (1, "0xa", "flash_x"), (1, "0xb", "borrow"), (1, "0x02", "repay"), (1, "known", "f"), (1, None, "g"), (2, None, "h"), (3, "known", "a_borrow"), (3, "known", "repay_b")]
+    rows = spark.createDataFrame(calls, "digest long, package string, function string")
+    got = rules.anomalies(rows, spark.createDataFrame([("known",)], "package string"))
+    assert "Expand" not in plan(got)
+    assert sorted((r.digest, r.code, r.evidence_count) for r in got.collect()) == [(1, "flashloan-pattern", 1), (1, "multi-package-composition", 4), (1, "unverified-package-call", 2), (3, "flashloan-pattern", 2)]
