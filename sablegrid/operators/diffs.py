@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +16,8 @@ from pyspark.sql import Window as W
 #: alone and within a package's difference.
 MAX_LINES, EXCERPT, SAMPLE = 4000, 80, 60
 
+#: Pairs whose results are held at once.
+PAIRS = 200
 LINES = "added long, removed long, excerpt string, truncated boolean"
 
 
@@ -81,22 +84,36 @@ def diff(a: list[str], b: list[str], excerpt: int) -> tuple[int, int, str, bool]
     return n["+"], n["-"], "\n".join(out), sum(n.values()) > excerpt
 
 
-def ordered_diff(pairs: DataFrame, excerpt: int = EXCERPT) -> DataFrame:
+def ordered_diff(pairs: DataFrame, excerpt: int = EXCERPT, arrow: bool = True) -> DataFrame:
     """pairs without a and b, and with added, removed, excerpt, truncated: the changes from text a to text b against a
     longest common subsequence of their lines. A null text is one empty line.
 
-    Tasks hold a pair's lines and a bit for each pair of lines, 2 MB at most. A text may lie in one task alone, so
-    pairs are what Spark spreads.
+    Tasks hold a pair's lines and a bit for each pair of lines, 2 MB at most, beside what Arrow holds of a batch: texts
+    become Python strings a pair at a time, results leave by PAIRS. A text may lie in one task alone, so pairs are what
+    Spark spreads. With arrow false, a batch's texts are Python strings at once.
     """
     keys = [c for c in pairs.columns if c not in ("a", "b")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             found = [diff(lines_of(a), lines_of(b), excerpt) for a, b in zip(p["a"], p["b"], strict=True)]
             yield pd.concat([p[keys].reset_index(drop=True), pd.DataFrame(found, columns=["added", "removed", "excerpt", "truncated"])], axis=1)
 
-    return pairs.select(*keys, "a", "b").mapInPandas(run, f"{schema}, {LINES}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            for i in range(0, len(whole), PAIRS):
+                p = whole.slice(i, PAIRS)
+                found = [diff(lines_of(a.as_py()), lines_of(b.as_py()), excerpt) for a, b in zip(p["a"], p["b"], strict=True)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
+                out = p.select(keys).combine_chunks()
+                for name, c in zip(("added", "removed", "excerpt", "truncated"), columns, strict=True):
+                    out = out.append_column(name, c)
+                yield from out.to_batches()
+
+    asked, schema = pairs.select(*keys, "a", "b"), f"{schema}, {LINES}"
+    return asked.mapInArrow(run, schema) if arrow else asked.mapInPandas(held, schema)
 
 
 def lines_changed(before: Column, after: Column) -> Column:
@@ -121,7 +138,7 @@ def package_changes(before: DataFrame, after: DataFrame, keys: list[str], sample
     told = both.withColumn("status", status)
     none = [F.lit(None).cast(t).alias(n) for n, t in (("added", "long"), ("removed", "long"), ("excerpt", "string"), ("truncated", "boolean"))]
     same = told.where("status <> 'changed'").select(*keys, "module", "status", *none)
-    rows = same.unionByName(ordered_diff(told.where("status = 'changed'").select(*keys, "module", "status", "a", "b"), sample))
+    rows = same.unionByName(ordered_diff(told.where("status = 'changed'").select(*keys, "module", "status", "a", "b"), sample, arrow=False))
     package, n = W.partitionBy(*keys), lambda *s: F.count_if(F.col("status").isin(*s))
     order = package.orderBy((F.col("status") != "changed"), F.desc(F.col("added") + F.col("removed")), "module")
     return rows.select(

@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sablegrid.operators import flows, rules, windows
+from sablegrid.operators import diffs, flows, rules, windows
 from sablegrid.plans import catalog
 from sablegrid.sources import shared
 from sablegrid.sources.ledger import Ledger
@@ -161,3 +161,11 @@ def test_anomalies_count_packages_without_expanding_rows(spark):
     got = rules.anomalies(rows, spark.createDataFrame([("known",)], "package string"))
     assert "Expand" not in plan(got)
     assert sorted((r.digest, r.code, r.evidence_count) for r in got.collect()) == [(1, "flashloan-pattern", 1), (1, "multi-package-composition", 4), (1, "unverified-package-call", 2), (3, "flashloan-pattern", 2)]
+
+
+def test_line_differences_hold_a_pair_of_texts_at_a_time(spark):
+    rows = [(n, None if n == 3 else f"a\n{n}\nb", f"a\n{n}\nc" if n % 2 else f"a\n{n}\nb") for n in range(450)]
+    pairs = spark.createDataFrame(rows, "key long, a string, b string").coalesce(1)
+    got = diffs.ordered_diff(pairs)
+    assert "MapInArrow" in plan(got)  # with pandas all texts of a batch are Python strings at once
+    assert sorted((r.key, r.added, r.removed) for r in got.collect()) == [(n, 3, 1) if n == 3 else (n, n % 2, n % 2) for n in range(450)]
