@@ -141,3 +141,24 @@ def test_very_long_text(spark):
     rows = [(i, "by the old river" if i % 2 else None) for i in range(20)] + [(77, text)]
     r = ct.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 77").first()
     assert r.n_tokens == 70_001 and r.n_bytes == len(text) + 1 and math.isfinite(r.score) and r.score < 0
+
+
+def test_rare_contexts_stay_at_any_size(spark):
+    """Over 2^18 training bytes, contexts seen once were left out: scores were those of a smaller model."""
+    random.seed(5)
+    docs = [(i, "so it goes. " * 2500) for i in range(15)] + [(i, "".join(random.choices("abqxé ", k=60))) for i in range(20, 40)]
+    assert sum(len(t.encode()) for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1) > 1 << 18
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    score = lambda p: {r.doc_id: r.score for r in ct.lm_scores(rows, p).collect()}
+    got = score(ct.TreeParams(depth=2))
+    assert got == pytest.approx(score(ct.TreeParams(depth=2, keep=1 << 40)), rel=1e-9)
+    assert got != pytest.approx(score(ct.TreeParams(depth=2, keep=1 << 18)), rel=1e-3)
+
+
+@pytest.mark.parametrize("table", [1 << 21, 50, 0])
+def test_parts_of_the_tree_fit_together(spark, table):
+    """Depth 6, with code lengths from the broadcast table, from both, and from the join alone: contexts are dealt by their last three bytes; grams without counts get the deepest node's chance."""
+    random.seed(6)
+    docs = [(i, " ".join(random.choices(["the", "then", "an", "Ann", "é", "river", "rover"], k=9)) + random.choice("!?xyz")) for i in range(40)]
+    got = {r.doc_id: r.score for r in ct.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), ct.TreeParams(table=table)).collect()}
+    assert got == pytest.approx({r[0]: r[6] for r in brute_scores(docs, 6, 1 << 60)}, rel=1e-6)
