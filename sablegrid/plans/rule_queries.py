@@ -88,7 +88,7 @@ def package_diff(l: Ledger) -> DataFrame:
     return rules.module_diff(d.where("not later"), d.where("later"), ["family"])
 
 
-#: Longest common subsequences as chains of equal lines, each one further in both texts. Null where a text is too long.
+#: Longest common subsequences as chains of equal lines, each one further in both texts.
 _COMMON = """, q AS (SELECT key, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM p), c AS (SELECT key, unnest(b) AS line, generate_subscripts(b, 1) AS j FROM p),
     m AS (SELECT q.key, i, j FROM q JOIN c ON q.key = c.key AND q.line = c.line),
     chain(key, i, j, n) AS (SELECT key, i, j, 1 FROM m UNION SELECT m.key, m.i, m.j, n + 1 FROM chain JOIN m ON m.key = chain.key AND m.i > chain.i AND m.j > chain.j),

@@ -84,3 +84,22 @@ def test_only_changed_modules_reach_python(spark):
     out = diffs.package_changes(m((1, "a", "x")), m((1, "a", "y")), ["p"])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_no_switch_by_length(spark, monkeypatch):
+    """Beyond 4000 lines of a text the counts are those of the order of lines still, not of bags of lines."""
+    n = 2500
+    rows = [(1, "a\nb\n" * n + "z", "b\na\n" * n + "z"), (2, "\n".join(f"l{i}" for i in range(4100)), "\n".join(f"l{i}" for i in reversed(range(4100))))]
+    pairs = spark.createDataFrame(rows, "key long, a string, b string")
+    for arrow in (True, False):
+        got = {r.key: r for r in diffs.ordered_diff(pairs, 3, arrow).collect()}
+        assert (got[1].added, got[1].removed, got[1].excerpt, got[1].truncated) == (1, 1, "- a\n  b\n  a", True)
+        assert (got[2].added, got[2].removed, got[2].excerpt) == (4099, 4099, "- l0\n- l1\n- l2")
+    monkeypatch.setattr(diffs, "BITS", 40)  # few lines' bits are held
+    rng = random.Random(9)
+    for excerpt in (0, 1, 7, 500):
+        for _ in range(60):
+            a, b = (rng.choices("abcdefghijkl", k=rng.randint(0, 90)) for _ in range(2))
+            want = by_table(a, b)
+            shown = "\n".join(f"{m} {x}" for m, x in want[:excerpt])
+            assert diffs.exact_diff(a, b, excerpt) == (sum(m == "+" for m, _ in want), sum(m == "-" for m, _ in want), shown, len(want) > excerpt)
