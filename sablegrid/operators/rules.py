@@ -54,9 +54,10 @@ def action_text(action: Column, protocol: Column, type_args: Column) -> Column:
     return out.otherwise(F.concat(label, then("on")))
 
 
-def decode(operations: DataFrame, protocols: DataFrame) -> DataFrame:
+def decode(operations: DataFrame, protocols: DataFrame, *more: Column) -> DataFrame:
     """digest, protocols (sorted), actions (in order): what each transaction does, in words. Skipped operations are left
-    out. operations may have type_args (an array of types) and kind (call, transfer, publish, upgrade or another)."""
+    out. operations may have type_args (an array of types) and kind (call, transfer, publish, upgrade or another).
+    more: what else is told of a transaction's operations, in the same pass."""
     have = operations.columns
     met = operations.join(protocols, "package", "left")
     args = F.coalesce("type_args", F.array().cast("array<string>")) if "type_args" in have else F.array().cast("array<string>")
@@ -71,7 +72,7 @@ def decode(operations: DataFrame, protocols: DataFrame) -> DataFrame:
         text = F.when(called, text).otherwise(F.try_element_at(F.create_map(*[F.lit(x) for pair in COMMAND_WORDS.items() for x in pair]), F.col("kind")))
         protocol = F.when(called, protocol)
     said = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("ord", text.alias("text")))))  # the commands of one transaction
-    return met.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set(protocol)), ",").alias("protocols"), F.array_join(F.transform(said, lambda x: x["text"]), "; ").alias("actions"))
+    return met.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set(protocol)), ",").alias("protocols"), F.array_join(F.transform(said, lambda x: x["text"]), "; ").alias("actions"), *more)
 
 
 def token_flow(tx: DataFrame, changes: DataFrame) -> DataFrame:
@@ -80,12 +81,15 @@ def token_flow(tx: DataFrame, changes: DataFrame) -> DataFrame:
     return own.select("digest", "ord", coin_symbol(F.col("coin")).alias("coin"), F.col("cents").alias("amount"), F.col("coin").alias("raw_type"))
 
 
-def decoded(tx: DataFrame, operations: DataFrame, protocols: DataFrame, changes: DataFrame) -> DataFrame:
-    """digest, protocols, actions, token_flow (amount and coin of each change of the sender, in order) of every transaction."""
-    flow = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(" ", F.col("amount").cast("string"), "coin").alias("text"))))  # of one transaction
-    flows = token_flow(tx, changes).groupBy("digest").agg(F.array_join(F.transform(flow, lambda x: x["text"]), "; ").alias("token_flow"))
+def decoded(tx: DataFrame, operations: DataFrame, protocols: DataFrame) -> DataFrame:
+    """digest, protocols, actions, token_flow (amount and coin of each change of the sender, in order) of every transaction.
+
+    operations have changes, an array of ord, sender, address, coin and cents, so all that is told of a transaction comes
+    from one pass over its operations, which move once."""
+    own = F.transform(F.filter("changes", lambda x: x["address"] == x["sender"]), lambda x: F.struct(x["ord"], F.concat_ws(" ", x["cents"].cast("string"), coin_symbol(x["coin"])).alias("text")))
+    flow = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list(own))), lambda x: x["text"]), "; ").alias("token_flow")  # of one transaction
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return tx.select("digest").join(decode(operations, protocols), "digest", "left").join(flows, "digest", "left").select("digest", empty("protocols"), empty("actions"), empty("token_flow"))
+    return tx.select("digest").join(decode(operations, protocols, flow), "digest", "left").select("digest", empty("protocols"), empty("actions"), empty("token_flow"))
 
 
 #: Rules over a transaction's calls, code and severity; packages of the system; words of functions; how

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import cases, flows, objects, rules, search
 from ..sources.ledger import SINKS, Ledger, ctes
+from ..sources.shared import dealt, tasks
 from .event_queries import labels
 from .flow_queries import _HOPS, _SAID, NEAR, TRACE, written_edges
 from .object_queries import _OBJ, _objects
 from .registry import query
-from .rule_queries import OP
+from .rule_queries import OP, matched_calls
 
 _ARGS = "CASE WHEN ord % 3 = 0 THEN [] WHEN ord % 3 = 1 THEN ['0x2::' || module || '::' || upper(module)] ELSE ['0x2::' || module || '::' || upper(module), 'USDC'] END"
 _KINDS = "CASE ord WHEN 7 THEN 'publish' WHEN 6 THEN 'transfer' WHEN 5 THEN 'split' ELSE 'call' END"
@@ -25,17 +26,17 @@ _DECODED = OP + f""", ar AS (SELECT op.*, protocol, {_ARGS} AS args, {_KINDS} AS
     de AS (SELECT digest, coalesce(string_agg(DISTINCT protocol, ',' ORDER BY protocol), '') AS protocols, coalesce(string_agg(text, '; ' ORDER BY ord), '') AS actions FROM wd GROUP BY 1)"""
 
 
-def _operations(l: Ledger) -> DataFrame:
+def _operations(commands: DataFrame) -> DataFrame:
     coin = F.concat(F.lit("0x2::"), "module", F.lit("::"), F.upper("module"))
     args = F.when(F.col("ord") % 3 == 0, F.array().cast("array<string>")).when(F.col("ord") % 3 == 1, F.array(coin)).otherwise(F.array(coin, F.lit("USDC")))
     kind = F.when(F.col("ord") == 7, "publish").when(F.col("ord") == 6, "transfer").when(F.col("ord") == 5, "split").otherwise("call")
-    return rules.match_operations(l.commands().withColumn("type_args", args).withColumn("kind", kind), l.patterns())
+    return commands.withColumn("type_args", args).withColumn("kind", kind)
 
 
 @query(ctes("cmd", "pat", "pro", "bc", "tx") + ", " + _DECODED + ", fl AS (SELECT digest, string_agg(cents || ' ' || coin, '; ' ORDER BY ord) AS token_flow FROM bc WHERE address = sender GROUP BY 1) SELECT digest, coalesce(protocols, '') AS protocols, coalesce(actions, '') AS actions, coalesce(token_flow, '') AS token_flow FROM tx LEFT JOIN de USING (digest) LEFT JOIN fl USING (digest)")
 def decode_flows(l: Ledger) -> DataFrame:
     """Every transaction in words: protocols, actions with their coins, and what its sender gained and lost."""
-    return rules.decoded(l.transactions(), _operations(l), l.protocols(), l.kept_changes())
+    return rules.decoded(l.transactions(), _operations(l.commands_with_changes(matched_calls(l, coin=True))), l.protocols())
 
 
 @query(
@@ -56,8 +57,10 @@ def trace_story(l: Ledger) -> DataFrame:
     """The forward walk of every transaction, told."""
     changes = l.kept_changes()
     sinks = labels(l).where(F.col("category").isin(*SINKS))
-    walk = flows.trace_walk(written_edges(l), flows.neighbours(changes), sinks, l.transactions().select("digest"), directions=("forward",), carry=())
-    return flows.trace_story(walk, l.transactions(), changes, rules.decode(_operations(l), l.protocols()))
+    owners = tasks(l.table("lineitem"))
+    told = dealt(rules.decode(_operations(l.commands(matched_calls(l))), l.protocols(), F.bool_or(F.expr("action = 'swap' and not skip")).alias("swaps")), "decoded", "digest", owners)
+    walk = flows.trace_walk(written_edges(l, told.where("swaps").select("digest")), flows.neighbours(changes), sinks, l.transactions().select("digest"), directions=("forward",), carry=())
+    return flows.trace_story(walk, l.transactions(), changes, told.drop("swaps"))
 
 
 _CASE = """WITH f AS (SELECT event_id AS id, 'case ' || user_id % 40 AS case_name, 'finding ' || event_id AS title, CASE WHEN event_id % 3 > 0 THEN 'seen at ' || event_id END AS detail, (['high', 'Medium', 'low', NULL])[(event_id % 4 + 1)] AS confidence, epoch_ms(ts) AS created_at,

@@ -12,9 +12,14 @@ from .registry import query
 OP = """op AS (SELECT cmd.*, p.action, p.skip FROM cmd LEFT JOIN LATERAL (SELECT action, skip FROM pat WHERE pat.module = cmd.module AND starts_with(cmd.function, pat.prefix) ORDER BY priority LIMIT 1) p ON true)"""
 
 
+def matched_calls(l: Ledger, coin: bool = False) -> DataFrame:
+    """The calls of parts with their action and skip: patterns hang on the call alone, so lines need not move for them."""
+    return rules.match_operations(l.calls(coin), l.patterns())
+
+
 @query(ctes("cmd", "pat") + ", " + OP + " SELECT * FROM op")
 def operation_match(l: Ledger) -> DataFrame:
-    return rules.match_operations(l.commands(), l.patterns())
+    return l.commands(matched_calls(l))
 
 
 @query(ctes("cmd", "pat", "pro") + ", " + OP + """, t AS (SELECT digest, ord, protocol, CASE WHEN skip THEN NULL WHEN action IS NOT NULL THEN concat_ws(' on ', CASE action WHEN 'swap' THEN 'Swap' WHEN 'add_liquidity' THEN 'Add liquidity' WHEN 'remove_liquidity' THEN 'Remove liquidity'
@@ -22,7 +27,7 @@ def operation_match(l: Ledger) -> DataFrame:
     ELSE 'Call ' || package || '::' || module || '::' || function END AS text FROM op LEFT JOIN pro USING (package))
     SELECT digest, coalesce(string_agg(DISTINCT protocol, ',' ORDER BY protocol), '') AS protocols, coalesce(string_agg(text, '; ' ORDER BY ord), '') AS actions FROM t GROUP BY 1""")
 def decode_tx(l: Ledger) -> DataFrame:
-    return rules.decode(rules.match_operations(l.commands(), l.patterns()), l.protocols())
+    return rules.decode(l.commands(matched_calls(l)), l.protocols())
 
 
 _CALLS = ", c AS (SELECT digest, package, CASE WHEN function LIKE 'hot%' THEN 'flash_' || function WHEN function LIKE 'old%' THEN 'borrow_' || function WHEN function LIKE 'new%' THEN function || '_repay' ELSE function END AS function, CASE WHEN ord = 7 THEN 'publish' ELSE 'call' END AS kind FROM cmd)"

@@ -169,3 +169,10 @@ def test_line_differences_hold_a_pair_of_texts_at_a_time(spark):
     got = diffs.ordered_diff(pairs)
     assert "MapInArrow" in plan(got)  # with pandas all texts of a batch are Python strings at once
     assert sorted((r.key, r.added, r.removed) for r in got.collect()) == [(n, 3, 1) if n == 3 else (n, n % 2, n % 2) for n in range(450)]
+
+
+def test_flows_are_decoded_in_one_pass_over_the_lines(spark, sf):
+    found = plan(catalog.QUERIES["decode_flows"](spark, sf))
+    assert found.count("lineitem.parquet") == 1 and found.count("hashpartitioning(l_orderkey#") == 1  # commands and changes are of the same lines
+    found = plan(catalog.QUERIES["operation_match"](spark, sf))
+    assert found.count("lineitem.parquet") == 1 and "hashpartitioning(module#" not in found.split("hashpartitioning(l_orderkey#")[0]  # patterns ask parts, not lines
