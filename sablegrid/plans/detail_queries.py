@@ -60,7 +60,7 @@ def trace_story(l: Ledger) -> DataFrame:
     owners = tasks(l.table("lineitem"))
     told = dealt(rules.decode(_operations(l.commands(matched_calls(l))), l.protocols(), F.bool_or(F.expr("action = 'swap' and not skip")).alias("swaps")), "decoded", "digest", owners)
     walk = flows.trace_walk(written_edges(l, told.where("swaps").select("digest")), flows.neighbours(changes), sinks, l.transactions().select("digest"), directions=("forward",), carry=())
-    return flows.trace_story(walk, l.transactions(), changes, told.drop("swaps"))
+    return flows.trace_story(walk, l.transactions(), changes, told.drop("swaps"), owners=owners)
 
 
 _CASE = """WITH f AS (SELECT event_id AS id, 'case ' || user_id % 40 AS case_name, 'finding ' || event_id AS title, CASE WHEN event_id % 3 > 0 THEN 'seen at ' || event_id END AS detail, (['high', 'Medium', 'low', NULL])[(event_id % 4 + 1)] AS confidence, epoch_ms(ts) AS created_at,

@@ -176,3 +176,24 @@ def test_flows_are_decoded_in_one_pass_over_the_lines(spark, sf):
     assert found.count("lineitem.parquet") == 1 and found.count("hashpartitioning(l_orderkey#") == 1  # commands and changes are of the same lines
     found = plan(catalog.QUERIES["operation_match"](spark, sf))
     assert found.count("lineitem.parquet") == 1 and "hashpartitioning(module#" not in found.split("hashpartitioning(l_orderkey#")[0]  # patterns ask parts, not lines
+
+
+def test_texts_of_a_story_move_once_to_the_walks_of_an_end(spark, monkeypatch):
+    chain, n = range(1, 31), 10  # a chain of transactions: all walks end in the last one or go on for ten hops
+    walk = spark.createDataFrame([("forward", s, h, s + h - 1) for s in chain for h in range(1, n + 1) if s + h - 1 <= 30], "direction string, seed long, hop long, digest long")
+    tx = spark.createDataFrame([(d, f"a{d}", d) for d in chain], "digest long, sender string, day long")
+    changes = spark.createDataFrame([(d, 1, f"a{d}", "x::m::S", -2_000_000 - d) for d in chain], "digest long, ord long, address string, coin string, cents long")
+    decoded = spark.createDataFrame([(d, f"P{d}", f"Swap {d}") for d in chain], "digest long, protocols string, actions string")
+    kept, written = {}, flows.written
+    monkeypatch.setattr(flows, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    told = flows.trace_story(walk, tx, changes, decoded, owners=7)
+    assert "hashpartitioning(end#" in plan(told) and ", 7)" in plan(told)
+    stories = {r.seed: r.story for r in told.collect()}
+    assert set(stories) == set(chain) and all(story.count("--- Hop ") == min(n, 31 - s) for s, story in stories.items())
+    assert all(f"\n--- Hop {h} (day {s + h - 1}) ---\nTx:     {s + h - 1}\nSender: a{s + h - 1}\nAction: Swap {s + h - 1}\n" in stories[s] for s in chain for h in range(1, min(n, 31 - s) + 1))
+    moved = kept["hops"].select("end", "part", F.explode("h.digest")).distinct().count()
+    assert moved == 10 + 20 * n < walk.count()  # those of the last end share their hops
+    monkeypatch.setattr(flows, "TOGETHER", 3)
+    kept.clear()
+    assert {r.seed: r.story for r in flows.trace_story(walk, tx, changes, decoded).collect()} == stories
+    assert kept["hops"].where("end = 30").select("part").distinct().count() > 1  # one end is no single row
