@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 
 from sablegrid.llm import pieces as pc
+from sablegrid.llm.queries import op8_gumbel_segmentations
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [None, "", " ", "  a  ", "Hello world", "naïve 😀 日本 \t x\r\n\n y", "the", "x" * 30_000, "\n", "▁ a", "a b " * 20_000, ";\r", "ÿ\x00z"]
@@ -133,3 +134,13 @@ def test_chances_hang_on_the_chunk_alone(v):
         a = int(together.head[together.start[i]])
         for name in ("ids", "cond", "upto"):
             assert getattr(together, name)[a : a + len(alone.ids)].tolist() == getattr(alone, name).tolist()
+
+
+def test_query_gives_the_segmentations(spark, v, tmp_path):
+    """The digests alone would leave out what was sampled."""
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_gumbel_segmentations(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(len(TEXTS)))
+    for r in got:
+        assert pc.decode(r.ids, v) == (TEXTS[r.doc_id] or "").replace("▁", " ")
+        assert r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
